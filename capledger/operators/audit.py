@@ -91,7 +91,11 @@ def extraction_details(extractions: DataFrame, sql_versions: DataFrame, document
 def lineage_chain(
     runs: DataFrame, documents: DataFrame, extractions: DataFrame, sql_versions: DataFrame
 ) -> DataFrame:
-    """Run -> document -> latest extraction -> rule version, one row per run."""
+    """Run -> document -> latest extraction -> rule version, one row per run.
+
+    Everything known per rule version is put together first, so the runs, the
+    largest table, are shuffled once.
+    """
     docs = documents.select(
         "policy_id", "policy_version_id", "gcs_uri", "uploaded_by", "uploaded_at",
         F.col("status").alias("policy_status"),
@@ -101,10 +105,9 @@ def lineage_chain(
         ["model_version", "created_at", "clause_citations"],
     )
     sqls = sql_versions.select("sql_version_id", "policy_version_id", "validation_status", "approved_by", "approved_at")
+    versions = sqls.join(docs.join(newest, "policy_version_id", "left"), "policy_version_id")
     return (
-        runs.join(docs, ["policy_id", "policy_version_id"])
-        .join(newest, "policy_version_id", "left")
-        .join(sqls, ["sql_version_id", "policy_version_id"])
+        runs.join(versions, ["sql_version_id", "policy_version_id", "policy_id"])
         .select(
             "run_id", "policy_id", "policy_version_id", "sql_version_id", "gcs_uri", "uploaded_by",
             iso_text(F.col("uploaded_at")).alias("uploaded_at"), "policy_status", "model_version",
@@ -170,23 +173,26 @@ def policy_timeline(
     """Version, its rule versions and the runs of each: one row per run, plus rule
     versions never run and versions without either.
 
-    Rows grow with documents + rule versions + runs, never with their product.
+    Rows grow with documents + rule versions + runs, never with their product. The
+    larger side of each join stands left, where a hot version can be split, and the
+    keys looked up by the anti joins are made distinct first.
     """
     if policy_id is not None:
         documents = documents.where(F.col("policy_id") == policy_id)
         runs = runs.where(F.col("policy_id") == policy_id)
-    run_rows = runs.select(
-        "policy_version_id", "sql_version_id", "run_id", "run_status", "started_at", "ended_at"
-    )
-    sql_rows = sql_versions.select(
-        "policy_version_id", "sql_version_id", "validation_status", "approved_at", "approved_by"
-    )
-    with_sql = sql_rows.join(run_rows, ["policy_version_id", "sql_version_id"], "left")
-    without_sql = run_rows.join(sql_rows, ["policy_version_id", "sql_version_id"], "left_anti")
-    activity = with_sql.unionByName(without_sql, allowMissingColumns=True)
-    rows = documents.join(activity, "policy_version_id", "left").select(
+    key = ["policy_version_id", "sql_version_id"]
+    run_rows = runs.select(*key, "run_id", "run_status", "started_at", "ended_at")
+    sql_rows = sql_versions.select(*key, "validation_status", "approved_at", "approved_by")
+    never_run = sql_rows.join(run_rows.select(*key).distinct(), key, "left_anti")
+    activity = run_rows.join(sql_rows, key, "left").unionByName(never_run, allowMissingColumns=True)
+    docs = documents.select(
         "policy_id", "policy_version_id", "uploaded_at", "uploaded_by", F.col("status").alias("policy_status"),
-        "supersedes_policy_version_id", "sql_version_id", "validation_status", "approved_at", "approved_by",
+        "supersedes_policy_version_id",
+    )
+    active = run_rows.select("policy_version_id").union(sql_rows.select("policy_version_id")).distinct()
+    idle = docs.join(active, "policy_version_id", "left_anti")
+    rows = activity.join(docs, "policy_version_id").unionByName(idle, allowMissingColumns=True).select(
+        *docs.columns, "sql_version_id", "validation_status", "approved_at", "approved_by",
         "run_id", "run_status", "started_at", "ended_at",
     )
     return rows if policy_id is None else rows.orderBy("uploaded_at", "sql_version_id", "started_at", "run_id")
@@ -221,16 +227,19 @@ def policy_event_timeline(
 def policy_objects(objects: DataFrame, documents: DataFrame, limit: int = 100) -> DataFrame:
     """The most recently updated files with their registration, if any.
 
-    A left join keeps every file, so the newest ``limit`` files are enough to find
-    the newest ``limit`` joined rows: the listing is cut before the join.
+    A left join keeps every file, so the newest ``limit`` files hold the newest
+    ``limit`` joined rows. The update time of the last of them is a filter the file
+    scan can use (hashes are then taken from few files), and only registrations of
+    those files meet them. A file always has an update time.
     """
     newest = [F.desc("updated"), F.desc("uri")]
+    oldest_kept = objects.select("updated").orderBy(F.desc("updated")).limit(limit).agg(F.min("updated")).scalar()
+    kept = objects.where(F.col("updated") >= oldest_kept).orderBy(*newest).limit(limit)
     registry = documents.select(
         F.col("gcs_uri").alias("uri"), "policy_id", "policy_version_id", "uploaded_by", "status"
-    )
+    ).join(kept.select("uri"), "uri", "left_semi")
     return (
-        objects.orderBy(*newest).limit(limit)
-        .join(registry, "uri", "left")
+        kept.join(registry, "uri", "left")
         .orderBy(*newest, "policy_version_id")
         .limit(limit)
         .withColumn("registered", F.col("policy_version_id").isNotNull())

@@ -428,7 +428,7 @@ def feed_metrics_stream(spark, sf):
     monitor.metrics_stream(
         feed, tx.is_breach(), "breach_count", rows, checkpoint, available_now=True
     ).awaitTermination()
-    return spark.read.parquet(rows)
+    return monitor.current_metrics(spark, rows)
 
 
 @query

@@ -26,11 +26,18 @@ def scan_declared(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(path)
 
 
-def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The same table as a file stream. The bracket makes the path a glob, so a
-    single file and a directory of part files are both accepted."""
+def stream(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 1000) -> DataFrame:
+    """The same table as a file stream, a bounded number of files per micro-batch.
+
+    The bracket makes the path a glob, so a single file and a directory of part
+    files are both accepted.
+    """
     schema = scan(spark, sf_dir, table).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
+    return (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(f"{sf_dir}/{table}.parque[t]")
+    )
 
 
 def literal_rows(spark: SparkSession, table: str, rows: list[tuple]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,16 +36,23 @@ def score_stream(
 def metrics_stream(
     feed: DataFrame, flagged: Column, flagged_name: str, path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Live feed metrics: the whole result (one row) replaces the last one per batch."""
+    """Live feed metrics: each batch writes the whole result (one row) under its
+    number, so a repeated batch replaces its own row and readers never see half a write."""
     metrics = feed_metrics(feed, flagged, flagged_name)
 
-    def publish(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = metrics.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(publish)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def raw_fallback(spark, path: str, limit: int = 10) -> DataFrame:
+def current_metrics(spark: SparkSession, path: str) -> DataFrame:
+    written = spark.read.parquet(path)
+    newest = written.agg(F.max("batch")).scalar()
+    return written.where(F.col("batch") == newest).drop("batch")
+
+
+def raw_fallback(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:
     """Newest breach rows of a sink, for when no model can be applied."""
     return scan_declared(spark, path, "breach_events").orderBy(F.desc("breached_at"), F.desc("transaction_id")).limit(limit)
