@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Every boundary str.splitlines() recognises.
-LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+LINE_BREAKS = r"\R|[\x1c-\x1e]"
 MIN_CAPITAL_RATIO = "0.08"
 
 
@@ -71,8 +71,9 @@ def progress_text(prefix: str, summary: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines as ``str.splitlines()`` gives them: a closing line break opens no new line."""
-    parts = F.split(text, LINE_BREAKS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    closed = F.substring(text, -1, 1).rlike(LINE_BREAKS)
+    body = F.when(closed, F.regexp_replace(text, rf"({LINE_BREAKS})\z", "")).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAKS))
 
 
 def clause_origin(clause_id: Column) -> Column:

@@ -1,9 +1,9 @@
 """Running totals over ordered groups of any size.
 
-A plain ``Window.partitionBy(key)`` sorts a whole key in one task. Here each key
-is cut into ordered chunks: rows accumulate inside their own chunk, one summary
-row per chunk accumulates along the key, and the two are added. A key holding a
-third of the table is then spread over as many tasks as it has chunks.
+A plain ``Window.partitionBy(key)`` sorts a whole key in one task. That is right
+for ordinary keys; a hot key, which may hold a third of the table, is cut into
+ordered chunks instead: rows accumulate inside their own chunk, one summary row
+per chunk accumulates along the key, and the two are added.
 """
 
 from __future__ import annotations
@@ -31,16 +31,26 @@ def running(
     chunk: Column,
     totals: dict[str, tuple[str, Column]],
     inclusive: bool = True,
+    hot_rows: int = 5_000_000,
 ) -> DataFrame:
     """Add running ``sum`` / ``max`` columns per key in ``order``.
 
     ``chunk`` must be non-decreasing along ``order``. A ``max`` over a struct that
     starts with the order columns is "the latest row where the value is set".
     Keys must not be NULL. With ``inclusive=False`` a row does not see itself.
+
+    Keys with more than ``hot_rows`` rows are chunked. There are at most
+    rows / ``hot_rows`` of them, which bounds what is broadcast; without any, the
+    joins have an empty side and the plan is the plain window.
     """
     apply = {"sum": F.sum, "max": F.max}
-    inputs = df.select("*", chunk.alias("_chunk"), *[expr.alias(f"_in_{n}") for n, (_, expr) in totals.items()])
     part = [*keys, "_chunk"]
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    inputs = df.join(F.broadcast(hot), keys, "left").select(
+        *df.columns,
+        F.when(F.col("_n").isNotNull(), chunk).alias("_chunk"),
+        *[expr.alias(f"_in_{n}") for n, (_, expr) in totals.items()],
+    )
 
     inside = (
         Window.partitionBy(*part)
@@ -55,7 +65,8 @@ def running(
 
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        inputs.groupBy(*part)
+        inputs.where(F.col("_chunk").isNotNull())
+        .groupBy(*part)
         .agg(*[apply[kind](f"_in_{n}").alias(f"_in_{n}") for n, (kind, _) in totals.items()])
         .select(
             *part,
@@ -69,7 +80,7 @@ def running(
             return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
         return F.greatest(local, carry)
 
-    return rows.join(carried, part).select(
+    return rows.join(carried, part, "left").select(
         *df.columns, *[combined(n, kind).alias(n) for n, (kind, _) in totals.items()]
     )
 

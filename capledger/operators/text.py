@@ -136,26 +136,34 @@ def line_diff(texts: DataFrame) -> DataFrame:
     lines count like any other. ``version_no`` must be unique in ``texts``.
     """
     pairs = version_pairs(texts)
-    membership = pairs.select(
+    # One row per version with the pairs it is in: two, or one at either end.
+    membership = (
+        pairs.select(
+            F.col("version_b").alias("pair"),
+            F.inline(F.expr("array(struct(version_a AS version_no, -1 AS sign), struct(version_b AS version_no, 1 AS sign))")),
+        )
+        .groupBy("version_no")
+        .agg(F.collect_list(F.struct("pair", "sign")).alias("pairs"))
+    )
+    signed = (
+        texts.select("version_no", "text")
+        .join(membership, "version_no")
+        .select("pairs", F.explode(lines(F.col("text"))).alias("line"))
+        .select("line", F.inline("pairs"))
+    )
+    per_pair = (
+        signed.groupBy("pair", "line")
+        .agg(F.sum("sign").alias("n"))
+        .groupBy(F.col("pair").alias("version_b"))
+        .agg(
+            F.sum(F.greatest("n", F.lit(0))).alias("lines_added"),
+            F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("lines_removed"),
+            F.sum("n").alias("net"),
+        )
+    )
+    return pairs.join(per_pair, "version_b", "left").select(
         "policy_id", "version_a", "version_b",
-        F.inline(
-            F.array(
-                F.struct(F.col("version_a").alias("version_no"), F.lit(-1).alias("sign")),
-                F.struct(F.col("version_b").alias("version_no"), F.lit(1).alias("sign")),
-            )
-        ),
-    )
-    pair = ["policy_id", "version_a", "version_b"]
-    exploded = texts.select("version_no", "text").join(membership, "version_no").select(
-        *pair, "sign", F.explode_outer(lines(F.col("text"))).alias("line")
-    )
-    surplus = exploded.groupBy(*pair, "line").agg(
-        F.sum(F.when(F.col("line").isNotNull(), F.col("sign")).otherwise(0)).alias("n")
-    )
-    return surplus.groupBy(*pair).agg(
-        F.sum(F.greatest("n", F.lit(0))).alias("lines_added"),
-        F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("lines_removed"),
-        F.sum("n").alias("net"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lines_added", "lines_removed", "net")],
     )
 
 

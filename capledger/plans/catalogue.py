@@ -52,12 +52,7 @@ def _total_by_version(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str, drafts: bool = False, staged: bool = False) -> DataFrame:
-    """Registry events; without ``drafts`` the rule texts are not built at all."""
-    events = adapters.registry_events(spark, sf)
-    if not drafts:
-        events = events.withColumn(
-            "payload", F.when(~F.col("event_type").isin(*registry.DRAFT), F.col("payload"))
-        )
+    events = adapters.registry_events(spark, sf, drafts)
     return stage(events, "registry_events") if staged else events
 
 

@@ -27,22 +27,8 @@ V2_EXCLUDED = ("MEDIUM",)
 CARD_LIMITS = (250, 100, 500, 75)
 
 # Columns of the snapshot stored with each generated rule version.
-EVENTS_COLUMNS = (
-    ("event_id", "bigint"),
-    ("ts", "timestamp_ntz"),
-    ("user_id", "bigint"),
-    ("event_type", "string"),
-    ("value", "double"),
-    ("props", "string"),
-)
-DOCUMENTS_COLUMNS = (
-    ("doc_id", "bigint"),
-    ("text", "string"),
-    ("lang", "string"),
-    ("source", "string"),
-    ("n_chars", "bigint"),
-)
-CLAUSE_TYPES = ("threshold", "mapping", "calculation", "exclusion", "definition")
+EVENTS_COLUMNS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+DOCUMENTS_COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 def rule_rows(spark: SparkSession, rows: list[str]) -> DataFrame:
@@ -135,19 +121,17 @@ def instrument_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 def transactions_from(events: DataFrame) -> DataFrame:
     """Card swipes; also applies to a streaming frame. The label disagrees with the
     limit rule on every 50th event."""
-    holder = F.col("user_id") % 4
-    limit = F.lit(CARD_LIMITS[3])
-    for i, value in enumerate(CARD_LIMITS[:3]):
-        limit = F.when(holder == i, F.lit(value)).otherwise(limit)
-    amount, limit = F.col("value").cast("decimal(18,2)"), limit.cast("decimal(18,2)")
-    label = (amount > limit).cast("int")
-    return events.select(
-        F.concat(F.lit("TX-"), "event_id").alias("transaction_id"),
-        F.concat(F.lit("CH-"), 1001 + holder).alias("cardholder_id"),
-        amount.alias("transaction_amount"),
-        limit.alias("credit_limit"),
-        F.col("ts").alias("transaction_time"),
-        F.when(F.col("event_id") % 50 == 0, 1 - label).otherwise(label).alias("is_fraud_label"),
+    limits = ", ".join(str(v) for v in CARD_LIMITS)
+    return events.selectExpr(
+        "concat('TX-', event_id) AS transaction_id",
+        "concat('CH-', 1001 + user_id % 4) AS cardholder_id",
+        "CAST(value AS DECIMAL(18,2)) AS transaction_amount",
+        f"CAST(element_at(array({limits}), CAST(user_id % 4 + 1 AS INT)) AS DECIMAL(18,2)) AS credit_limit",
+        "ts AS transaction_time",
+        "event_id % 50 = 0 AS flipped",
+    ).selectExpr(
+        "* EXCEPT (flipped)",
+        "CAST((transaction_amount > credit_limit) <> flipped AS INT) AS is_fraud_label",
     )
 
 
@@ -155,126 +139,111 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions_from(scan(spark, sf_dir, "events"))
 
 
-def _citation(clause_id: Column, k: Column, kind: Column) -> Column:
-    return F.struct(
-        clause_id.alias("clause_id"),
-        F.concat(F.lit("weight rule "), k).alias("clause_text"),
-        kind.alias("clause_type"),
-        F.lit("weights").alias("sql_section"),
+def _column_rows(columns: str) -> str:
+    """SQL array of (column_name, data_type) structs from a DDL-like list."""
+    rows = [c.split() for c in columns.split(", ")]
+    return "array(" + ", ".join(f"named_struct('column_name', '{c}', 'data_type', '{t}')" for c, t in rows) + ")"
+
+
+def _draft_payload(with_text: bool) -> str:
+    """SQL for a generated rule version from the event's number ``k``: text, trace and
+    snapshot, with missing fields, an unreadable trace and a missing snapshot among
+    them. Without ``with_text`` drafts carry no payload."""
+    if not with_text:
+        return "NULL"
+    clause_type = "element_at(array('threshold', 'mapping', 'calculation', 'exclusion', 'definition'), CAST(({n}) % 5 + 1 AS INT))"
+    first = "concat(IF(k % 3 = 0, 'V1-C', 'C'), k % 10)"
+    second = "concat('V2-C', k % 13)"
+    citation = (
+        "named_struct('clause_id', {id}, 'clause_text', concat('weight rule ', k), 'clause_type', {type},"
+        " 'sql_section', 'weights')"
     )
-
-
-def _draft_payload(k: Column) -> Column:
-    """A generated rule version from the event's number: text, trace and snapshot,
-    with missing fields, an unreadable trace and a missing snapshot among them."""
-    kind = lambda n: F.element_at(F.array(*[F.lit(t) for t in CLAUSE_TYPES]), (n % 5 + 1).cast("int"))
-    prefix = F.when(k % 3 == 0, "V1-").otherwise("")
-    first = F.concat(prefix, F.lit("C"), k % 10)
-    second = F.concat(F.lit("V2-C"), k % 13)
-    citations = F.array_compact(
-        F.array(
-            _citation(first, k, F.when(k % 7 != 0, kind(k))),
-            F.when(k % 2 == 0, _citation(F.when(k % 11 != 0, second), k, kind(k + 1))),
-        )
-    )
-    summary = F.concat(F.lit('rules "'), k, F.lit('"\nrevised'))
-    uri = F.concat(F.lit("policies/source-"), k, F.lit(".pdf"))
-    trace = F.to_json(
-        F.struct(uri.alias("policy_gcs_uri"), F.lit("rules").alias("model"), citations.alias("clause_citations"), summary.alias("summary"))
+    citations = "array_compact(array({}, {}))".format(
+        citation.format(id=first, type=f"IF(k % 7 <> 0, {clause_type.format(n='k')}, NULL)"),
+        "IF(k % 2 = 0, {}, NULL)".format(
+            citation.format(id=f"IF(k % 11 <> 0, {second}, NULL)", type=clause_type.format(n="k + 1"))
+        ),
     )
-    text = F.concat_ws(
-        "\n",
-        F.when(k % 4 != 1, F.concat(F.lit("-- ["), first, F.lit("] weights"))),
-        F.lit("SELECT portfolio, risk_bucket, SUM(exposure_amount * risk_weight)"),
-        F.when(k % 6 == 0, F.lit("-- [C77] carried over")),
-        F.when((k % 2 == 0) & (k % 11 != 0), F.concat(F.lit("-- ["), second, F.lit("] update"))),
-        F.lit("GROUP BY portfolio, risk_bucket"),
+    summary = r"""concat('rules "', k, '"\nrevised')"""
+    uri = "concat('policies/source-', k, '.pdf')"
+    trace = (
+        f"to_json(named_struct('policy_gcs_uri', {uri}, 'model', 'rules', 'clause_citations', {citations},"
+        f" 'summary', {summary}))"
     )
-
-    def columns(fixed) -> Column:
-        return F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("data_type")) for c, t in fixed])
-
-    kept = F.filter(
-        columns(EVENTS_COLUMNS),
-        lambda c, i: ~((k % 3 == 0) & (i == k % 6)),
+    text = rf"""concat_ws('\n',
+        IF(k % 4 <> 1, concat('-- [', {first}, '] weights'), NULL),
+        'SELECT portfolio, risk_bucket, SUM(exposure_amount * risk_weight)',
+        IF(k % 6 = 0, '-- [C77] carried over', NULL),
+        IF(k % 2 = 0 AND k % 11 <> 0, concat('-- [', {second}, '] update'), NULL),
+        'GROUP BY portfolio, risk_bucket')"""
+    events = (
+        f"concat(filter({_column_rows(EVENTS_COLUMNS)}, (c, i) -> NOT (k % 3 = 0 AND i = k % 6)),"
+        f" slice({_column_rows('legacy_k int')}, 1, IF(k % 4 = 1, 1, 0)))"
     )
-    legacy = F.when(k % 4 == 1, columns([("legacy_k", "int")])).otherwise(F.slice(columns([("legacy_k", "int")]), 1, 0))
-    tables = F.when(
-        k % 5 != 0,
-        F.create_map(F.lit("events"), F.concat(kept, legacy), F.lit("documents"), columns(DOCUMENTS_COLUMNS)),
-    ).otherwise(F.create_map(F.lit("events"), F.concat(kept, legacy)))
-    snapshot = F.to_json(F.struct(F.lit("demo").alias("project"), F.lit("capital").alias("dataset"), tables.alias("tables")))
-    extraction = F.to_json(F.struct(uri.alias("policy_gcs_uri"), summary.alias("summary")))
-    return F.to_json(
-        F.struct(
-            text.alias("generated_sql"),
-            F.when(k % 25 == 24, F.lit("{unreadable")).otherwise(trace).alias("agent_trace"),
-            F.when(k % 10 != 9, snapshot).alias("schema_snapshot"),
-            extraction.alias("extraction_json"),
-            F.to_json(F.struct(summary.alias("summary"))).alias("clause_citations"),
-            F.concat(F.lit("template-v"), k % 3).alias("model_version"),
-        )
+    tables = (
+        f"IF(k % 5 <> 0, map('events', {events}, 'documents', {_column_rows(DOCUMENTS_COLUMNS)}),"
+        f" map('events', {events}))"
     )
+    return f"""to_json(named_struct(
+        'generated_sql', {text},
+        'agent_trace', IF(k % 25 = 24, '{{unreadable', {trace}),
+        'schema_snapshot',
+            IF(k % 10 = 9, NULL, to_json(named_struct('project', 'demo', 'dataset', 'capital', 'tables', {tables}))),
+        'extraction_json', to_json(named_struct('policy_gcs_uri', {uri}, 'summary', {summary})),
+        'clause_citations', to_json(named_struct('summary', {summary})),
+        'model_version', concat('template-v', k % 3)))"""
 
 
-def registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def registry_events(spark: SparkSession, sf_dir: str, drafts: bool = True) -> DataFrame:
     """User events as registry events of the user's policy.
 
     Sign-ups upload versions, clicks generate (or, every fourth id, regenerate) rule
     versions, views approve, purchases and errors are succeeded and failed runs.
     Everything attaches to the newest rule version of the current policy version;
-    events before the first upload belong to no policy and are left out.
+    events before the first upload belong to no policy and are left out. Without
+    ``drafts`` the rule texts, traces and snapshots are not built.
     """
-    kind = F.col("event_type")
-    position = F.struct("ts", "event_id")
-    generates = (kind == "click") & (F.col("event_id") % 4 != 0)
+    generates = "event_type = 'click' AND event_id % 4 <> 0"
+    position = "named_struct('ts', ts, 'event_id', event_id)"
     ordered = running(
         scan(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"),
         ["user_id"],
         ["ts", "event_id"],
         minute_chunk("ts"),
         {
-            "version": ("sum", F.when(kind == "signup", 1).otherwise(0)),
-            "upload": ("max", F.when(kind == "signup", position)),
-            "draft": ("max", F.when(generates, position)),
+            "version": ("sum", F.expr("IF(event_type = 'signup', 1, 0)")),
+            "upload": ("max", F.expr(f"IF(event_type = 'signup', {position}, NULL)")),
+            "draft": ("max", F.expr(f"IF({generates}, {position}, NULL)")),
         },
-    ).where(F.col("version") > 0)
-
-    policy = F.concat(F.lit("POL-"), "user_id")
-    version = F.concat(policy, F.lit("-V"), "version")
-    k = F.get_json_object("props", "$.k").cast("int")
-    upload_payload = F.to_json(
-        F.struct(
-            F.concat_ws("/", F.lit("gs://policies"), version, F.lit("policy.pdf")).alias("gcs_uri"),
-            F.when(F.col("version") > 1, F.concat(policy, F.lit("-V"), F.col("version") - 1)).alias("supersedes"),
-        )
-    )
-    is_run = kind.isin("purchase", "error")
-    types = (
-        F.when(kind == "signup", F.array(F.lit("uploaded")))
-        .when(generates, F.array(F.lit("generated")))
-        .when(kind == "click", F.array(F.lit("regenerated")))
-        .when(kind == "view", F.array(F.lit("approved")))
-        .when(is_run, F.array(F.lit("run_started"), F.lit("run_ended")))
     )
-    rows = ordered.select("*", F.explode(types).alias("registry_type"))
-    registry_type = F.col("registry_type")
-    outcome = F.when(kind == "purchase", "succeeded").otherwise("failed")
-    payload = (
-        F.when(registry_type == "uploaded", upload_payload)
-        .when(registry_type.isin("generated", "regenerated"), _draft_payload(k))
-        .when(registry_type == "run_ended", F.to_json(F.struct(outcome.alias("run_status"))))
-    )
-    return rows.select(
-        "event_id",
-        F.col("ts").alias("event_ts"),
-        registry_type.alias("event_type"),
-        policy.alias("policy_id"),
-        version.alias("policy_version_id"),
-        F.when(F.col("draft") > F.col("upload"), F.concat(F.lit("SQL-"), "draft.event_id")).alias("sql_version_id"),
-        F.when(is_run, F.concat(F.lit("RUN-"), "event_id")).alias("run_id"),
-        F.concat(F.lit("analyst-"), F.col("event_id") % 5).alias("actor"),
-        payload.alias("payload"),
+    return (
+        ordered.where("version > 0")
+        .selectExpr(
+            "event_id",
+            "ts AS event_ts",
+            "event_type AS kind",
+            "concat('POL-', user_id) AS policy_id",
+            "concat('POL-', user_id, '-V', version) AS policy_version_id",
+            "IF(version > 1, concat('POL-', user_id, '-V', version - 1), NULL) AS supersedes",
+            "IF(draft > upload, concat('SQL-', draft.event_id), NULL) AS sql_version_id",
+            "IF(event_type IN ('purchase', 'error'), concat('RUN-', event_id), NULL) AS run_id",
+            "concat('analyst-', event_id % 5) AS actor",
+            "CAST(get_json_object(props, '$.k') AS INT) AS k",
+            f"""explode(CASE WHEN event_type = 'signup' THEN array('uploaded')
+                WHEN {generates} THEN array('generated')
+                WHEN event_type = 'click' THEN array('regenerated')
+                WHEN event_type = 'view' THEN array('approved')
+                ELSE array('run_started', 'run_ended') END) AS event_type""",
+        )
+        .selectExpr(
+            "event_id", "event_ts", "event_type", "policy_id", "policy_version_id", "sql_version_id", "run_id", "actor",
+            f"""CASE WHEN event_type = 'uploaded' THEN to_json(named_struct(
+                    'gcs_uri', concat('gs://policies/', policy_version_id, '/policy.pdf'), 'supersedes', supersedes))
+                WHEN event_type IN ('generated', 'regenerated') THEN {_draft_payload(drafts)}
+                WHEN event_type = 'run_ended' THEN
+                    to_json(named_struct('run_status', IF(kind = 'purchase', 'succeeded', 'failed')))
+                END AS payload""",
+        )
     )
 
 
