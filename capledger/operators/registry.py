@@ -6,7 +6,7 @@ An event is one row of ``registry_events``. Order inside a key is always
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.functions.scalars import run_label
@@ -32,8 +32,12 @@ def _last(column: Column, kinds: str | tuple[str, ...]) -> Column:
 def new_events(df: DataFrame, event_type: str, at: Column, payload: Column | None = None) -> DataFrame:
     """Rows of ``df`` as registry events; columns it lacks stay NULL.
 
-    ``event_id`` must come with ``df`` (a retry then appends the same ids).
+    Without an ``event_id`` the id is a hash of what the event says, so a retry
+    appends the same event again, which no fold notices.
     """
+    if "event_id" not in df.columns:
+        keys = [c for c in ("policy_version_id", "sql_version_id", "run_id") if c in df.columns]
+        df = df.withColumn("event_id", F.xxhash64(F.lit(event_type), at, *[F.coalesce(k, F.lit("")) for k in keys]))
     given = df.withColumns(
         {
             "event_type": F.lit(event_type),
@@ -187,6 +191,19 @@ def orphan_events(events: DataFrame, sql_versions: DataFrame) -> DataFrame:
     )
 
 
+def bound_sql(spark: SparkSession, sql_versions: DataFrame, sql_version_id: str, **ids: str) -> DataFrame:
+    """Stored text of one approved rule version as a frame, its ``:name`` markers bound
+    (tables through ``IDENTIFIER(:name)``). Raises when there is no such text."""
+    stored = (
+        sql_versions.where((F.col("sql_version_id") == sql_version_id) & (F.col("validation_status") == "approved"))
+        .select("generated_sql")
+        .first()
+    )
+    if stored is None or not stored.generated_sql:
+        raise ValueError(f"no approved SQL for {sql_version_id}")
+    return spark.sql(stored.generated_sql, args={"sql_version_id": sql_version_id, **ids})
+
+
 def stamp_outputs(runs: DataFrame, cells: DataFrame, rule_version: Column, as_of: Column) -> DataFrame:
     """Report output rows: every run gets the cells of its rule version and its ids.
 

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# A mapping or an exclusion answers how a class is treated; exclusion wins a tie.
+_TREATMENT = "IF(kind IN ('mapping', 'exclusion'), named_struct('p', precedence, 'x', kind = 'exclusion'), NULL)"
+
+
 def effective_rules(rules: DataFrame) -> DataFrame:
     """One row per (policy_version, asset_class) from rule rows with a ``precedence``.
 
@@ -14,31 +18,50 @@ def effective_rules(rules: DataFrame) -> DataFrame:
     one wins, and an exclusion beats a mapping of the same version. ``definition``
     rows label a class and change nothing.
     """
-    treatment = F.col("kind").isin("mapping", "exclusion")
-    treatment_order = F.when(treatment, F.struct("precedence", (F.col("kind") == "exclusion").alias("x")))
-
-    def newest(kind: str, column: str):
-        return F.max_by(column, F.when(F.col("kind") == kind, F.col("precedence")))
-
-    rows = rules.groupBy("policy_version", "asset_class").agg(
-        F.max_by("kind", treatment_order).alias("treatment"),
-        F.max_by("risk_bucket", treatment_order).alias("risk_bucket"),
-        F.max_by("risk_weight", treatment_order).alias("base_weight"),
-        F.max_by("origin", treatment_order).alias("origin"),
-        newest("threshold", "min_amount").alias("min_amount"),
-        newest("calculation", "multiplier").alias("multiplier"),
+    return (
+        rules.groupBy("policy_version", "asset_class")
+        .agg(
+            F.expr(f"max_by(kind, {_TREATMENT}) AS treatment"),
+            F.expr(f"max_by(risk_bucket, {_TREATMENT}) AS risk_bucket"),
+            F.expr(f"max_by(risk_weight, {_TREATMENT}) AS base_weight"),
+            F.expr(f"max_by(origin, {_TREATMENT}) AS origin"),
+            F.expr("max_by(min_amount, IF(kind = 'threshold', precedence, NULL)) AS min_amount"),
+            F.expr("max_by(multiplier, IF(kind = 'calculation', precedence, NULL)) AS multiplier"),
+        )
+        .where("treatment IS NOT NULL")
+        .selectExpr(
+            "policy_version",
+            "asset_class",
+            "risk_bucket",
+            "CAST(base_weight * coalesce(multiplier, CAST(1 AS DECIMAL(7,4))) AS DECIMAL(9,6)) AS risk_weight",
+            "min_amount",
+            "treatment = 'exclusion' AS excluded",
+            "origin",
+        )
+    )
+
+
+def layered(stored: DataFrame, baselines: DataFrame, delta: DataFrame) -> DataFrame:
+    """Rule rows of new versions: the rows of the baseline each supersedes, if it has an
+    approved one, with the new version's own rows as one more layer on top.
+
+    ``stored`` has rule rows by ``sql_version_id`` with their ``precedence``;
+    ``baselines`` maps ``policy_version_id`` to ``baseline_sql_version_id``; ``delta``
+    has rule rows by ``policy_version``.
+    """
+    wanted = baselines.select(
+        F.col("policy_version_id").alias("policy_version"), F.col("baseline_sql_version_id").alias("sql_version_id")
+    ).join(delta.select("policy_version").distinct(), "policy_version", "left_semi")
+    columns = ["policy_version", "kind", "asset_class", "risk_bucket", "risk_weight", "min_amount", "multiplier"]
+    base = stored.drop("policy_version").join(wanted, "sql_version_id").select(
+        *columns, "precedence", F.lit("V1").alias("origin")
     )
-    return rows.select(
-        "policy_version",
-        "asset_class",
-        "risk_bucket",
-        (F.col("base_weight") * F.coalesce("multiplier", F.lit(1).cast("decimal(7,4)")))
-        .cast("decimal(9,6)")
-        .alias("risk_weight"),
-        "min_amount",
-        (F.col("treatment") == "exclusion").alias("excluded"),
-        "origin",
-    ).where(F.col("treatment").isNotNull())
+    top = base.groupBy("policy_version").agg((F.max("precedence") + 1).alias("top"))
+    update = delta.join(top, "policy_version", "left").select(
+        *columns, F.coalesce("top", F.lit(0)).alias("precedence"),
+        F.when(F.col("top").isNull(), "V1").otherwise("V2").alias("origin"),
+    )
+    return base.unionByName(update)
 
 
 def overlay(base: DataFrame, delta: DataFrame, policy_version: str) -> DataFrame:

@@ -8,6 +8,7 @@ WEIGHT = T.DecimalType(7, 4)
 STRING = T.StringType()
 LONG = T.LongType()
 INT = T.IntegerType()
+DOUBLE = T.DoubleType()
 TIME = T.TimestampNTZType()
 
 
@@ -44,7 +45,7 @@ TABLES = {
         started_at=TIME, ended_at=TIME,
     ),
     "rwa_report_outputs": _schema(
-        portfolio=STRING, risk_bucket=STRING, rwa_amount=T.DoubleType(), as_of_date=T.DateType(), run_id=STRING,
+        portfolio=STRING, risk_bucket=STRING, rwa_amount=DOUBLE, as_of_date=T.DateType(), run_id=STRING,
         policy_id=STRING, policy_version_id=STRING, sql_version_id=STRING,
     ),
     "registry_events": _schema(
@@ -53,6 +54,29 @@ TABLES = {
     ),
 }
 
+# The given tables the queries read. A declared schema spares every
+# query the pass over file footers that inference takes.
+SOURCES = {
+    "customer": _schema(
+        c_custkey=LONG, c_name=STRING, c_nationkey=INT, c_acctbal=DOUBLE, c_mktsegment=STRING
+    ),
+    "part": _schema(
+        p_partkey=LONG, p_name=STRING, p_brand=STRING, p_type=STRING, p_size=INT, p_retailprice=DOUBLE
+    ),
+    "orders": _schema(
+        o_orderkey=LONG, o_custkey=LONG, o_orderstatus=STRING, o_totalprice=DOUBLE, o_orderdate=TIME,
+        o_orderpriority=STRING,
+    ),
+    "lineitem": _schema(
+        l_orderkey=LONG, l_partkey=LONG, l_suppkey=LONG, l_linenumber=INT, l_quantity=DOUBLE,
+        l_extendedprice=DOUBLE, l_discount=DOUBLE, l_tax=DOUBLE, l_returnflag=STRING, l_linestatus=STRING,
+        l_shipdate=TIME,
+    ),
+    "events": _schema(event_id=LONG, ts=TIME, user_id=LONG, event_type=STRING, value=DOUBLE, props=STRING),
+    "documents": _schema(doc_id=LONG, text=STRING, lang=STRING, source=STRING, n_chars=LONG),
+    "labels": _schema(doc_id=LONG, quality=INT, toxic=INT),
+}
+
 # Tables a demo reset empties; the seeded rule tables are refreshed instead.
 TRANSACTIONAL_TABLES = (
     "policy_documents",

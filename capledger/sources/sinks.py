@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from capledger.schemas import TABLES, TRANSACTIONAL_TABLES
 from capledger.sources.tables import reconcile
 
+PARTITIONED = {"rwa_report_outputs": "run_id"}
+
 
 def append(df: DataFrame, path: str, table: str) -> None:
     reconcile(df, TABLES[table]).write.mode("append").parquet(path)
@@ -15,7 +17,10 @@ def append(df: DataFrame, path: str, table: str) -> None:
 
 def refresh(df: DataFrame, path: str, table: str) -> None:
     """Full refresh of one table."""
-    reconcile(df, TABLES[table]).write.mode("overwrite").parquet(path)
+    writer = reconcile(df, TABLES[table]).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    if table in PARTITIONED:
+        writer = writer.partitionBy(PARTITIONED[table])
+    writer.parquet(path)
 
 
 def reset(spark: SparkSession, root: str) -> None:
@@ -30,7 +35,7 @@ def publish_outputs(outputs: DataFrame, path: str) -> None:
         outputs.repartition("run_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
+        .partitionBy(PARTITIONED["rwa_report_outputs"])
         .parquet(path)
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capledger.schemas import COLUMN_ROWS, TABLES
+from capledger.schemas import COLUMN_ROWS, SOURCES, TABLES
 
 # Suffix to content type.
 CONTENT_TYPES = {
@@ -19,7 +19,7 @@ CONTENT_TYPES = {
 
 
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(SOURCES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def scan_declared(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -32,9 +32,8 @@ def stream(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int =
     The bracket makes the path a glob, so a single file and a directory of part
     files are both accepted.
     """
-    schema = scan(spark, sf_dir, table).schema
     return (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(SOURCES[table])
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(f"{sf_dir}/{table}.parque[t]")
     )
