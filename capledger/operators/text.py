@@ -80,7 +80,7 @@ def schema_drift(sql_versions: DataFrame, live_columns: DataFrame, include_types
     live_typed = live_columns.agg(F.collect_set(F.concat_ws(":", name, F.col("data_type")))).scalar()
     tables = F.from_json("schema_snapshot", SNAPSHOT)["tables"]
     rows = sql_versions.select("sql_version_id", tables.alias("tables")).withColumns(
-        {"stored": _paths(F.col("tables")), "live": live}
+        {"stored": _paths(F.col("tables")), "live": live, "live_typed": live_typed}
     )
     tagged = lambda paths, kind: F.transform(
         F.array_sort(paths), lambda p: F.struct(p.alias("column_path"), F.lit(kind).alias("kind"))
@@ -90,7 +90,7 @@ def schema_drift(sql_versions: DataFrame, live_columns: DataFrame, include_types
     if include_types:
         strip = lambda paths: F.transform(paths, lambda p: F.substring_index(p, ":", 1))
         retyped = F.array_intersect(
-            strip(F.array_except(_paths(F.col("tables"), True), live_typed)), F.array_intersect("stored", "live")
+            strip(F.array_except(_paths(F.col("tables"), True), "live_typed")), F.array_intersect("stored", "live")
         )
         parts.append(tagged(retyped, "retyped"))
     verdict = (

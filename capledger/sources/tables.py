@@ -49,7 +49,8 @@ def browse(df: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def object_listing(spark: SparkSession, path: str, with_hash: bool = True) -> DataFrame:
-    """File metadata below ``path``. Without the hash no file body is opened."""
+    """File metadata below ``path``; without the hash no file body is opened. Spark's file
+    scan leaves out files of zero bytes."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     )
