@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Rows of one key that a single task may sort.
+HOT_ROWS = 5_000_000
+
+
 def minute_chunk(ts: str, minutes: int = 1) -> Column:
     """Ordered chunk number from a timestamp, independent of the session time zone."""
     minute = F.unix_date(F.to_date(ts)) * 1440 + F.hour(ts) * 60 + F.minute(ts)
@@ -31,7 +35,7 @@ def running(
     chunk: Column,
     totals: dict[str, tuple[str, Column]],
     inclusive: bool = True,
-    hot_rows: int = 5_000_000,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add running ``sum`` / ``max`` columns per key in ``order``.
 
@@ -39,13 +43,15 @@ def running(
     starts with the order columns is "the latest row where the value is set".
     Keys must not be NULL. With ``inclusive=False`` a row does not see itself.
 
-    Keys with more than ``hot_rows`` rows are chunked. There are at most
+    Keys with more than ``hot_rows`` (``HOT_ROWS``) rows are chunked. There are at most
     rows / ``hot_rows`` of them, which bounds what is broadcast; without any, the
     joins have an empty side and the plan is the plain window.
     """
     apply = {"sum": F.sum, "max": F.max}
     part = [*keys, "_chunk"]
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(
+        F.col("_n") > (HOT_ROWS if hot_rows is None else hot_rows)
+    )
     inputs = df.join(F.broadcast(hot), keys, "left").select(
         *df.columns,
         F.when(F.col("_n").isNotNull(), chunk).alias("_chunk"),

@@ -16,6 +16,9 @@ TABLES = (
 ).split()
 
 
+TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -36,6 +39,10 @@ def compare(con, spark, sf_dir, name, query, sql):
     duck_cols, duck_rows = rows_of([d[0] for d in result.description], result.fetchall())
     if spark_cols != duck_cols:
         return f"columns {spark_cols} != {duck_cols}"
+    spark_types = sorted((c, TYPES.get(t, t)) for c, t in df.dtypes)
+    duck_types = sorted((d[0], str(d[1])) for d in result.description)
+    if spark_types != duck_types:
+        return f"types {set(spark_types) ^ set(duck_types)}"
     if len(spark_rows) != len(duck_rows):
         return f"{len(spark_rows)} rows != {len(duck_rows)}"
     for s, d in zip(spark_rows, duck_rows):
