@@ -146,22 +146,20 @@ def lineage_coverage(
 ) -> DataFrame:
     """Share of report output rows whose run, rule version and document all exist.
 
-    Outputs are reduced to one row per stamped id combination before the joins.
+    Outputs are reduced to one row per stamped id combination before the joins; the
+    keys they are looked up by are unique on the other side.
     """
-    stamps = outputs.groupBy("run_id", "policy_id", "policy_version_id", "sql_version_id").agg(F.count("*").alias("n"))
-    linked = (
-        stamps.join(runs.select("run_id"), "run_id", "left_semi")
-        .join(sql_versions.select("sql_version_id", "policy_version_id"), ["sql_version_id", "policy_version_id"], "left_semi")
-        .join(documents.select("policy_id", "policy_version_id"), ["policy_id", "policy_version_id"], "left_semi")
-    )
-    counted = union_all(
-        [
-            stamps.agg(F.sum("n").alias("total"), F.lit(0).cast("bigint").alias("linked")),
-            linked.agg(F.lit(0).cast("bigint").alias("total"), F.sum("n").alias("linked")),
-        ]
-    ).agg(
-        F.coalesce(F.sum("total"), F.lit(0)).alias("total_outputs"),
-        F.coalesce(F.sum("linked"), F.lit(0)).alias("linked_outputs"),
+    version, document = ["sql_version_id", "policy_version_id"], ["policy_id", "policy_version_id"]
+    stamps = outputs.groupBy("run_id", "policy_id", *version).agg(F.count("*").alias("n"))
+    marked = (
+        stamps.join(runs.select("run_id", F.lit(True).alias("has_run")), "run_id", "left")
+        .join(sql_versions.select(*version, F.lit(True).alias("has_version")), version, "left")
+        .join(documents.select(*document, F.lit(True).alias("has_document")), document, "left")
+    )
+    linked = F.expr("has_run AND has_version AND has_document")
+    counted = marked.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_outputs"),
+        F.coalesce(F.sum(F.when(linked, F.col("n"))), F.lit(0)).alias("linked_outputs"),
     )
     share = F.when(F.col("total_outputs") == 0, F.lit(0.0)).otherwise(F.col("linked_outputs") / F.col("total_outputs"))
     return counted.withColumn("linked_share", share)

@@ -140,7 +140,7 @@ def run_state(events: DataFrame) -> DataFrame:
     started = lambda c: _last(F.col(c), "run_started")
     outcome = _last(F.get_json_object("payload", "$.run_status"), "run_ended")
     return (
-        events.where(F.col("event_type").isin("run_started", "run_ended"))
+        events.where(F.col("run_id").isNotNull() & F.col("event_type").isin("run_started", "run_ended"))
         .groupBy("run_id")
         .agg(
             started("policy_id").alias("policy_id"),
@@ -184,11 +184,16 @@ def gate_violations(runs: DataFrame, gate: DataFrame) -> DataFrame:
 
 
 def orphan_events(events: DataFrame, sql_versions: DataFrame) -> DataFrame:
-    """Draft changes and approvals of a rule version that was never generated."""
-    touching = events.where(F.col("event_type").isin("regenerated", "approved"))
-    return touching.join(sql_versions.select("sql_version_id"), "sql_version_id", "left_anti").select(
+    """Draft changes and approvals of a rule version that was never generated.
+
+    Events without a rule version match nothing and stay out of the shuffle.
+    """
+    touching = events.where(F.col("event_type").isin("regenerated", "approved")).select(
         "event_id", "event_type", "policy_version_id", "sql_version_id"
     )
+    named = F.col("sql_version_id").isNotNull()
+    unknown = touching.where(named).join(sql_versions.select("sql_version_id"), "sql_version_id", "left_anti")
+    return touching.where(~named).unionByName(unknown)
 
 
 def bound_sql(spark: SparkSession, sql_versions: DataFrame, sql_version_id: str, **ids: str) -> DataFrame:
@@ -221,8 +226,10 @@ def stamp_outputs(runs: DataFrame, cells: DataFrame, rule_version: Column, as_of
     )
 
 
-def gated_outputs(outputs: DataFrame, gate: DataFrame) -> DataFrame:
-    return outputs.join(gate.where("approved_at_start"), "run_id", "left_semi")
+def allowed(runs: DataFrame, gate: DataFrame) -> DataFrame:
+    """Rows of ``runs`` (or of outputs) whose run had approved rules at its start. Gate the
+    runs before stamping outputs: they are fewer by the number of cells."""
+    return runs.join(gate.where("approved_at_start"), "run_id", "left_semi")
 
 
 def recent_runs(runs: DataFrame, limit: int = 50) -> DataFrame:

@@ -181,7 +181,7 @@ def bucket_sensitivity(spark, sf):
 @query
 def dashboard_kpis(spark, sf):
     events = _events(spark, sf, staged=True)
-    runs = registry.run_state(events)
+    runs = stage(registry.run_state(events), "report_runs")
     return registry.dashboard_kpis(
         registry.document_state(events), registry.sql_version_state(events), runs, _outputs(spark, sf, runs)
     )
@@ -242,8 +242,8 @@ def superseded_baseline(spark, sf):
 @query
 def gated_report_outputs(spark, sf):
     events = _events(spark, sf, staged=True)
-    outputs = _outputs(spark, sf, registry.run_state(events))
-    return registry.gated_outputs(outputs, registry.run_gate(events)).select(
+    allowed = registry.allowed(registry.run_state(events), registry.run_gate(events))
+    return _outputs(spark, sf, allowed).select(
         "run_id", "policy_id", "policy_version_id", "sql_version_id", "portfolio", "risk_bucket", "rwa_amount"
     )
 

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites are looked up on every column expression otherwise, milliseconds each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
