@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # Every boundary str.splitlines() recognises.
 LINE_BREAKS = r"\R|[\x1c-\x1e]"
-MIN_CAPITAL_RATIO = "0.08"
+# Minimum capital ratio; labels and threshold of the fraud alert.
+MIN_CAPITAL_RATIO = 0.08
+ALERT_ABOVE = 0.5
+ALERT_LABELS = ("High Risk (ML)", "Standard Transaction")
 
 
 def dbl(column: Column | str) -> Column:
@@ -20,11 +23,12 @@ def pct_change(baseline: Column, delta: Column) -> Column:
     return F.when(baseline == 0, F.lit(0.0)).otherwise(delta / baseline * 100)
 
 
-def money_text(amount: Column) -> Column:
+def money_text(amount: Column, decimals: int = 1) -> Column:
     """``$12.3M`` from one million up, ``$12,345`` below."""
-    return F.when(
-        amount >= 1_000_000, F.concat(F.lit("$"), F.format_number(amount / 1_000_000, 1), F.lit("M"))
-    ).otherwise(F.concat(F.lit("$"), F.format_number(amount, 0)))
+    millions = F.format_number(amount / 1_000_000, decimals)
+    return F.when(amount >= 1_000_000, F.concat(F.lit("$"), millions, F.lit("M"))).otherwise(
+        F.concat(F.lit("$"), F.format_number(amount, 0))
+    )
 
 
 def iso_text(ts: Column) -> Column:
@@ -85,4 +89,4 @@ def run_label(run_id: Column, status: Column, policy_version_id: Column) -> Colu
 
 
 def alert_label(score: Column) -> Column:
-    return F.when(score > 0.5, "High Risk (ML)").otherwise("Standard Transaction")
+    return F.when(score > ALERT_ABOVE, ALERT_LABELS[0]).otherwise(ALERT_LABELS[1])

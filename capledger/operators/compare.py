@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from capledger.functions.scalars import MIN_CAPITAL_RATIO, dbl, money_text, pct_change
 from capledger.operators.ordered import minute_chunk, running
 
+# Lineage keys of a context bundle.
+LINEAGE_KEYS = (
+    "policy_id", "policy_version_id", "sql_version_id", "run_id", "run_status", "approved_by", "validation_status",
+)
+
 # Sums are held here so that one more subtraction or product stays exact in decimal(38).
 EXACT = "decimal(34,8)"
 PAIR = ["run_a", "run_b"]
@@ -143,7 +148,7 @@ def stress_grid(cells: DataFrame) -> DataFrame:
     return grid.select(
         dbl("multiplier").alias("multiplier"),
         dbl(stressed).alias("stressed_rwa"),
-        (dbl(added) * float(MIN_CAPITAL_RATIO)).alias("incremental_capital"),
+        (dbl(added) * MIN_CAPITAL_RATIO).alias("incremental_capital"),
     )
 
 
@@ -195,12 +200,9 @@ def context_bundle(cells: DataFrame, chain: DataFrame, metrics: DataFrame) -> Da
 
     A list holds one pair's cells; the metrics come as one scalar.
     """
-    lineage_keys = [
-        "policy_id", "policy_version_id", "sql_version_id", "run_id", "run_status", "approved_by", "validation_status",
-    ]
     cell = F.struct(*CELL, dbl("baseline").alias("rwa_baseline"), dbl("updated").alias("rwa_updated"), dbl("delta").alias("rwa_delta"))
     per_pair = cells.groupBy("policy_id", *PAIR).agg(F.sort_array(F.collect_list(cell)).alias("rwa_comparison"))
-    lineage = chain.select(F.col("run_id").alias("run_b"), F.struct(*lineage_keys).alias("lineage"))
+    lineage = chain.select(F.col("run_id").alias("run_b"), F.struct(*LINEAGE_KEYS).alias("lineage"))
     metrics_json = metrics.select(F.struct(*metrics.columns)).scalar()
     return per_pair.join(lineage, "run_b", "left").select(
         "policy_id",

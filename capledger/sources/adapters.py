@@ -121,12 +121,12 @@ def instrument_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 def transactions_from(events: DataFrame) -> DataFrame:
     """Card swipes; also applies to a streaming frame. The label disagrees with the
     limit rule on every 50th event."""
-    limits = ", ".join(str(v) for v in CARD_LIMITS)
+    first = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(CARD_LIMITS[:3]))
     return events.selectExpr(
         "concat('TX-', event_id) AS transaction_id",
         "concat('CH-', 1001 + user_id % 4) AS cardholder_id",
         "CAST(value AS DECIMAL(18,2)) AS transaction_amount",
-        f"CAST(element_at(array({limits}), CAST(user_id % 4 + 1 AS INT)) AS DECIMAL(18,2)) AS credit_limit",
+        f"CAST(CASE user_id % 4 {first} ELSE {CARD_LIMITS[3]} END AS DECIMAL(18,2)) AS credit_limit",
         "ts AS transaction_time",
         "event_id % 50 = 0 AS flipped",
     ).selectExpr(
@@ -233,7 +233,7 @@ def registry_events(spark: SparkSession, sf_dir: str, drafts: bool = True) -> Da
                 WHEN {generates} THEN array('generated')
                 WHEN event_type = 'click' THEN array('regenerated')
                 WHEN event_type = 'view' THEN array('approved')
-                ELSE array('run_started', 'run_ended') END) AS event_type""",
+                WHEN event_type IN ('purchase', 'error') THEN array('run_started', 'run_ended') END) AS event_type""",
         )
         .selectExpr(
             "event_id", "event_ts", "event_type", "policy_id", "policy_version_id", "sql_version_id", "run_id", "actor",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.schemas import TABLES, TRANSACTIONAL_TABLES
@@ -44,53 +44,58 @@ def derive_table(df: DataFrame, table: str) -> None:
     df.write.mode("overwrite").saveAsTable(table)
 
 
-def _text(column: str):
+# Fields of the run summary.
+SUMMARY_FIELDS = (
+    "run_id", "policy_id", "policy_version_id", "sql_version_id", "run_status", "run_started", "run_ended",
+    "approved_by", "approved_at", "uploaded_by", "gcs_uri",
+)
+
+# Lines of the lineage graph source and the columns that fill them.
+GRAPH_LINES = (
+    ("graph LR", ()),
+    ("    PDF[Policy PDF %s] --> VER[Version %s]", ("policy_id", "policy_version_id")),
+    ("    VER --> EXT[Extraction model: %s]", ("model_version",)),
+    ("    EXT --> SQL[SQL %s]", ("sql_version_id",)),
+    ("    SQL --> APPROVE[Approved by %s]", ("approved_by",)),
+    ("    APPROVE --> RUN[Run %s]", ("run_id",)),
+    ("    RUN --> OUT[RWA Outputs]", ()),
+)
+
+
+def _text(column: str) -> Column:
+    """Every value as text; a missing one reads None."""
     return F.coalesce(F.col(column).cast("string"), F.lit("None"))
 
 
 def run_summary(chain: DataFrame) -> DataFrame:
-    """Eleven lineage fields per run as one JSON document, every value as text."""
-    fields = [
-        "run_id", "policy_id", "policy_version_id", "sql_version_id", "run_status", "run_started",
-        "run_ended", "approved_by", "approved_at", "uploaded_by", "gcs_uri",
-    ]
-    return chain.select("run_id", F.to_json(F.struct(*[_text(f).alias(f) for f in fields])).alias("summary"))
+    """The summary fields of each run as one JSON document, all text."""
+    return chain.select("run_id", F.to_json(F.struct(*[_text(f).alias(f) for f in SUMMARY_FIELDS])).alias("summary"))
 
 
 def lineage_graph(chain: DataFrame) -> DataFrame:
     """Graph source text per run."""
-    def part(fmt: str, *columns: str):
-        return F.format_string(fmt, *[F.coalesce(F.col(c), F.lit("N/A")) for c in columns])
-
-    text = F.concat_ws(
-        "\n",
-        F.lit("graph LR"),
-        part("    PDF[Policy PDF %s] --> VER[Version %s]", "policy_id", "policy_version_id"),
-        part("    VER --> EXT[Extraction model: %s]", "model_version"),
-        part("    EXT --> SQL[SQL %s]", "sql_version_id"),
-        part("    SQL --> APPROVE[Approved by %s]", "approved_by"),
-        part("    APPROVE --> RUN[Run %s]", "run_id"),
-        F.lit("    RUN --> OUT[RWA Outputs]"),
-    )
-    return chain.select("run_id", text.alias("value"))
+    filled = [
+        F.format_string(line, *[F.coalesce(c, F.lit("N/A")) for c in columns]) if columns else F.lit(line)
+        for line, columns in GRAPH_LINES
+    ]
+    return chain.select("run_id", F.concat_ws("\n", *filled).alias("value"))
 
 
 def export_audit(chain: DataFrame, sql_versions: DataFrame, comparison: DataFrame, root: str) -> None:
     """Audit package for every run in ``chain``: one folder per content kind, one
     partition per run. ``comparison`` is written once, with header, all text."""
-    by_run = {"compression": "none"}
-    chain.write.mode("overwrite").options(**by_run).partitionBy("run_id").json(f"{root}/lineage_metadata")
-    run_summary(chain).select("run_id", F.col("summary").alias("value")).write.mode("overwrite").partitionBy(
-        "run_id"
-    ).text(f"{root}/run_summary")
-    lineage_graph(chain).write.mode("overwrite").partitionBy("run_id").text(f"{root}/lineage_graph")
-    (
+    def by_run(df: DataFrame):
+        return df.write.mode("overwrite").partitionBy("run_id")
+
+    texts = (
         chain.select("run_id", "sql_version_id")
         .join(sql_versions.select("sql_version_id", F.col("generated_sql").alias("value")), "sql_version_id")
         .where(F.col("value").isNotNull())
-        .select("run_id", "value")
-        .write.mode("overwrite").partitionBy("run_id").text(f"{root}/generated_sql")
     )
+    by_run(chain).json(f"{root}/lineage_metadata")
+    by_run(run_summary(chain).withColumnRenamed("summary", "value")).text(f"{root}/run_summary")
+    by_run(lineage_graph(chain)).text(f"{root}/lineage_graph")
+    by_run(texts.select("run_id", "value")).text(f"{root}/generated_sql")
     (
         comparison.select(*[_text(c).alias(c) for c in comparison.columns])
         .write.mode("overwrite").option("header", True).csv(f"{root}/rwa_comparison")
