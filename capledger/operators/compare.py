@@ -196,16 +196,19 @@ def bucket_sensitivity(cells: DataFrame) -> DataFrame:
 
 def context_bundle(cells: DataFrame, chain: DataFrame, metrics: DataFrame) -> DataFrame:
     """One JSON document per run pair: comparison cells, seven lineage keys of the
-    updated run, and the dashboard metrics.
+    updated run, and the dashboard metrics; amounts as plain numbers with four decimals.
 
     A list holds one pair's cells; the metrics come as one scalar.
     """
-    cell = F.struct(*CELL, dbl("baseline").alias("rwa_baseline"), dbl("updated").alias("rwa_updated"), dbl("delta").alias("rwa_delta"))
+    amount = lambda c: F.col(c).cast("decimal(38,4)")
+    cell = F.struct(*CELL, *[amount(c).alias(f"rwa_{c}") for c in ("baseline", "updated", "delta")])
     per_pair = cells.groupBy("policy_id", *PAIR).agg(F.sort_array(F.collect_list(cell)).alias("rwa_comparison"))
     lineage = chain.select(F.col("run_id").alias("run_b"), F.struct(*LINEAGE_KEYS).alias("lineage"))
-    metrics_json = metrics.select(F.struct(*metrics.columns)).scalar()
+    plain = [amount(c).alias(c) if kind == "double" else F.col(c) for c, kind in metrics.dtypes]
     return per_pair.join(lineage, "run_b", "left").select(
         "policy_id",
         *PAIR,
-        F.to_json(F.struct("rwa_comparison", "lineage", metrics_json.alias("dashboard_metrics"))).alias("context_json"),
+        F.to_json(
+            F.struct("rwa_comparison", "lineage", metrics.select(F.struct(*plain)).scalar().alias("dashboard_metrics"))
+        ).alias("context_json"),
     )

@@ -272,22 +272,24 @@ SELECT event_id, CASE event_type WHEN 'view' THEN 'approved' ELSE 'regenerated'
   pvid AS policy_version_id, sqlid AS sql_version_id
 FROM reg WHERE (event_type = 'view' OR (event_type = 'click' AND NOT generates)) AND sqlid IS NULL"""
 
-ORACLE_SQL["run_pair_comparison"] = f"""WITH {OUTPUTS},
+PAIRS = f"""{OUTPUTS},
 pairs AS (
   SELECT policy_id, LAG(run_id) OVER (PARTITION BY policy_id ORDER BY started_at, run_id) AS run_a, run_id AS run_b
   FROM runs),
 a AS (SELECT p.*, o.portfolio, o.risk_bucket, o.rwa FROM pairs p JOIN outputs o ON o.run_id = p.run_a),
-b AS (SELECT p.*, o.portfolio, o.risk_bucket, o.rwa FROM pairs p JOIN outputs o ON o.run_id = p.run_b WHERE p.run_a IS NOT NULL)
-SELECT COALESCE(a.policy_id, b.policy_id) AS policy_id, COALESCE(a.run_a, b.run_a) AS run_a,
-  COALESCE(a.run_b, b.run_b) AS run_b, COALESCE(a.portfolio, b.portfolio) AS portfolio,
-  COALESCE(a.risk_bucket, b.risk_bucket) AS risk_bucket,
-  {_dbl('COALESCE(a.rwa, 0)')} AS rwa_baseline, {_dbl('COALESCE(b.rwa, 0)')} AS rwa_updated,
-  {_dbl('COALESCE(b.rwa, 0) - COALESCE(a.rwa, 0)')} AS rwa_delta
-FROM a FULL OUTER JOIN b ON a.run_a = b.run_a AND a.run_b = b.run_b
-  AND a.portfolio = b.portfolio AND a.risk_bucket = b.risk_bucket"""
-
-ORACLE_SQL["dashboard_kpis"] = f"""WITH {OUTPUTS}
-SELECT (SELECT COUNT(*) FROM docs) AS total_policies,
+b AS (SELECT p.*, o.portfolio, o.risk_bucket, o.rwa FROM pairs p JOIN outputs o ON o.run_id = p.run_b WHERE p.run_a IS NOT NULL),
+paired AS (
+  SELECT COALESCE(a.policy_id, b.policy_id) AS policy_id, COALESCE(a.run_a, b.run_a) AS run_a,
+    COALESCE(a.run_b, b.run_b) AS run_b, COALESCE(a.portfolio, b.portfolio) AS portfolio,
+    COALESCE(a.risk_bucket, b.risk_bucket) AS risk_bucket, COALESCE(a.rwa, 0) AS base, COALESCE(b.rwa, 0) AS upd,
+    COALESCE(b.rwa, 0) - COALESCE(a.rwa, 0) AS delta
+  FROM a FULL OUTER JOIN b ON a.run_a = b.run_a AND a.run_b = b.run_b
+    AND a.portfolio = b.portfolio AND a.risk_bucket = b.risk_bucket)"""
+
+ORACLE_SQL["run_pair_comparison"] = f"""WITH {PAIRS}
+SELECT policy_id, run_a, run_b, portfolio, risk_bucket, {CMP_COLUMNS} FROM paired"""
+
+KPIS = f"""SELECT (SELECT COUNT(*) FROM docs) AS total_policies,
   (SELECT COUNT(*) FROM sqls WHERE validation_status = 'approved') AS approved_sql,
   (SELECT COUNT(*) FROM runs WHERE run_status = 'succeeded') AS successful_runs,
   (SELECT {_dbl('COALESCE(SUM(rwa), 0)')} FROM outputs) AS total_rwa,
@@ -295,6 +297,8 @@ SELECT (SELECT COUNT(*) FROM docs) AS total_policies,
      SELECT run_id FROM runs WHERE run_status = 'succeeded' ORDER BY started_at DESC, run_id DESC LIMIT 1)
   ) AS total_rwa_latest_run"""
 
+ORACLE_SQL["dashboard_kpis"] = f"WITH {OUTPUTS} {KPIS}"
+
 ORACLE_SQL["lineage_coverage"] = f"""WITH {OUTPUTS},
 f AS (
   SELECT o.run_id IN (SELECT run_id FROM runs)
@@ -318,6 +322,35 @@ chain AS (
 
 ORACLE_SQL["lineage_chain"] = f"WITH {CHAIN} SELECT * FROM chain"
 
+def _json(name: str, column: str, comma: str = ",") -> str:
+    return f"""COALESCE('{comma}"{name}":"' || {column} || '"', '')"""
+
+
+LINEAGE_JSON = " || ".join(
+    _json(c, f"h.{c}", "" if i == 0 else ",")
+    for i, c in enumerate(
+        ["policy_id", "policy_version_id", "sql_version_id", "run_id", "run_status", "approved_by", "validation_status"]
+    )
+)
+KPI_JSON = """'"total_policies":' || total_policies || ',"approved_sql":' || approved_sql || ',"successful_runs":' ||
+  successful_runs || ',"total_rwa":' || CAST(CAST(total_rwa AS VARCHAR) AS DECIMAL(38,4)) ||
+  ',"total_rwa_latest_run":' || CAST(CAST(total_rwa_latest_run AS VARCHAR) AS DECIMAL(38,4))"""
+
+ORACLE_SQL["context_bundle"] = f"""WITH {PAIRS},
+{CHAIN.removeprefix(REG + ",").strip()},
+kpi AS ({KPIS}),
+docs_json AS (
+  SELECT policy_id, run_a, run_b, string_agg(
+    '{{"portfolio":"' || portfolio || '","risk_bucket":"' || risk_bucket || '","rwa_baseline":' || CAST(base AS DECIMAL(38,4))
+    || ',"rwa_updated":' || CAST(upd AS DECIMAL(38,4)) || ',"rwa_delta":' || CAST(delta AS DECIMAL(38,4)) || '}}',
+    ',' ORDER BY portfolio, risk_bucket) AS cells
+  FROM paired GROUP BY policy_id, run_a, run_b)
+SELECT d.policy_id, d.run_a, d.run_b,
+  '{{"rwa_comparison":[' || cells || ']' ||
+  CASE WHEN h.run_id IS NULL THEN '' ELSE ',"lineage":{{' || {LINEAGE_JSON} || '}}' END ||
+  ',"dashboard_metrics":{{' || (SELECT {KPI_JSON} FROM kpi) || '}}}}' AS context_json
+FROM docs_json d LEFT JOIN chain h ON h.run_id = d.run_b"""
+
 ORACLE_SQL["lineage_edges"] = f"""WITH {CHAIN},
 nodes AS (
   SELECT run_id, 1 AS n, 'PDF ' || policy_id AS label FROM chain
