@@ -67,20 +67,24 @@ def run_pairs(runs: DataFrame) -> DataFrame:
     )
 
 
-def compare_consecutive(outputs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Comparison cells of every pair: each run's rows join once per pair it is in."""
-    membership = pairs.select(
-        "policy_id",
+def pair_members(pairs: DataFrame) -> DataFrame:
+    """Each run with every pair it is in and its side there: two pairs at most."""
+    return pairs.select(
         *PAIR,
-        F.inline(
-            F.array(
-                F.struct(F.col("run_a").alias("run_id"), F.lit("a").alias("side")),
-                F.struct(F.col("run_b").alias("run_id"), F.lit("b").alias("side")),
-            )
-        ),
-    )
-    tagged = outputs.select("run_id", *CELL, "rwa_exact").join(membership, "run_id")
-    return _sides(tagged, ["policy_id", *PAIR])
+        F.inline(F.expr("array(struct(run_a AS run_id, 'a' AS side), struct(run_b AS run_id, 'b' AS side))")),
+    )
+
+
+def compare_tagged(rows: DataFrame) -> DataFrame:
+    """Comparison cells of every pair from output rows that carry ``policy_id``, their pair
+    and their side. Tag runs before stamping outputs where both are possible: runs are
+    fewer by the number of cells."""
+    return _sides(rows, ["policy_id", *PAIR])
+
+
+def compare_consecutive(outputs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Comparison cells of every pair from stored outputs."""
+    return compare_tagged(outputs.join(pair_members(pairs), "run_id"))
 
 
 def published(cells: DataFrame, keys: list[str]) -> DataFrame:

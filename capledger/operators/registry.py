@@ -209,8 +209,11 @@ def bound_sql(spark: SparkSession, sql_versions: DataFrame, sql_version_id: str,
     return spark.sql(stored.generated_sql, args={"sql_version_id": sql_version_id, **ids})
 
 
-def stamp_outputs(runs: DataFrame, cells: DataFrame, rule_version: Column, as_of: Column) -> DataFrame:
-    """Report output rows: every run gets the cells of its rule version and its ids.
+def stamp_outputs(
+    runs: DataFrame, cells: DataFrame, rule_version: Column, as_of: Column, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Report output rows: every run gets the cells of its rule version and its ids, and
+    keeps its columns in ``keep``.
 
     ``cells`` (``policy_version, portfolio, risk_bucket, rwa_exact``) should be a
     written table: its exact size then lets Catalyst broadcast it below the
@@ -221,7 +224,7 @@ def stamp_outputs(runs: DataFrame, cells: DataFrame, rule_version: Column, as_of
         .join(cells, "policy_version")
         .select(
             "portfolio", "risk_bucket", "rwa_exact", F.col("rwa_exact").cast("double").alias("rwa_amount"),
-            as_of.cast("date").alias("as_of_date"), "run_id", "policy_id", "policy_version_id", "sql_version_id",
+            as_of.cast("date").alias("as_of_date"), "run_id", "policy_id", "policy_version_id", "sql_version_id", *keep,
         )
     )
 

@@ -56,11 +56,17 @@ def _events(spark: SparkSession, sf: str, drafts: bool = False, staged: bool = F
     return stage(events, "registry_events") if staged else events
 
 
-def _outputs(spark: SparkSession, sf: str, runs: DataFrame) -> DataFrame:
+def _outputs(spark: SparkSession, sf: str, runs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Report outputs of the succeeded runs."""
     cells = stage(_cells(spark, sf), "rwa_cells")
     done = runs.where(F.col("run_status") == "succeeded")
-    return registry.stamp_outputs(done, cells, adapters.rule_version_of(), F.col("started_at"))
+    return registry.stamp_outputs(done, cells, adapters.rule_version_of(), F.col("started_at"), keep)
+
+
+def _pair_cells(spark: SparkSession, sf: str, runs: DataFrame) -> DataFrame:
+    """Comparison cells of consecutive runs."""
+    tagged = runs.join(compare.pair_members(compare.run_pairs(runs)), "run_id")
+    return compare.compare_tagged(_outputs(spark, sf, tagged, keep=(*compare.PAIR, "side")))
 
 
 def _chain(events: DataFrame) -> DataFrame:
@@ -129,8 +135,7 @@ def rwa_comparison(spark, sf):
 @query
 def run_pair_comparison(spark, sf):
     runs = stage(registry.run_state(_events(spark, sf)), "report_runs")
-    cells = compare.compare_consecutive(_outputs(spark, sf, runs), compare.run_pairs(runs))
-    return compare.published(cells, ["policy_id", *compare.PAIR])
+    return compare.published(_pair_cells(spark, sf, runs), ["policy_id", *compare.PAIR])
 
 
 @query
@@ -191,11 +196,10 @@ def dashboard_kpis(spark, sf):
 def context_bundle(spark, sf):
     events = _events(spark, sf, drafts=True, staged=True)
     runs = stage(registry.run_state(events), "report_runs")
-    outputs = _outputs(spark, sf, runs)
-    cells = compare.compare_consecutive(outputs, compare.run_pairs(runs))
     metrics = registry.dashboard_kpis(
-        registry.document_state(events), registry.sql_version_state(events), runs, outputs
+        registry.document_state(events), registry.sql_version_state(events), runs, _outputs(spark, sf, runs)
     )
+    cells = _pair_cells(spark, sf, runs)
     return compare.context_bundle(cells, _chain(events), metrics).select("policy_id", "run_a", "run_b", "context_json")
 
 

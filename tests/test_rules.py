@@ -124,6 +124,26 @@ def test_comparison_like_a_full_outer_join(spark):
     assert rows(compare.published(same, [])) == [("P", "Low", 100.0, 100.0, 0.0)]
 
 
+def test_consecutive_runs(spark):
+    t = dt.datetime(2024, 1, 1)
+    runs = spark.createDataFrame(
+        [("p", "r1", t), ("p", "r3", t + dt.timedelta(days=2)), ("p", "r2", t + dt.timedelta(days=1)), ("q", "s1", t)],
+        "policy_id string, run_id string, started_at timestamp_ntz",
+    )
+    pairs = compare.run_pairs(runs)
+    assert rows(pairs) == [("p", "r1", "r2"), ("p", "r2", "r3")]
+    outputs = _outputs(spark, [("r1", "P", "Low", 1), ("r2", "P", "Low", 4), ("r3", "P", "High", 9), ("s1", "P", "Low", 5)])
+    outputs = outputs.join(runs.select("run_id", "policy_id"), "run_id")
+    cells = compare.published(compare.compare_consecutive(outputs, pairs), ["policy_id", *compare.PAIR])
+    assert rows(cells) == sorted(
+        [
+            ("p", "r1", "r2", "P", "Low", 1.0, 4.0, 3.0), ("p", "r2", "r3", "P", "Low", 4.0, 0.0, -4.0),
+            ("p", "r2", "r3", "P", "High", 0.0, 9.0, 9.0),
+        ],
+        key=repr,
+    )
+
+
 def test_comparison_sums_and_waterfall_agree(spark, sf):
     from capledger.plans import catalogue
 
