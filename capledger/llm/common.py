@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capledger.session import stage
+from capledger.session import scratch_path, stage
 
 # A frame at most this large (as written to Parquet) may be broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 16 << 20
@@ -28,6 +28,13 @@ def words(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+def stage_compact(df: DataFrame, name: str) -> DataFrame:
+    """Like ``stage``, with zstandard pages: for wide binary or text columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged_bytes(spark: SparkSession, df: DataFrame) -> int:
     """Size of the files below a staged frame."""
     jvm, total = spark._jvm, 0
@@ -80,3 +87,22 @@ def running_start(df: DataFrame, group: list[str], order: list[str], weight: str
         .join(carried, same)
         .select(*df.columns, (F.col("_rs_local") + F.col("_rs_base")).alias(name))
     )
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, key: Column, digest: Column, also: Column | None = None) -> DataFrame:
+    """Rows of ``docs`` that ``kept`` (id, digest, number of equal rows[, content]) names, all columns, one row each.
+
+    Of equal rows, the smallest by all columns stays; rows that others equal are the only ones grouped.
+    """
+    names = ["__kept_id", "__kept_digest", "__kept_times", "__kept_content"][: len(kept.columns)]
+    kept = stage(kept.toDF(*names), "kept")
+    same = key.eqNullSafe(F.col(names[0])) & (digest == F.col(names[1]))
+    if also is not None:
+        same = same & (F.col(names[3]).isNull() | (F.col(names[3]) == also))
+    once = docs.join(small(kept.where(F.col(names[2]) == 1)), same, "left_semi")
+    repeated = (
+        docs.join(small(kept.where(F.col(names[2]) > 1)), same)
+        .groupBy(*[n for n in names if n != names[2]])
+        .agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__kept_row"))
+    )
+    return once.unionByName(repeated.select("__kept_row.*"))

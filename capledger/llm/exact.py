@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capledger.llm.common import ascii_lower, small
+from capledger.llm.common import ascii_lower, keep_rows, small
 from capledger.session import stage
 
 
@@ -79,16 +79,5 @@ def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Among rows that repeat id and content, the smallest by all columns stays.
     """
     kept = members(docs, key, text).where(F.col("_id").eqNullSafe(F.col("keep_id")))
-    kept = stage(kept.select(F.col("_id").alias("__k"), F.col("_hash").alias("__kh"), F.col("_other").alias("__ko"), F.col("_times").alias("__times")), "kept")
     body = content(F.col(text))
-    same = (
-        F.col(key).eqNullSafe(F.col("__k"))
-        & (F.unhex(F.md5(body)) == F.col("__kh"))
-        & (F.col("__ko").isNull() | (F.col("__ko") == body))
-    )
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = docs.join(small(kept.where("__times = 1")), same, "left_semi")
-    repeated = docs.join(small(kept.where("__times > 1")), same).groupBy("__k", "__kh", "__ko").agg(
-        F.min(F.struct(*columns)).alias("__row")
-    )
-    return once.unionByName(repeated.select("__row.*"))
+    return keep_rows(docs, kept.select("_id", "_hash", "_times", "_other"), F.col(key), F.unhex(F.md5(body)), body)

@@ -95,12 +95,24 @@ def _descend(region_weights: list[float]) -> str:
     return level([f"/region{r}" for r in range(n)], region_weights, regions[:n])
 
 
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte value, from the reflected polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return table
+
+
+BYTES = "list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda p: CAST('0x' || p AS BIGINT))"
+CRC32 = f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {BYTES}),
+    lambda a, b: xor(a >> 8, CAST({_crc_table()} AS BIGINT[])[(xor(a, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"""
+
 OP7 = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS body, CAST({_descend([8.0, 8.0])} AS INTEGER) AS shard,
     CAST({_descend([8.0, 8.0, 1.0])} AS INTEGER) AS grown_shard
   FROM documents)
-SELECT doc_id, shard, grown_shard, 'key' AS law, octet_length(encode(body)) + 1 AS size,
+SELECT doc_id, shard, grown_shard, 'key' AS law, octet_length(encode(body)) + 1 AS size, {CRC32} AS text_crc32,
   row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot
 FROM d
 """
@@ -116,5 +128,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1,
     "op3_decontamination": OP3,
     "op5_line_dedup": OP5,
+    "op7_sharding": OP7,
     "op10_exact_dedup": OP10,
 }

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from capledger.llm.contamination import contamination
 from capledger.llm.exact import exact_groups
+from capledger.llm.language import dictionaries, held_out, identify
 from capledger.llm.lines import dedup_lines
+from capledger.llm.near import near_groups
+from capledger.llm.packing import pack
 from capledger.llm.sharding import shard
 from capledger.llm.urls import judge_urls, rule_frame
 
@@ -35,6 +38,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = dedup_lines(table(spark, sf_dir, "documents"))
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -44,6 +51,20 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 3, 1)
+    found = identify(docs, dictionaries(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "lead", "rejected")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -53,8 +74,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_url_filter,
         op3_decontamination,
+        op4_near_dedup,
         op5_line_dedup,
         op7_sharding,
+        op8_language_id,
+        op9_packing,
         op10_exact_dedup,
     )
 }
