@@ -13,7 +13,9 @@ from capledger.llm.language import dictionaries, held_out, identify
 from capledger.llm.lines import dedup_lines
 from capledger.llm.near import near_groups
 from capledger.llm.packing import pack
+from capledger.llm.pii import find_pii, learn as learn_pii
 from capledger.llm.sharding import shard
+from capledger.llm.toxicity import language_model, learn as learn_toxicity, letter_counts, toxicity
 from capledger.llm.urls import judge_urls, rule_frame
 
 # The rules that the URL query applies.
@@ -34,6 +36,16 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rule_frame(spark, URL_RULES))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = language_model(letter_counts(docs))
+    scored = toxicity(docs, model, learn_toxicity(docs, labels.where(~out), model))
+    return scored.select(
+        "doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +59,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = find_pii(docs, learn_pii(docs))
+    counts = ["n_email", "n_ip", "n_card", "n_phone"]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -73,9 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter,
+        op2_toxicity,
         op3_decontamination,
         op4_near_dedup,
         op5_line_dedup,
+        op6_pii,
         op7_sharding,
         op8_language_id,
         op9_packing,
