@@ -191,3 +191,18 @@ def contamination(
             ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
         )
     )
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", window: int = WINDOW,
+) -> DataFrame:
+    """The rows that are not contaminated, all columns."""
+    matched, _ = phrase_matches(docs, benchmark, key, text, item, item_text, window)
+    hit = _covered(F.col("matches"))
+    spoiled = matched.where((hit > 0) & (hit * 20 >= F.col("n_words"))).select(
+        F.col("_doc").alias("__spoiled"), F.col("_body").alias("__spoiled_body")
+    )
+    spoiled = stage(spoiled.distinct(), "contaminated")
+    same = F.col(key).eqNullSafe(F.col("__spoiled")) & (F.xxhash64(F.col(text)) == F.col("__spoiled_body"))
+    return docs.join(small(spoiled), same, "left_anti")

@@ -284,6 +284,21 @@ def _score(model: np.ndarray, scorer: Scorer):
     return score
 
 
+def _pass_clean(model: np.ndarray, scorer: Scorer, column: str, limit: float):
+    def pass_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model)
+        for batch in batches:
+            texts = batch.column(column).to_pylist()
+            yield batch.filter(pa.array([scorer.score(restorer.restore(t)) < limit for t in texts], pa.bool_()))
+
+    return pass_clean
+
+
+def drop_toxic(docs: DataFrame, model: np.ndarray, scorer: Scorer, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows with a score below ``limit``, all columns; the rest as for ``toxicity``."""
+    return docs.mapInArrow(_pass_clean(model, scorer, text, limit), docs.schema)
+
+
 def toxicity(
     docs: DataFrame, model: np.ndarray, scorer: Scorer, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
