@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capledger.functions.scalars import MIN_CAPITAL_RATIO, dbl, money_text, pct_change
-from capledger.operators.ordered import minute_chunk, running
+from capledger.operators.ordered import running
 
 # Lineage keys of a context bundle.
 LINEAGE_KEYS = (
@@ -58,7 +58,6 @@ def run_pairs(runs: DataFrame) -> DataFrame:
         runs.select("policy_id", "run_id", "started_at"),
         ["policy_id"],
         ["started_at", "run_id"],
-        minute_chunk("started_at"),
         {"previous": ("max", start)},
         inclusive=False,
     )

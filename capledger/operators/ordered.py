@@ -1,9 +1,8 @@
 """Running totals over ordered groups of any size.
 
-A plain ``Window.partitionBy(key)`` sorts a whole key in one task. That is right
-for ordinary keys; a hot key, which may hold a third of the table, is cut into
-ordered chunks instead: rows accumulate inside their own chunk, one summary row
-per chunk accumulates along the key, and the two are added.
+Rows are range-partitioned by key and order, so that a key with a third of the table
+spans many tasks. They accumulate inside their partition; what a key holds in earlier
+partitions is one row per partition it crosses into, and is added.
 """
 
 from __future__ import annotations
@@ -13,72 +12,57 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-# Rows of one key that a single task may sort.
-HOT_ROWS = 5_000_000
-
-
-def minute_chunk(ts: str, minutes: int = 1) -> Column:
-    """Ordered chunk number from a timestamp, independent of the session time zone."""
-    minute = F.unix_date(F.to_date(ts)) * 1440 + F.hour(ts) * 60 + F.minute(ts)
-    return F.floor(minute / minutes)
-
-
-def id_chunk(column: str, width: int = 1 << 16) -> Column:
-    return F.floor(F.col(column) / width)
+from capledger.session import stage
 
 
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    chunk: Column,
     totals: dict[str, tuple[str, Column]],
     inclusive: bool = True,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add running ``sum`` / ``max`` columns per key in ``order``.
 
-    ``chunk`` must be non-decreasing along ``order``. A ``max`` over a struct that
-    starts with the order columns is "the latest row where the value is set".
-    Keys must not be NULL. With ``inclusive=False`` a row does not see itself.
-
-    Keys with more than ``hot_rows`` (``HOT_ROWS``) rows are chunked. There are at most
-    rows / ``hot_rows`` of them, which bounds what is broadcast; without any, the
-    joins have an empty side and the plan is the plain window.
+    A ``max`` over a struct that starts with the order columns is "the latest row where
+    the value is set". NULL is a key like any other; NULL orders come first. With
+    ``inclusive=False`` a row does not see itself. The ordered rows are written once,
+    so that partition numbers hold for every reader.
     """
     apply = {"sum": F.sum, "max": F.max}
-    part = [*keys, "_chunk"]
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(
-        F.col("_n") > (HOT_ROWS if hot_rows is None else hot_rows)
-    )
-    inputs = df.join(F.broadcast(hot), keys, "left").select(
-        *df.columns,
-        F.when(F.col("_n").isNotNull(), chunk).alias("_chunk"),
-        *[expr.alias(f"_in_{n}") for n, (_, expr) in totals.items()],
+    placed = stage(
+        df.select(*df.columns, *[expr.alias(f"_in_{n}") for n, (_, expr) in totals.items()])
+        .repartitionByRange(*keys, *order)
+        .withColumn("_part", F.spark_partition_id()),
+        "ordered",
     )
-
     inside = (
-        Window.partitionBy(*part)
+        Window.partitionBy("_part", *keys)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    rows = inputs.select(
+    rows = placed.select(
         *df.columns,
-        "_chunk",
+        "_part",
         *[apply[kind](f"_in_{n}").over(inside).alias(f"_local_{n}") for n, (kind, _) in totals.items()],
     )
 
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        inputs.where(F.col("_chunk").isNotNull())
-        .groupBy(*part)
+    along = Window.partitionBy(*keys).orderBy("_part")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    crossing = (
+        placed.groupBy("_part", *keys)
         .agg(*[apply[kind](f"_in_{n}").alias(f"_in_{n}") for n, (kind, _) in totals.items()])
         .select(
-            *part,
+            F.col("_part").alias("_in_part"),
+            *[F.col(k).alias(f"_in_key_{i}") for i, k in enumerate(keys)],
+            F.row_number().over(along).alias("_nth"),
             *[apply[kind](f"_in_{n}").over(before).alias(f"_carry_{n}") for n, (kind, _) in totals.items()],
         )
+        .where("_nth > 1")
     )
+    same = F.col("_part") == F.col("_in_part")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_in_key_{i}"))
 
     def combined(name: str, kind: str) -> Column:
         local, carry = F.col(f"_local_{name}"), F.col(f"_carry_{name}")
@@ -86,7 +70,7 @@ def running(
             return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
         return F.greatest(local, carry)
 
-    return rows.join(carried, part, "left").select(
+    return rows.join(crossing, same, "left").select(
         *df.columns, *[combined(n, kind).alias(n) for n, (kind, _) in totals.items()]
     )
 

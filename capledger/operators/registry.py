@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.functions.scalars import run_label
-from capledger.operators.ordered import minute_chunk, running
+from capledger.operators.ordered import running
 from capledger.schemas import DRAFT_PAYLOAD, TABLES
 
 DRAFT = ("generated", "regenerated")
@@ -124,14 +124,20 @@ def sql_version_state(events: DataFrame) -> DataFrame:
 
 
 def extractions(events: DataFrame) -> DataFrame:
-    """One extraction row per extracted or generated event; may repeat per version."""
+    """One extraction row per extracted or generated event of a policy version, however often
+    the event was appended; may repeat per version."""
     draft = F.from_json("payload", DRAFT_PAYLOAD)
-    return events.where(F.col("event_type").isin("extracted", "generated")).select(
+    once = (
+        events.where(F.col("event_type").isin("extracted", "generated") & F.col("policy_version_id").isNotNull())
+        .groupBy("event_id", "policy_version_id", F.col("event_ts").alias("created_at"))
+        .agg(F.max("payload").alias("payload"))
+    )
+    return once.select(
         "policy_version_id",
         draft["extraction_json"].alias("extraction_json"),
         draft["clause_citations"].alias("clause_citations"),
         draft["model_version"].alias("model_version"),
-        F.col("event_ts").alias("created_at"),
+        "created_at",
         "event_id",
     )
 
@@ -155,19 +161,23 @@ def run_state(events: DataFrame) -> DataFrame:
 
 
 def run_gate(events: DataFrame) -> DataFrame:
-    """Each started run that names a rule version: was that version approved then?
+    """Each started run that names a rule version, once: was that version approved then?
 
-    The last draft or approval of the version before the start decides.
+    The last draft or approval of the version before the start decides. Inside one
+    instant drafts come first, then approvals, then starts; events of one kind and
+    instant follow their ids. Of a start that was appended more than once the last counts,
+    as it does in ``run_state``.
     """
+    rank = F.when(F.col("event_type").isin(*DRAFT), 0).when(F.col("event_type") == "approved", 1).otherwise(2)
     relevant = events.where(
         F.col("sql_version_id").isNotNull() & F.col("event_type").isin("approved", "run_started", *DRAFT)
-    ).select("sql_version_id", "event_ts", "event_id", "event_type", "run_id")
-    change = _when(("approved", *DRAFT), F.struct("event_ts", "event_id", (F.col("event_type") == "approved").alias("approved")))
-    seen = running(
-        relevant, ["sql_version_id"], ["event_ts", "event_id"], minute_chunk("event_ts"), {"state": ("max", change)}
-    )
-    return seen.where(F.col("event_type") == "run_started").select(
-        "run_id", F.coalesce("state.approved", F.lit(False)).alias("approved_at_start")
+    ).select("sql_version_id", "event_ts", rank.alias("step"), "event_id", "event_type", "run_id")
+    order = ["event_ts", "step", "event_id"]
+    change = _when(("approved", *DRAFT), F.struct(*order))
+    seen = running(relevant, ["sql_version_id"], order, {"state": ("max", change)})
+    started = seen.where(F.col("event_type") == "run_started")
+    return started.groupBy("run_id").agg(
+        F.max_by(F.coalesce(F.col("state.step") == 1, F.lit(False)), F.struct("event_ts", "event_id")).alias("approved_at_start")
     )
 
 
@@ -184,14 +194,14 @@ def gate_violations(runs: DataFrame, gate: DataFrame) -> DataFrame:
 
 
 def orphan_events(events: DataFrame, sql_versions: DataFrame) -> DataFrame:
-    """Draft changes and approvals of a rule version that was never generated.
+    """Draft changes and approvals of a rule version that was never generated, and drafts of none.
 
     Events without a rule version match nothing and stay out of the shuffle.
     """
-    touching = events.where(F.col("event_type").isin("regenerated", "approved")).select(
-        "event_id", "event_type", "policy_version_id", "sql_version_id"
-    )
     named = F.col("sql_version_id").isNotNull()
+    touching = events.where(
+        F.col("event_type").isin("regenerated", "approved") | (~named & (F.col("event_type") == "generated"))
+    ).select("event_id", "event_type", "policy_version_id", "sql_version_id")
     unknown = touching.where(named).join(sql_versions.select("sql_version_id"), "sql_version_id", "left_anti")
     return touching.where(~named).unionByName(unknown)
 

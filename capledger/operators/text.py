@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capledger.functions.scalars import clause_origin, lines
-from capledger.operators.ordered import id_chunk, running
+from capledger.operators.ordered import running
 from capledger.schemas import SNAPSHOT, TRACE
 
 CLAUSE_COMMENT = r"--\s*\[((?:V\d+-)?C\d+)\]"
@@ -119,7 +119,6 @@ def version_pairs(texts: DataFrame) -> DataFrame:
         texts.select("policy_id", "version_no"),
         ["policy_id"],
         ["version_no"],
-        id_chunk("version_no"),
         {"version_a": ("max", F.col("version_no"))},
         inclusive=False,
     )

@@ -27,9 +27,9 @@ EXPO = """expo AS (
   SELECT c.c_mktsegment AS portfolio, p.p_type AS asset_class,
          CAST(l.l_extendedprice AS DECIMAL(18,2)) AS amount
   FROM lineitem l
-  JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN part p ON l.l_partkey = p.p_partkey)"""
+  LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+  LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN part p ON l.l_partkey = p.p_partkey)"""
 
 V1 = """v1(asset_class, risk_bucket, risk_weight) AS (VALUES
   ('ECONOMY', 'Low', CAST(0.20 AS DECIMAL(7,4))), ('SMALL', 'Low', 0.20), ('STANDARD', 'Medium', 0.50),
@@ -182,14 +182,14 @@ REG = """ev AS (
   FROM events),
 reg AS (
   SELECT event_id, ts, event_type, k, v, event_type = 'click' AND event_id % 4 <> 0 AS generates,
-    'POL-' || user_id AS policy_id, 'POL-' || user_id || '-V' || v AS pvid,
-    'SQL-' || LAST_VALUE(CASE WHEN event_type = 'click' AND event_id % 4 <> 0 THEN event_id END IGNORE NULLS)
-      OVER (PARTITION BY user_id, v ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sqlid,
+    'POL-' || user_id AS policy_id, CASE WHEN v > 0 THEN 'POL-' || user_id || '-V' || v END AS pvid,
+    CASE WHEN v > 0 THEN 'SQL-' || LAST_VALUE(CASE WHEN event_type = 'click' AND event_id % 4 <> 0 THEN event_id END IGNORE NULLS)
+      OVER (PARTITION BY user_id, v ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS sqlid,
     'analyst-' || (event_id % 5) AS actor
-  FROM ev WHERE v > 0),
+  FROM ev),
 docs AS (
   SELECT policy_id, pvid AS policy_version_id, ts AS uploaded_at, actor AS uploaded_by,
-    'gs://policies/' || pvid || '/policy.pdf' AS gcs_uri,
+    'policies/' || pvid || '/policy.pdf' AS gcs_uri,
     CASE WHEN LEAD(v) OVER (PARTITION BY policy_id ORDER BY v) IS NOT NULL THEN 'superseded'
          WHEN pvid IN (SELECT pvid FROM reg WHERE event_type = 'view' AND sqlid IS NOT NULL) THEN 'approved'
          WHEN pvid IN (SELECT pvid FROM reg WHERE generates) THEN 'extracted' ELSE 'draft' END AS status,
@@ -222,13 +222,14 @@ gate AS (
     FROM reg WHERE sqlid IS NOT NULL)
   WHERE event_type IN ('purchase', 'error')),
 ext AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY pvid ORDER BY ts DESC, event_id DESC) AS rn FROM reg WHERE generates)"""
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY pvid ORDER BY ts DESC, event_id DESC) AS rn FROM reg
+  WHERE generates AND pvid IS NOT NULL)"""
 
 OUTPUTS = f"""{CELLS},
 {REG},
 outputs AS (
   SELECT r.run_id, r.policy_id, r.policy_version_id, r.sql_version_id, c.portfolio, c.risk_bucket, c.rwa
-  FROM runs r JOIN cells c ON c.policy_version = CASE WHEN r.v % 2 = 1 THEN 'V1' ELSE 'V2' END
+  FROM runs r JOIN cells c ON c.policy_version = CASE WHEN r.v > 0 AND r.v % 2 = 0 THEN 'V2' ELSE 'V1' END
   WHERE r.run_status = 'succeeded')"""
 
 ORACLE_SQL["document_state"] = f"""WITH {REG}
@@ -268,9 +269,9 @@ FROM runs r LEFT JOIN gate g ON g.run_id = r.run_id
 WHERE r.sql_version_id IS NULL OR NOT g.approved"""
 
 ORACLE_SQL["orphan_events"] = f"""WITH {REG}
-SELECT event_id, CASE event_type WHEN 'view' THEN 'approved' ELSE 'regenerated' END AS event_type,
+SELECT event_id, CASE WHEN event_type = 'view' THEN 'approved' WHEN generates THEN 'generated' ELSE 'regenerated' END AS event_type,
   pvid AS policy_version_id, sqlid AS sql_version_id
-FROM reg WHERE (event_type = 'view' OR (event_type = 'click' AND NOT generates)) AND sqlid IS NULL"""
+FROM reg WHERE event_type IN ('view', 'click') AND sqlid IS NULL"""
 
 PAIRS = f"""{OUTPUTS},
 pairs AS (
@@ -398,12 +399,12 @@ SELECT s.sql_version_id, s.policy_version_id, s.validation_status, d.supersedes_
 FROM sqls s JOIN docs d USING (policy_version_id)"""
 
 ORACLE_SQL["recent_runs"] = f"""WITH {REG}
-SELECT run_id, run_status, started_at, run_id || ' (' || run_status || ') — ' || policy_version_id AS label
+SELECT run_id, run_status, started_at, run_id || ' (' || run_status || ') — ' || COALESCE(policy_version_id, '') AS label
 FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 50"""
 
 ORACLE_SQL["table_browse"] = "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id DESC LIMIT 200"
 
-ORACLE_SQL["policy_objects"] = """SELECT 'gs://policies/doc-' || lpad(CAST(d.doc_id AS VARCHAR), 12, '0') || '.txt' AS uri,
+ORACLE_SQL["policy_objects"] = """SELECT 'policies/doc-' || lpad(CAST(d.doc_id AS VARCHAR), 12, '0') || '.txt' AS uri,
   d.n_chars AS size, md5(d.text) AS md5_hash,
   CASE WHEN l.doc_id IS NOT NULL THEN 'POL-' || l.doc_id || '-V1' END AS policy_version_id,
   l.doc_id IS NOT NULL AS registered

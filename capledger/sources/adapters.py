@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capledger.operators.ordered import minute_chunk, running
+from capledger.operators.ordered import running
 from capledger.schemas import TABLES
 from capledger.sources.tables import scan
 
@@ -75,7 +75,8 @@ def feedback(spark: SparkSession) -> DataFrame:
 
 
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as exposures of a market segment to a part type.
+    """Line items as exposures of a market segment to a part type; one without its part has no
+    class, one without its order or customer no portfolio.
 
     Orders meet customers before they meet line items, so the fact side is
     shuffled once per key and the wide join carries three columns.
@@ -90,10 +91,10 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     booked = (
         scan(spark, sf_dir, "orders")
         .select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-        .join(customer, "o_custkey")
+        .join(customer, "o_custkey", "left")
         .select("l_orderkey", "portfolio")
     )
-    return line.join(part, "l_partkey").join(booked, "l_orderkey").select("portfolio", "asset_class", "exposure_amount")
+    return line.join(part, "l_partkey", "left").join(booked, "l_orderkey", "left").select("portfolio", "asset_class", "exposure_amount")
 
 
 def instrument_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -200,8 +201,8 @@ def registry_events(spark: SparkSession, sf_dir: str, drafts: bool = True) -> Da
     Sign-ups upload versions, clicks generate (or, every fourth id, regenerate) rule
     versions, views approve, purchases and errors are succeeded and failed runs.
     Everything attaches to the newest rule version of the current policy version;
-    events before the first upload belong to no policy and are left out. Without
-    ``drafts`` the rule texts, traces and snapshots are not built.
+    events before the first upload have neither. Without ``drafts`` the rule texts,
+    traces and snapshots are not built.
     """
     generates = "event_type = 'click' AND event_id % 4 <> 0"
     position = "named_struct('ts', ts, 'event_id', event_id)"
@@ -209,7 +210,6 @@ def registry_events(spark: SparkSession, sf_dir: str, drafts: bool = True) -> Da
         scan(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"),
         ["user_id"],
         ["ts", "event_id"],
-        minute_chunk("ts"),
         {
             "version": ("sum", F.expr("IF(event_type = 'signup', 1, 0)")),
             "upload": ("max", F.expr(f"IF(event_type = 'signup', {position}, NULL)")),
@@ -217,13 +217,12 @@ def registry_events(spark: SparkSession, sf_dir: str, drafts: bool = True) -> Da
         },
     )
     return (
-        ordered.where("version > 0")
-        .selectExpr(
+        ordered.selectExpr(
             "event_id",
             "ts AS event_ts",
             "event_type AS kind",
             "concat('POL-', user_id) AS policy_id",
-            "concat('POL-', user_id, '-V', version) AS policy_version_id",
+            "IF(version > 0, concat('POL-', user_id, '-V', version), NULL) AS policy_version_id",
             "IF(version > 1, concat('POL-', user_id, '-V', version - 1), NULL) AS supersedes",
             "IF(draft > upload, concat('SQL-', draft.event_id), NULL) AS sql_version_id",
             "IF(event_type IN ('purchase', 'error'), concat('RUN-', event_id), NULL) AS run_id",
@@ -238,7 +237,7 @@ def registry_events(spark: SparkSession, sf_dir: str, drafts: bool = True) -> Da
         .selectExpr(
             "event_id", "event_ts", "event_type", "policy_id", "policy_version_id", "sql_version_id", "run_id", "actor",
             f"""CASE WHEN event_type = 'uploaded' THEN to_json(named_struct(
-                    'gcs_uri', concat('gs://policies/', policy_version_id, '/policy.pdf'), 'supersedes', supersedes))
+                    'gcs_uri', concat('policies/', policy_version_id, '/policy.pdf'), 'supersedes', supersedes))
                 WHEN event_type IN ('generated', 'regenerated') THEN {_draft_payload(drafts)}
                 WHEN event_type = 'run_ended' THEN
                     to_json(named_struct('run_status', IF(kind = 'purchase', 'succeeded', 'failed')))
@@ -248,15 +247,15 @@ def registry_events(spark: SparkSession, sf_dir: str, drafts: bool = True) -> Da
 
 
 def rule_version_of(policy_version_id: str = "policy_version_id") -> Column:
-    """Odd policy versions run the V1 rules, even ones the composite V2 rules."""
+    """Odd policy versions run the V1 rules, even ones the composite V2 rules; a run of no version runs V1."""
     number = F.regexp_extract(policy_version_id, r"-V(\d+)$", 1).cast("bigint")
-    return F.when(number % 2 == 1, "V1").otherwise("V2")
+    return F.when(number % 2 == 0, "V2").otherwise("V1")
 
 
 def file_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as an object listing; a later id is a later update."""
     return scan(spark, sf_dir, "documents").select(
-        F.format_string("gs://policies/doc-%012d.txt", "doc_id").alias("uri"),
+        F.format_string("policies/doc-%012d.txt", "doc_id").alias("uri"),
         F.lit("text/plain").alias("content_type"),
         F.col("n_chars").alias("size"),
         F.col("doc_id").alias("updated"),
@@ -268,7 +267,7 @@ def registered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as the registered files."""
     schema = TABLES["policy_documents"]
     labels = scan(spark, sf_dir, "labels").select(
-        F.format_string("gs://policies/doc-%012d.txt", "doc_id").alias("gcs_uri"),
+        F.format_string("policies/doc-%012d.txt", "doc_id").alias("gcs_uri"),
         F.concat(F.lit("POL-"), "doc_id").alias("policy_id"),
         F.concat(F.lit("POL-"), "doc_id", F.lit("-V1")).alias("policy_version_id"),
         F.lit("draft").alias("status"),

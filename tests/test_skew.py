@@ -1,4 +1,4 @@
-"""The queries on tables where one key holds a third of all rows, hot keys chunked."""
+"""The queries on tables where one key holds a third of all rows."""
 
 import tempfile
 
@@ -7,8 +7,6 @@ import pytest
 from check_oracle import TABLES, compare, duck
 
 from __spark_entry__ import oracle_sql, queries
-from capledger.operators import ordered
-
 
 @pytest.fixture(scope="module")
 def skewed():
@@ -38,6 +36,5 @@ NAMES = [
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_hot_keys(spark, skewed, name, monkeypatch):
-    monkeypatch.setattr(ordered, "HOT_ROWS", 20)
+def test_hot_keys(spark, skewed, name):
     assert compare(duck(skewed), spark, skewed, name, queries()[name], oracle_sql()[name]) is None
