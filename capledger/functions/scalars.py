@@ -38,14 +38,14 @@ def iso_text(ts: Column) -> Column:
     return F.concat(whole, F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
 
 
-def mint_id(prefix: str, *key: Column, length: int = 10) -> Column:
+def mint_id(prefix: str, *key: Column, length: int = 24) -> Column:
     """Prefix plus upper-case hex taken from the key, so a retry mints the same id."""
     digest = F.sha2(F.concat_ws("\u0000", *key), 256)
     return F.concat(F.lit(prefix), F.upper(F.substring(digest, 1, length)))
 
 
 def version_id(policy_id: Column, *key: Column) -> Column:
-    return F.concat(policy_id, mint_id("-V", policy_id, *key, length=6))
+    return F.concat(policy_id, mint_id("-V", policy_id, *key, length=16))
 
 
 def object_path(policy_version_id: Column, filename: Column) -> Column:

@@ -7,7 +7,7 @@ are joined, so no lookup multiplies rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capledger.functions.scalars import iso_text, json_or_raw, json_scalar
@@ -24,8 +24,8 @@ def latest_approved_sql(sql_versions: DataFrame) -> DataFrame:
         sql_versions.where(F.col("validation_status") == "approved"),
         "policy_version_id",
         ["approved_at", "sql_version_id"],
-        ["sql_version_id", "approved_at", "generated_sql"],
-    )
+        ["sql_version_id", "approved_at", "generated_sql", "agent_trace"],
+    ).withColumn("agent_trace", json_or_raw(F.col("agent_trace")))
 
 
 def latest_policy_version(documents: DataFrame) -> DataFrame:
@@ -37,16 +37,20 @@ def latest_policy_version(documents: DataFrame) -> DataFrame:
 
 
 def superseded_baseline(documents: DataFrame, sql_versions: DataFrame) -> DataFrame:
-    """For each superseding version: the latest approved rules of the version it replaces."""
+    """For each superseding version: the version it replaces with its object and latest approved rules."""
     baseline = latest_approved_sql(sql_versions).select(
         F.col("policy_version_id").alias("supersedes_policy_version_id"),
         F.col("sql_version_id").alias("baseline_sql_version_id"),
     )
+    replaced = documents.select(
+        F.col("policy_version_id").alias("supersedes_policy_version_id"), F.col("gcs_uri").alias("supersedes_gcs_uri")
+    )
     return (
         documents.where(F.col("supersedes_policy_version_id").isNotNull())
         .select("policy_version_id", "supersedes_policy_version_id")
+        .join(replaced, "supersedes_policy_version_id", "left")
         .join(baseline, "supersedes_policy_version_id", "left")
-        .select("policy_version_id", "supersedes_policy_version_id", "baseline_sql_version_id")
+        .select("policy_version_id", "supersedes_policy_version_id", "supersedes_gcs_uri", "baseline_sql_version_id")
     )
 
 
@@ -62,7 +66,7 @@ def sql_version_details(sql_versions: DataFrame, documents: DataFrame) -> DataFr
 def sql_versions_by_policy(sql_versions: DataFrame, documents: DataFrame, policy_id: str | None = None) -> DataFrame:
     """Rule versions with their policy; for one policy in approval order, newest first."""
     rows = sql_versions.join(documents.select("policy_version_id", "policy_id"), "policy_version_id").select(
-        "policy_id", "sql_version_id", "policy_version_id", "validation_status", "approved_at"
+        "policy_id", "sql_version_id", "policy_version_id", "validation_status", "approved_at", "approved_by", "generated_sql"
     )
     if policy_id is None:
         return rows
@@ -141,16 +145,27 @@ def lineage_edges(chain: DataFrame) -> DataFrame:
     return chain.select("run_id", F.inline(edges))
 
 
+def output_stamps(outputs: DataFrame) -> DataFrame:
+    """Stored output rows counted per combination of stamped ids."""
+    return outputs.groupBy("run_id", "policy_id", "policy_version_id", "sql_version_id").agg(F.count("*").alias("n"))
+
+
+def computed_stamps(runs: DataFrame, cells: DataFrame, rule_version: Column) -> DataFrame:
+    """The same without an output: each succeeded run with the number of cells its rule version gives."""
+    sizes = cells.groupBy("policy_version").agg(F.count("*").alias("n"))
+    done = runs.where(F.col("run_status") == "succeeded").withColumn("policy_version", rule_version)
+    return done.join(sizes, "policy_version").select("run_id", "policy_id", "policy_version_id", "sql_version_id", "n")
+
+
 def lineage_coverage(
-    outputs: DataFrame, runs: DataFrame, sql_versions: DataFrame, documents: DataFrame
+    stamps: DataFrame, runs: DataFrame, sql_versions: DataFrame, documents: DataFrame
 ) -> DataFrame:
     """Share of report output rows whose run, rule version and document all exist.
 
-    Outputs are reduced to one row per stamped id combination before the joins; the
-    keys they are looked up by are unique on the other side.
+    ``stamps`` has one row per combination of stamped ids; the keys they are looked up by
+    are unique on the other side.
     """
     version, document = ["sql_version_id", "policy_version_id"], ["policy_id", "policy_version_id"]
-    stamps = outputs.groupBy("run_id", "policy_id", *version).agg(F.count("*").alias("n"))
     marked = (
         stamps.join(runs.select("run_id", F.lit(True).alias("has_run")), "run_id", "left")
         .join(sql_versions.select(*version, F.lit(True).alias("has_version")), version, "left")

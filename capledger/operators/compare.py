@@ -51,21 +51,44 @@ def compare_pair(outputs: DataFrame, run_a: str, run_b: str, run_column: str = "
     return _sides(tagged, PAIR)
 
 
-def run_pairs(runs: DataFrame) -> DataFrame:
-    """Consecutive runs of each policy: baseline = the earlier run, updated = the next."""
-    start = F.struct("started_at", "run_id")
+def run_pairs(runs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """Consecutive runs of each policy: baseline = the earlier run, updated = the next.
+
+    ``carry`` is a value of a run that its pairs keep, as ``carry_a`` and ``carry_b``.
+    """
+    rows = runs.select("policy_id", "run_id", "started_at", *([] if carry is None else [carry.alias("carry")]))
+    start = F.struct("started_at", "run_id", *rows.columns[3:])
     previous = running(
-        runs.select("policy_id", "run_id", "started_at"),
+        rows,
         ["policy_id"],
         ["started_at", "run_id"],
         {"previous": ("max", start)},
         inclusive=False,
     )
+    kept = [] if carry is None else [F.col("previous.carry").alias("carry_a"), F.col("carry").alias("carry_b")]
     return previous.where(F.col("previous").isNotNull()).select(
-        "policy_id", F.col("previous.run_id").alias("run_a"), F.col("run_id").alias("run_b")
+        "policy_id", F.col("previous.run_id").alias("run_a"), F.col("run_id").alias("run_b"), *kept
     )
 
 
+def compare_versions(cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Comparison cells of every distinct pair of rule versions in ``pairs`` (``carry_a``, ``carry_b``;
+    NULL: a run without outputs). The versions stand in the run columns."""
+    wanted = pairs.select(F.col("carry_a").alias("run_a"), F.col("carry_b").alias("run_b")).distinct()
+    sides = "array(struct(run_a AS policy_version, 'a' AS side), struct(run_b AS policy_version, 'b' AS side))"
+    tagged = wanted.select(*PAIR, F.inline(F.expr(sides))).join(cells, "policy_version")
+    return _sides(tagged, PAIR)
+
+
+def for_runs(results: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Results of version pairs for every run pair that ran those versions. ``results`` should be a
+    written table: it is small, and its exact size lets Catalyst broadcast it."""
+    named = results.withColumnsRenamed({"run_a": "_version_a", "run_b": "_version_b"})
+    same = F.col("carry_a").eqNullSafe(F.col("_version_a")) & F.col("carry_b").eqNullSafe(F.col("_version_b"))
+    rest = [c for c in results.columns if c not in PAIR]
+    return pairs.join(named, same).select("policy_id", *PAIR, *rest)
+
+
 def pair_members(pairs: DataFrame) -> DataFrame:
     """Each run with every pair it is in and its side there: two pairs at most."""
     return pairs.select(
@@ -108,6 +131,7 @@ def totals(cells: DataFrame) -> DataFrame:
 
 def comparison_summary(cells: DataFrame) -> DataFrame:
     return totals(cells).select(
+        *PAIR,
         dbl("baseline").alias("total_baseline"),
         dbl("updated").alias("total_updated"),
         dbl("delta").alias("total_delta"),
@@ -149,6 +173,7 @@ def stress_grid(cells: DataFrame) -> DataFrame:
     stressed = F.col("updated") * F.col("multiplier")
     added = F.col("updated") * (F.col("multiplier") - F.lit(1).cast("decimal(3,1)"))
     return grid.select(
+        *PAIR,
         dbl("multiplier").alias("multiplier"),
         dbl(stressed).alias("stressed_rwa"),
         (dbl(added) * MIN_CAPITAL_RATIO).alias("incremental_capital"),
@@ -157,6 +182,7 @@ def stress_grid(cells: DataFrame) -> DataFrame:
 
 def stress_by_bucket(cells: DataFrame) -> DataFrame:
     return cells.withColumn("multiplier", F.explode(_multipliers())).select(
+        *PAIR,
         *CELL,
         dbl("multiplier").alias("multiplier"),
         dbl("baseline").alias("rwa_baseline"),
@@ -178,6 +204,7 @@ def delta_drivers(cells: DataFrame) -> DataFrame:
     pair = Window.partitionBy(*PAIR)
     net = F.sum("delta").over(pair)
     return cells.select(
+        *PAIR,
         *CELL,
         dbl("delta").alias("rwa_delta"),
         F.when(net == 0, F.lit(0.0)).otherwise(dbl("delta") / dbl(net)).alias("share_of_total"),
@@ -186,10 +213,11 @@ def delta_drivers(cells: DataFrame) -> DataFrame:
 
 
 def bucket_sensitivity(cells: DataFrame) -> DataFrame:
-    by_bucket = cells.groupBy("risk_bucket").agg(
+    by_bucket = cells.groupBy(*PAIR, "risk_bucket").agg(
         *[F.sum(c).cast(EXACT).alias(c) for c in ("baseline", "updated", "delta")]
     )
     return by_bucket.select(
+        *PAIR,
         "risk_bucket",
         dbl("baseline").alias("rwa_baseline"),
         dbl("updated").alias("rwa_updated"),

@@ -94,8 +94,8 @@ def document_state(events: DataFrame) -> DataFrame:
 
 
 def sql_version_state(events: DataFrame) -> DataFrame:
-    """Rule versions; approved only while the last approval is later than the last draft."""
-    draft = F.from_json("payload", DRAFT_PAYLOAD)
+    """Rule versions; approved only while the last approval is not before the last draft
+    (inside one instant drafts come first)."""
     folded = (
         events.where(F.col("sql_version_id").isNotNull() & F.col("event_type").isin("approved", *DRAFT))
         .groupBy("sql_version_id")
@@ -104,19 +104,19 @@ def sql_version_state(events: DataFrame) -> DataFrame:
             F.max(_when(DRAFT, _at())).alias("drafted"),
             F.max(_when("approved", _at())).alias("signed"),
             _last(F.col("policy_version_id"), "generated").alias("policy_version_id"),
-            _last(draft["generated_sql"], DRAFT).alias("generated_sql"),
-            _last(draft["agent_trace"], DRAFT).alias("agent_trace"),
-            _last(draft["schema_snapshot"], DRAFT).alias("schema_snapshot"),
+            _last(F.col("payload"), DRAFT).alias("payload"),
             _last(F.col("actor"), "approved").alias("approver"),
         )
     )
-    approved = F.col("signed").isNotNull() & (F.col("signed") > F.col("drafted"))
+    draft = F.from_json("payload", DRAFT_PAYLOAD)
+    later = F.col("signed.event_ts") >= F.col("drafted.event_ts")
+    approved = F.col("signed").isNotNull() & later
     return folded.where(F.col("created").isNotNull()).select(
         "sql_version_id",
         "policy_version_id",
-        "generated_sql",
-        "agent_trace",
-        "schema_snapshot",
+        draft["generated_sql"].alias("generated_sql"),
+        draft["agent_trace"].alias("agent_trace"),
+        draft["schema_snapshot"].alias("schema_snapshot"),
         F.when(approved, "approved").otherwise("pending").alias("validation_status"),
         F.when(approved, F.col("approver")).alias("approved_by"),
         F.when(approved, F.col("signed.event_ts")).alias("approved_at"),
@@ -250,23 +250,44 @@ def recent_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
     return (
         runs.orderBy(F.desc("started_at"), F.desc("run_id"))
         .limit(limit)
-        .select("run_id", "run_status", "started_at", label.alias("label"))
+        .select(
+            "run_id", "run_status", "started_at", label.alias("label"), "policy_id", "policy_version_id", "sql_version_id"
+        )
     )
 
 
-def dashboard_kpis(documents: DataFrame, sql_versions: DataFrame, runs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """The counters in one row. ``total_rwa`` adds up every run ever written, as the
-    dashboard always has; ``total_rwa_latest_run`` is the last succeeded run alone."""
+def stored_amounts(outputs: DataFrame, runs: DataFrame) -> DataFrame:
+    """``total_rwa`` of all stored outputs and ``total_rwa_latest_run`` of the last succeeded run."""
     succeeded = F.col("run_status") == "succeeded"
     latest_run = runs.where(succeeded).agg(F.max_by("run_id", F.struct("started_at", "run_id"))).scalar()
+    return outputs.agg(
+        F.sum("rwa_exact").alias("total_rwa"),
+        F.sum(F.when(F.col("run_id") == latest_run, F.col("rwa_exact"))).alias("total_rwa_latest_run"),
+    )
+
+
+def computed_amounts(runs: DataFrame, cells: DataFrame, rule_version: Column) -> DataFrame:
+    """The same without writing an output: each rule version's total, times the succeeded runs of it."""
+    totals = cells.groupBy("policy_version").agg(F.sum("rwa_exact").cast("decimal(26,8)").alias("amount"))
+    counted = (
+        runs.where(F.col("run_status") == "succeeded")
+        .groupBy(rule_version.alias("policy_version"))
+        .agg(F.count("*").cast("decimal(11,0)").alias("n"), F.max(F.struct("started_at", "run_id")).alias("newest"))
+    )
+    amount = F.coalesce("amount", F.lit(0).cast("decimal(26,8)"))
+    return counted.join(totals, "policy_version", "left").agg(
+        F.sum(amount * F.col("n")).alias("total_rwa"), F.max_by(amount, "newest").alias("total_rwa_latest_run")
+    )
+
+
+def dashboard_kpis(documents: DataFrame, sql_versions: DataFrame, runs: DataFrame, amounts: DataFrame) -> DataFrame:
+    """The counters in one row, with the two sums of ``amounts``. ``total_rwa`` adds up every run
+    ever written, as the dashboard always has."""
     parts = [
         documents.agg(F.count("*").alias("total_policies")),
         sql_versions.agg(F.count_if(F.col("validation_status") == "approved").alias("approved_sql")),
-        runs.agg(F.count_if(succeeded).alias("successful_runs")),
-        outputs.agg(
-            F.sum("rwa_exact").alias("total_rwa"),
-            F.sum(F.when(F.col("run_id") == latest_run, F.col("rwa_exact"))).alias("total_rwa_latest_run"),
-        ),
+        runs.agg(F.count_if(F.col("run_status") == "succeeded").alias("successful_runs")),
+        amounts,
     ]
     row = parts[0]
     for part in parts[1:]:

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# A mapping or an exclusion answers how a class is treated; exclusion wins a tie.
-_TREATMENT = "IF(kind IN ('mapping', 'exclusion'), named_struct('p', precedence, 'x', kind = 'exclusion'), NULL)"
+# A mapping or an exclusion answers how a class is treated; exclusion wins a tie, then the larger weight.
+_TREATMENT = (
+    "IF(kind IN ('mapping', 'exclusion'),"
+    " named_struct('p', precedence, 'x', kind = 'exclusion', 'w', risk_weight, 'b', risk_bucket), NULL)"
+)
 
 
 def effective_rules(rules: DataFrame) -> DataFrame:
@@ -15,8 +18,9 @@ def effective_rules(rules: DataFrame) -> DataFrame:
 
     The higher precedence wins per kind; a class the update does not mention keeps
     its baseline rule. Mapping and exclusion answer the same question, so the later
-    one wins, and an exclusion beats a mapping of the same version. ``definition``
-    rows label a class and change nothing.
+    one wins, and an exclusion beats a mapping of the same version. Of two rows with one
+    question and layer (see ``duplicate_rules``) the larger value wins, whatever their
+    order. ``definition`` rows label a class and change nothing.
     """
     return (
         rules.groupBy("policy_version", "asset_class")
@@ -25,8 +29,8 @@ def effective_rules(rules: DataFrame) -> DataFrame:
             F.expr(f"max_by(risk_bucket, {_TREATMENT}) AS risk_bucket"),
             F.expr(f"max_by(risk_weight, {_TREATMENT}) AS base_weight"),
             F.expr(f"max_by(origin, {_TREATMENT}) AS origin"),
-            F.expr("max_by(min_amount, IF(kind = 'threshold', precedence, NULL)) AS min_amount"),
-            F.expr("max_by(multiplier, IF(kind = 'calculation', precedence, NULL)) AS multiplier"),
+            F.expr("max_by(min_amount, IF(kind = 'threshold', named_struct('p', precedence, 'v', min_amount), NULL)) AS min_amount"),
+            F.expr("max_by(multiplier, IF(kind = 'calculation', named_struct('p', precedence, 'v', multiplier), NULL)) AS multiplier"),
         )
         .where("treatment IS NOT NULL")
         .selectExpr(
@@ -148,25 +152,54 @@ def rwa_by_policy_version(exposures: DataFrame, rules: DataFrame, thresholds: bo
 
 
 def reconciliation(exposures: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per policy version: exposure total = mapped + unmapped + excluded."""
-    by_class = position_cube(exposures).groupBy("asset_class").agg(F.sum("amount").alias("amount"))
-    # As many versions as rule sets are compared; each sees the whole class table.
-    versions = rules.agg(F.sort_array(F.collect_set("policy_version"))).scalar()
-    seen = by_class.withColumn("policy_version", F.explode(versions))
-    status = (
-        F.when(F.col("excluded").isNull(), "unmapped").when(F.col("excluded"), "excluded").otherwise("mapped")
+    """Per policy version: exposure total = mapped + below threshold + unmapped + excluded.
+
+    Mapped is what ``rwa_by_policy_version`` with thresholds puts a weight on.
+    ``without_portfolio`` is the part of the total that no order or customer claims,
+    whatever its class. The total is taken once, and classes meet only their own rules.
+    """
+    by_class = (
+        position_cube(exposures, rules)
+        .groupBy("asset_class", "band")
+        .agg(F.sum("amount").alias("amount"), F.sum(F.when(F.col("portfolio").isNull(), F.col("amount"))).alias("lost"))
     )
-    part = lambda name: F.coalesce(F.sum(F.when(status == name, F.col("amount"))), F.lit(0)).cast("double").alias(name)
-    return (
-        seen.join(rules, ["policy_version", "asset_class"], "left")
+    all_amounts = by_class.agg(F.sum("amount").alias("total"), F.sum("lost").alias("lost"))
+    reaches = F.col("min_amount").isNull() | F.coalesce(F.col("band") >= F.col("min_amount"), F.lit(False))
+    status = F.when(F.col("excluded"), "excluded").when(reaches, "mapped").otherwise("below_threshold")
+    zero = F.lit(0).cast("decimal(38,2)")
+    ruled = (
+        rules.select("policy_version", "asset_class", "min_amount", "excluded")
+        .join(by_class, "asset_class", "left")
         .groupBy("policy_version")
         .agg(
-            F.sum("amount").cast("double").alias("exposure_total"),
-            part("mapped"),
-            part("unmapped"),
-            part("excluded"),
+            *[
+                F.coalesce(F.sum(F.when(status == name, F.col("amount"))), zero).alias(name)
+                for name in ("mapped", "below_threshold", "excluded")
+            ]
         )
     )
+    total = F.coalesce(all_amounts.select("total").scalar(), zero)
+    lost = F.coalesce(all_amounts.select("lost").scalar(), zero)
+    known = F.col("mapped") + F.col("below_threshold") + F.col("excluded")
+    return ruled.select(
+        "policy_version",
+        total.cast("double").alias("exposure_total"),
+        F.col("mapped").cast("double").alias("mapped"),
+        F.col("below_threshold").cast("double").alias("below_threshold"),
+        (total - known).cast("double").alias("unmapped"),
+        F.col("excluded").cast("double").alias("excluded"),
+        lost.cast("double").alias("without_portfolio"),
+    )
+
+
+def duplicate_rules(rules: DataFrame) -> DataFrame:
+    """Rule rows that answer one question of a class twice in the same layer of a version."""
+    question = F.when(F.col("kind").isin("mapping", "exclusion"), "treatment").otherwise(F.col("kind"))
+    return (
+        rules.groupBy("policy_version", "asset_class", "precedence", question.alias("question"))
+        .agg(F.count("*").alias("rules"))
+        .where("rules > 1")
+    )
 
 
 def unmapped_classes(exposures: DataFrame, rules: DataFrame) -> DataFrame:

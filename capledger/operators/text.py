@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,7 +127,8 @@ def line_diff(texts: DataFrame) -> DataFrame:
     """Added, removed and net lines of consecutive versions, as line multisets.
 
     Each version's lines count +1 in the pair it completes and -1 in the pair it
-    opens; a pair's surplus per line is then what was added or removed. Comment
+    opens; a pair's surplus per line is then what was added or removed. Lines travel as
+    128-bit digests. Comment
     lines count like any other. ``version_no`` must be unique in ``texts``.
     """
     pairs = version_pairs(texts)
@@ -145,9 +142,9 @@ def line_diff(texts: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("pair", "sign")).alias("pairs"))
     )
     signed = (
-        texts.select("version_no", "text")
+        texts.select("version_no", F.transform(lines(F.col("text")), lambda x: F.unhex(F.md5(x))).alias("lines"))
         .join(membership, "version_no")
-        .select("pairs", F.explode(lines(F.col("text"))).alias("line"))
+        .select("pairs", F.explode("lines").alias("line"))
         .select("line", F.inline("pairs"))
     )
     per_pair = (
@@ -164,38 +161,3 @@ def line_diff(texts: DataFrame) -> DataFrame:
         "policy_id", "version_a", "version_b",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lines_added", "lines_removed", "net")],
     )
-
-
-def _edit_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["policy_id", "version_a", "version_b", "seq", "tag", "a_from", "a_to", "b_from", "b_to"]
-    for batch in batches:
-        steps = []
-        for row in batch.itertuples(index=False):
-            matcher = difflib.SequenceMatcher(None, list(row.lines_a), list(row.lines_b))
-            for seq, step in enumerate(matcher.get_opcodes() or [("equal", 0, 0, 0, 0)]):
-                steps.append((row.policy_id, row.version_a, row.version_b, seq, *step))
-        yield pd.DataFrame(steps, columns=columns)
-
-
-def ordered_diff(texts: DataFrame) -> DataFrame:
-    """Ordered edit steps of consecutive versions; moved lines count, unlike in ``line_diff``."""
-    body = texts.select("version_no", lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    side = lambda s: body.select(F.col("version_no").alias(f"version_{s}"), F.col("lines").alias(f"lines_{s}"))
-    both = version_pairs(texts).join(side("a"), "version_a").join(side("b"), "version_b")
-    return both.mapInPandas(
-        _edit_steps,
-        "policy_id string, version_a bigint, version_b bigint, seq int, tag string,"
-        " a_from int, a_to int, b_from int, b_to int",
-    )
-
-
-def ordered_diff_counts(texts: DataFrame) -> DataFrame:
-    """Per pair: lines a unified diff would mark + and -."""
-    changed = F.col("tag") != "equal"
-    grown = lambda side: F.coalesce(
-        F.sum(F.when(changed, F.col(f"{side}_to") - F.col(f"{side}_from"))), F.lit(0)
-    )
-    steps = ordered_diff(texts).groupBy("policy_id", "version_a", "version_b").agg(
-        grown("b").alias("lines_added"), grown("a").alias("lines_removed")
-    )
-    return steps.withColumn("net", F.col("lines_added") - F.col("lines_removed"))

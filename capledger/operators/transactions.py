@@ -62,8 +62,8 @@ def train(transactions: DataFrame) -> PipelineModel:
         .agg(F.count("*").cast("double").alias("weight"))
     )
     stages = [
-        VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip"),
-        LogisticRegression(labelCol=LABEL, weightCol="weight"),
+        VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep"),
+        LogisticRegression(labelCol=LABEL, weightCol="weight", tol=1e-12, maxIter=500),
     ]
     return Pipeline(stages=stages).fit(combinations)
 
@@ -77,13 +77,18 @@ def load_model(path: str) -> PipelineModel:
 
 
 def score(model: PipelineModel, transactions: DataFrame) -> DataFrame:
-    """Input columns, the predicted label, and the fraud probability where it is 1."""
+    """Input columns, the predicted label, and the fraud probability where it is 1.
+
+    Every input row stays; one without amount or limit has a NULL label and score and the
+    alert of an ordinary transaction.
+    """
+    known = F.col(FEATURES[0]).isNotNull() & F.col(FEATURES[1]).isNotNull()
     likely = F.when(F.col("prediction") == 1, vector_to_array("probability")[1]).otherwise(F.lit(0.0))
     return model.transform(transactions).select(
         *transactions.columns,
-        F.col("prediction").cast("int").alias("predicted_label"),
-        likely.alias("fraud_score"),
-        alert_label(likely).alias("alert"),
+        F.when(known, F.col("prediction").cast("int")).alias("predicted_label"),
+        F.when(known, likely).alias("fraud_score"),
+        alert_label(F.when(known, likely)).alias("alert"),
     )
 
 

@@ -63,10 +63,17 @@ def _outputs(spark: SparkSession, sf: str, runs: DataFrame, keep: tuple[str, ...
     return registry.stamp_outputs(done, cells, adapters.rule_version_of(), F.col("started_at"), keep)
 
 
-def _pair_cells(spark: SparkSession, sf: str, runs: DataFrame) -> DataFrame:
-    """Comparison cells of consecutive runs."""
-    tagged = runs.join(compare.pair_members(compare.run_pairs(runs)), "run_id")
-    return compare.compare_tagged(_outputs(spark, sf, tagged, keep=(*compare.PAIR, "side")))
+def _run_pairs(runs: DataFrame) -> DataFrame:
+    """Consecutive runs of each policy with the rule version of each that succeeded."""
+    version = F.when(F.col("run_status") == "succeeded", adapters.rule_version_of())
+    return stage(compare.run_pairs(runs, version), "run_pairs")
+
+
+def _by_run(spark: SparkSession, sf: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """An answer for every pair of consecutive runs: worked out once per pair of rule
+    versions, which is all that a computed output depends on."""
+    pairs = _run_pairs(registry.run_state(_events(spark, sf)))
+    return compare.for_runs(stage(answer(compare.compare_versions(_cells(spark, sf), pairs)), "pair_answers"), pairs)
 
 
 def _chain(events: DataFrame) -> DataFrame:
@@ -120,8 +127,9 @@ def feedback_adjusted_rwa(spark, sf):
 
 @query
 def reconciliation(spark, sf):
-    both = _v1(spark).unionByName(_v2(spark))
-    return rules.reconciliation(adapters.exposures(spark, sf), both)
+    kinds = rules.overlay(adapters.v1_rules(spark), adapters.kind_delta(spark), "V2K")
+    every = _v1(spark).unionByName(_v2(spark)).unionByName(kinds)
+    return rules.reconciliation(adapters.exposures(spark, sf), every)
 
 
 # --- comparison, stress, capital ---------------------------------------------
@@ -134,13 +142,42 @@ def rwa_comparison(spark, sf):
 
 @query
 def run_pair_comparison(spark, sf):
-    runs = stage(registry.run_state(_events(spark, sf)), "report_runs")
-    return compare.published(_pair_cells(spark, sf, runs), ["policy_id", *compare.PAIR])
+    return _by_run(spark, sf, lambda cells: compare.published(cells, compare.PAIR))
+
+
+@query
+def run_pair_summary(spark, sf):
+    return _by_run(spark, sf, compare.comparison_summary)
+
+
+@query
+def run_pair_waterfall(spark, sf):
+    return _by_run(spark, sf, compare.delta_waterfall)
+
+
+@query
+def run_pair_stress(spark, sf):
+    return _by_run(spark, sf, compare.stress_grid)
+
+
+@query
+def run_pair_stress_by_bucket(spark, sf):
+    return _by_run(spark, sf, compare.stress_by_bucket)
+
+
+@query
+def run_pair_drivers(spark, sf):
+    return _by_run(spark, sf, compare.delta_drivers)
+
+
+@query
+def run_pair_sensitivity(spark, sf):
+    return _by_run(spark, sf, compare.bucket_sensitivity)
 
 
 @query
 def comparison_summary(spark, sf):
-    return compare.comparison_summary(_comparison(spark, sf))
+    return compare.comparison_summary(_comparison(spark, sf)).drop(*compare.PAIR)
 
 
 @query
@@ -150,12 +187,12 @@ def delta_waterfall(spark, sf):
 
 @query
 def stress_grid(spark, sf):
-    return compare.stress_grid(_comparison(spark, sf))
+    return compare.stress_grid(_comparison(spark, sf)).drop(*compare.PAIR)
 
 
 @query
 def stress_by_bucket(spark, sf):
-    return compare.stress_by_bucket(_comparison(spark, sf))
+    return compare.stress_by_bucket(_comparison(spark, sf)).drop(*compare.PAIR)
 
 
 @query
@@ -175,12 +212,16 @@ def top_portfolios(spark, sf):
 
 @query
 def delta_drivers(spark, sf):
-    return compare.delta_drivers(_comparison(spark, sf))
+    return compare.delta_drivers(_comparison(spark, sf)).drop(*compare.PAIR)
 
 
 @query
 def bucket_sensitivity(spark, sf):
-    return compare.bucket_sensitivity(_comparison(spark, sf))
+    return compare.bucket_sensitivity(_comparison(spark, sf)).drop(*compare.PAIR)
+
+
+def _amounts(runs: DataFrame, cells: DataFrame) -> DataFrame:
+    return registry.computed_amounts(runs, cells, adapters.rule_version_of())
 
 
 @query
@@ -188,7 +229,7 @@ def dashboard_kpis(spark, sf):
     events = _events(spark, sf, staged=True)
     runs = stage(registry.run_state(events), "report_runs")
     return registry.dashboard_kpis(
-        registry.document_state(events), registry.sql_version_state(events), runs, _outputs(spark, sf, runs)
+        registry.document_state(events), registry.sql_version_state(events), runs, _amounts(runs, _cells(spark, sf))
     )
 
 
@@ -196,10 +237,12 @@ def dashboard_kpis(spark, sf):
 def context_bundle(spark, sf):
     events = _events(spark, sf, drafts=True, staged=True)
     runs = stage(registry.run_state(events), "report_runs")
+    by_version = stage(_cells(spark, sf), "rwa_cells")
     metrics = registry.dashboard_kpis(
-        registry.document_state(events), registry.sql_version_state(events), runs, _outputs(spark, sf, runs)
+        registry.document_state(events), registry.sql_version_state(events), runs, _amounts(runs, by_version)
     )
-    cells = _pair_cells(spark, sf, runs)
+    pairs = _run_pairs(runs)
+    cells = compare.for_runs(stage(compare.compare_versions(by_version, pairs), "pair_cells"), pairs)
     return compare.context_bundle(cells, _chain(events), metrics).select("policy_id", "run_a", "run_b", "context_json")
 
 
@@ -208,9 +251,7 @@ def context_bundle(spark, sf):
 
 @query
 def document_state(spark, sf):
-    return registry.document_state(_events(spark, sf)).select(
-        "policy_id", "policy_version_id", "uploaded_at", "status", "supersedes_policy_version_id"
-    )
+    return registry.document_state(_events(spark, sf))
 
 
 @query
@@ -229,7 +270,7 @@ def run_state(spark, sf):
 
 @query
 def latest_approved_sql(spark, sf):
-    return audit.latest_approved_sql(registry.sql_version_state(_events(spark, sf))).drop("generated_sql")
+    return audit.latest_approved_sql(_drafted_sql(spark, sf))
 
 
 @query
@@ -247,9 +288,7 @@ def superseded_baseline(spark, sf):
 def gated_report_outputs(spark, sf):
     events = _events(spark, sf, staged=True)
     allowed = registry.allowed(registry.run_state(events), registry.run_gate(events))
-    return _outputs(spark, sf, allowed).select(
-        "run_id", "policy_id", "policy_version_id", "sql_version_id", "portfolio", "risk_bucket", "rwa_amount"
-    )
+    return _outputs(spark, sf, allowed).drop("rwa_exact")
 
 
 @query
@@ -276,8 +315,9 @@ def recent_runs(spark, sf):
 def lineage_coverage(spark, sf):
     events = _events(spark, sf, staged=True)
     runs = stage(registry.run_state(events), "report_runs")
+    stamps = audit.computed_stamps(runs, _cells(spark, sf), adapters.rule_version_of())
     return audit.lineage_coverage(
-        _outputs(spark, sf, runs), runs, registry.sql_version_state(events), registry.document_state(events)
+        stamps, runs, registry.sql_version_state(events), registry.document_state(events)
     )
 
 
@@ -296,7 +336,7 @@ def policy_timeline(spark, sf):
     events = _events(spark, sf, staged=True)
     return audit.policy_timeline(
         registry.document_state(events), registry.sql_version_state(events), registry.run_state(events)
-    ).select("policy_version_id", "sql_version_id", "run_id", "uploaded_at", "approved_at", "started_at")
+    )
 
 
 @query
@@ -309,7 +349,7 @@ def policy_event_timeline(spark, sf):
 
 @query
 def sql_versions_by_policy(spark, sf):
-    events = _events(spark, sf, staged=True)
+    events = _events(spark, sf, drafts=True, staged=True)
     return audit.sql_versions_by_policy(registry.sql_version_state(events), registry.document_state(events))
 
 
@@ -318,26 +358,24 @@ def extraction_details(spark, sf):
     events = _events(spark, sf, drafts=True, staged=True)
     return audit.extraction_details(
         registry.extractions(events), registry.sql_version_state(events), registry.document_state(events)
-    ).select("policy_version_id", "sql_version_id", "model_version", "supersedes_policy_version_id", "extraction_json")
+    )
 
 
 @query
 def sql_version_details(spark, sf):
-    events = _events(spark, sf, staged=True)
-    return audit.sql_version_details(registry.sql_version_state(events), registry.document_state(events)).select(
-        "sql_version_id", "policy_version_id", "validation_status", "supersedes_policy_version_id"
-    )
+    events = _events(spark, sf, drafts=True, staged=True)
+    return audit.sql_version_details(registry.sql_version_state(events), registry.document_state(events))
 
 
 @query
 def table_browse(spark, sf):
-    return tables.browse(tables.scan(spark, sf, "documents").drop("text"), 200)
+    return tables.browse(tables.scan(spark, sf, "documents"), 200)
 
 
 @query
 def policy_objects(spark, sf):
     listing = audit.policy_objects(adapters.file_objects(spark, sf), adapters.registered_files(spark, sf))
-    return listing.select("uri", "size", "md5_hash", "policy_version_id", "registered")
+    return listing
 
 
 # --- rule text ---------------------------------------------------------------
@@ -348,7 +386,7 @@ def _drafted_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _drift(spark: SparkSession, sf: str) -> DataFrame:
-    live = tables.frame_columns(spark, {t: tables.scan(spark, sf, t) for t in ("events", "documents")})
+    live = tables.frame_columns(spark, {t: tables.as_written(spark, sf, t) for t in ("events", "documents")})
     return text.schema_drift(_drafted_sql(spark, sf), live)
 
 
@@ -367,11 +405,6 @@ def sql_version_diff(spark, sf):
     return text.line_diff(adapters.rule_texts(spark, sf))
 
 
-@query
-def sql_version_ordered_diff(spark, sf):
-    return text.ordered_diff_counts(adapters.rule_texts(spark, sf))
-
-
 @query
 def clause_table(spark, sf):
     return text.clause_table(_drafted_sql(spark, sf)).select("sql_version_id", "clause_id", "clause_type", "origin")

@@ -49,12 +49,12 @@ cells AS (
   FROM expo JOIN maps USING (asset_class) GROUP BY 1, 2, 3)"""
 
 CMP = f"""{CELLS},
+sided AS (
+  SELECT portfolio, risk_bucket, rwa AS before, rwa * 0 AS after FROM cells WHERE policy_version = 'V1'
+  UNION ALL SELECT portfolio, risk_bucket, rwa * 0, rwa FROM cells WHERE policy_version = 'V2'),
 cmp AS (
-  SELECT COALESCE(a.portfolio, b.portfolio) AS portfolio, COALESCE(a.risk_bucket, b.risk_bucket) AS risk_bucket,
-         COALESCE(a.rwa, 0) AS base, COALESCE(b.rwa, 0) AS upd, COALESCE(b.rwa, 0) - COALESCE(a.rwa, 0) AS delta
-  FROM (SELECT * FROM cells WHERE policy_version = 'V1') a
-  FULL OUTER JOIN (SELECT * FROM cells WHERE policy_version = 'V2') b
-    ON a.portfolio = b.portfolio AND a.risk_bucket = b.risk_bucket),
+  SELECT portfolio, risk_bucket, SUM(before) AS base, SUM(after) AS upd, SUM(after - before) AS delta
+  FROM sided GROUP BY portfolio, risk_bucket),
 tot AS (SELECT SUM(base) AS base, SUM(upd) AS upd, SUM(delta) AS delta FROM cmp)"""
 
 ORACLE_SQL["rwa_by_policy_version"] = f"""WITH {CELLS}
@@ -98,14 +98,24 @@ SELECT portfolio, risk_bucket, {_dbl('SUM(amount * risk_weight)')} AS rwa_before
        {_dbl("SUM(amount * risk_weight * CASE WHEN asset_class = 'LARGE' THEN 2.5 ELSE 1.0 END)")} AS rwa_after
 FROM expo JOIN v1 USING (asset_class) GROUP BY portfolio, risk_bucket"""
 
-ORACLE_SQL["reconciliation"] = f"""WITH {EXPO}, {MAPS}, versions AS (SELECT DISTINCT policy_version FROM maps)
-SELECT v.policy_version, {_dbl('SUM(amount)')} AS exposure_total,
-  {_dbl("SUM(CASE WHEN m.asset_class IS NOT NULL THEN amount ELSE 0 END)")} AS mapped,
-  {_dbl("SUM(CASE WHEN m.asset_class IS NULL AND NOT (v.policy_version = 'V2' AND e.asset_class = 'MEDIUM') THEN amount ELSE 0 END)")} AS unmapped,
-  {_dbl("SUM(CASE WHEN v.policy_version = 'V2' AND e.asset_class = 'MEDIUM' THEN amount ELSE 0 END)")} AS excluded
-FROM expo e CROSS JOIN versions v
-LEFT JOIN maps m ON m.policy_version = v.policy_version AND m.asset_class = e.asset_class
-GROUP BY v.policy_version"""
+ORACLE_SQL["reconciliation"] = f"""WITH {EXPO}, {MAPS},
+ruled(policy_version, asset_class, excluded, floor) AS (
+  SELECT policy_version, asset_class, FALSE, CAST(0 AS DECIMAL(18,2)) FROM maps
+  UNION ALL SELECT 'V2', 'MEDIUM', TRUE, 0
+  UNION ALL SELECT * FROM (VALUES ('V2K', 'PROMO', FALSE, 0), ('V2K', 'ECONOMY', FALSE, 0), ('V2K', 'SMALL', FALSE, 0),
+    ('V2K', 'STANDARD', FALSE, 0), ('V2K', 'LARGE', FALSE, 50000), ('V2K', 'MEDIUM', TRUE, 0))),
+judged AS (
+  SELECT v.policy_version, e.amount, e.portfolio, CASE WHEN r.asset_class IS NULL THEN 'unmapped' WHEN r.excluded THEN 'excluded'
+    WHEN e.amount >= r.floor THEN 'mapped' ELSE 'below' END AS fate
+  FROM (SELECT DISTINCT policy_version FROM ruled) v CROSS JOIN expo e
+  LEFT JOIN ruled r ON r.policy_version = v.policy_version AND r.asset_class = e.asset_class)
+SELECT policy_version, {_dbl('SUM(amount)')} AS exposure_total,
+  {_dbl("SUM(CASE WHEN fate = 'mapped' THEN amount ELSE 0 END)")} AS mapped,
+  {_dbl("SUM(CASE WHEN fate = 'below' THEN amount ELSE 0 END)")} AS below_threshold,
+  {_dbl("SUM(CASE WHEN fate = 'unmapped' THEN amount ELSE 0 END)")} AS unmapped,
+  {_dbl("SUM(CASE WHEN fate = 'excluded' THEN amount ELSE 0 END)")} AS excluded,
+  {_dbl("SUM(CASE WHEN portfolio IS NULL THEN amount ELSE 0 END)")} AS without_portfolio
+FROM judged GROUP BY policy_version"""
 
 # --- comparison, stress, capital ---------------------------------------------
 
@@ -225,15 +235,36 @@ ext AS (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY pvid ORDER BY ts DESC, event_id DESC) AS rn FROM reg
   WHERE generates AND pvid IS NOT NULL)"""
 
+_TYPES = "['threshold', 'mapping', 'calculation', 'exclusion', 'definition']"
+
+
+def _citation(clause: str, kind: str) -> str:
+    """JSON of a citation; a NULL id or type is left out."""
+    return f"""'{{' || COALESCE('"clause_id":"' || {clause} || '",', '') || '"clause_text":"weight rule ' || k || '",' ||
+      COALESCE('"clause_type":"' || {kind} || '",', '') || '"sql_section":"weights"}}'"""
+
+
+FIRST, SECOND = "CASE WHEN k % 3 = 0 THEN 'V1-C' ELSE 'C' END || (k % 10)", "CASE WHEN k % 11 <> 0 THEN 'V2-C' || (k % 13) END"
+SUMMARY = """'"rules \\"' || k || '\\"\\nrevised"'"""
+GENERATED_SQL = f"""concat_ws(chr(10), CASE WHEN k % 4 <> 1 THEN '-- [' || {FIRST} || '] weights' END,
+    'SELECT portfolio, risk_bucket, SUM(exposure_amount * risk_weight)',
+    CASE WHEN k % 6 = 0 THEN '-- [C77] carried over' END,
+    CASE WHEN k % 2 = 0 AND k % 11 <> 0 THEN '-- [' || {SECOND} || '] update' END, 'GROUP BY portfolio, risk_bucket')"""
+AGENT_TRACE = f"""CASE WHEN k % 25 = 24 THEN '{{unreadable' ELSE
+    '{{"clause_citations":[' || {_citation(FIRST, f"CASE WHEN k % 7 <> 0 THEN {_TYPES}[k % 5 + 1] END")} ||
+    CASE WHEN k % 2 = 0 THEN ',' || {_citation(SECOND, f"{_TYPES}[(k + 1) % 5 + 1]")} ELSE '' END ||
+    '],"model":"rules","policy_gcs_uri":"policies/source-' || k || '.pdf","summary":' || {SUMMARY} || '}}' END"""
+
 OUTPUTS = f"""{CELLS},
 {REG},
 outputs AS (
-  SELECT r.run_id, r.policy_id, r.policy_version_id, r.sql_version_id, c.portfolio, c.risk_bucket, c.rwa
+  SELECT r.run_id, r.policy_id, r.policy_version_id, r.sql_version_id, c.portfolio, c.risk_bucket, c.rwa,
+    CAST(r.started_at AS DATE) AS as_of_date
   FROM runs r JOIN cells c ON c.policy_version = CASE WHEN r.v > 0 AND r.v % 2 = 0 THEN 'V2' ELSE 'V1' END
   WHERE r.run_status = 'succeeded')"""
 
 ORACLE_SQL["document_state"] = f"""WITH {REG}
-SELECT policy_id, policy_version_id, uploaded_at, status, supersedes_policy_version_id FROM docs"""
+SELECT * FROM docs"""
 
 ORACLE_SQL["sql_version_state"] = f"""WITH {REG}
 SELECT sql_version_id, policy_version_id, validation_status, approved_by, approved_at FROM sqls"""
@@ -242,7 +273,8 @@ ORACLE_SQL["run_state"] = f"""WITH {REG}
 SELECT run_id, policy_id, policy_version_id, sql_version_id, run_status, started_at, ended_at FROM runs"""
 
 ORACLE_SQL["latest_approved_sql"] = f"""WITH {REG}
-SELECT policy_version_id, sql_version_id, approved_at FROM sqls WHERE validation_status = 'approved'
+SELECT policy_version_id, sql_version_id, approved_at, {GENERATED_SQL} AS generated_sql, {AGENT_TRACE} AS agent_trace
+FROM sqls WHERE validation_status = 'approved'
 QUALIFY ROW_NUMBER() OVER (PARTITION BY policy_version_id ORDER BY approved_at DESC, sql_version_id DESC) = 1"""
 
 ORACLE_SQL["latest_policy_version"] = f"""WITH {REG}
@@ -254,12 +286,13 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY policy_id ORDER BY uploaded_at DESC, pol
 ORACLE_SQL["superseded_baseline"] = f"""WITH {REG}, top AS (
   SELECT policy_version_id, sql_version_id FROM sqls WHERE validation_status = 'approved'
   QUALIFY ROW_NUMBER() OVER (PARTITION BY policy_version_id ORDER BY approved_at DESC, sql_version_id DESC) = 1)
-SELECT d.policy_version_id, d.supersedes_policy_version_id, t.sql_version_id AS baseline_sql_version_id
-FROM docs d LEFT JOIN top t ON t.policy_version_id = d.supersedes_policy_version_id
+SELECT d.policy_version_id, d.supersedes_policy_version_id, o.gcs_uri AS supersedes_gcs_uri,
+  t.sql_version_id AS baseline_sql_version_id
+FROM docs d LEFT JOIN docs o ON o.policy_version_id = d.supersedes_policy_version_id LEFT JOIN top t ON t.policy_version_id = d.supersedes_policy_version_id
 WHERE d.supersedes_policy_version_id IS NOT NULL"""
 
 ORACLE_SQL["gated_report_outputs"] = f"""WITH {OUTPUTS}
-SELECT run_id, policy_id, policy_version_id, sql_version_id, portfolio, risk_bucket, {_dbl('rwa')} AS rwa_amount
+SELECT run_id, policy_id, policy_version_id, sql_version_id, portfolio, risk_bucket, {_dbl('rwa')} AS rwa_amount, as_of_date
 FROM outputs WHERE run_id IN (SELECT run_id FROM gate WHERE approved)"""
 
 ORACLE_SQL["gate_violations"] = f"""WITH {REG}
@@ -290,13 +323,54 @@ paired AS (
 ORACLE_SQL["run_pair_comparison"] = f"""WITH {PAIRS}
 SELECT policy_id, run_a, run_b, portfolio, risk_bucket, {CMP_COLUMNS} FROM paired"""
 
-KPIS = f"""SELECT (SELECT COUNT(*) FROM docs) AS total_policies,
-  (SELECT COUNT(*) FROM sqls WHERE validation_status = 'approved') AS approved_sql,
-  (SELECT COUNT(*) FROM runs WHERE run_status = 'succeeded') AS successful_runs,
-  (SELECT {_dbl('COALESCE(SUM(rwa), 0)')} FROM outputs) AS total_rwa,
-  (SELECT {_dbl('COALESCE(SUM(rwa), 0)')} FROM outputs WHERE run_id = (
-     SELECT run_id FROM runs WHERE run_status = 'succeeded' ORDER BY started_at DESC, run_id DESC LIMIT 1)
-  ) AS total_rwa_latest_run"""
+BY_PAIR = f"""{PAIRS},
+pair_total AS (
+  SELECT policy_id, run_a, run_b, SUM(base) AS base, SUM(upd) AS upd, SUM(delta) AS delta FROM paired GROUP BY ALL)"""
+
+ORACLE_SQL["run_pair_summary"] = f"""WITH {BY_PAIR}
+SELECT policy_id, run_a, run_b, {_dbl('base')} AS total_baseline, {_dbl('upd')} AS total_updated, {_dbl('delta')} AS total_delta,
+  CASE WHEN base = 0 THEN 0 ELSE {_dbl('delta')} / {_dbl('base')} * 100 END AS pct_change,
+  CASE WHEN upd >= 1000000 THEN '$' || format('{{:,.1f}}', {_dbl('upd')} / 1000000) || 'M'
+       ELSE '$' || format('{{:,.0f}}', {_dbl('upd')}) END AS total_updated_text
+FROM pair_total"""
+
+ORACLE_SQL["run_pair_waterfall"] = f"""WITH {BY_PAIR}
+SELECT policy_id, run_a, run_b, portfolio || ' / ' || risk_bucket AS label, {_dbl('delta')} AS rwa_delta,
+  {_dbl('SUM(delta) OVER (PARTITION BY run_a, run_b ORDER BY portfolio, risk_bucket ROWS UNBOUNDED PRECEDING)')} AS running_total,
+  'relative' AS measure FROM paired
+UNION ALL SELECT policy_id, run_a, run_b, 'Total', {_dbl('delta')}, {_dbl('delta')}, 'total' FROM pair_total"""
+
+ORACLE_SQL["run_pair_stress"] = f"""WITH {BY_PAIR}, {MULT}
+SELECT policy_id, run_a, run_b, CAST(m AS DOUBLE) AS multiplier, {_dbl('upd * m')} AS stressed_rwa,
+  {_dbl('upd * m - upd')} * CAST(0.08 AS DOUBLE) AS incremental_capital
+FROM pair_total CROSS JOIN mult"""
+
+ORACLE_SQL["run_pair_stress_by_bucket"] = f"""WITH {BY_PAIR}, {MULT}
+SELECT policy_id, run_a, run_b, portfolio, risk_bucket, CAST(m AS DOUBLE) AS multiplier, {_dbl('base')} AS rwa_baseline,
+  {_dbl('upd')} AS rwa_updated, {_dbl('upd * m')} AS rwa_stressed
+FROM paired CROSS JOIN mult"""
+
+ORACLE_SQL["run_pair_drivers"] = f"""WITH {BY_PAIR}
+SELECT p.policy_id, p.run_a, p.run_b, p.portfolio, p.risk_bucket, {_dbl('p.delta')} AS rwa_delta,
+  CASE WHEN t.delta = 0 THEN 0 ELSE {_dbl('p.delta')} / {_dbl('t.delta')} END AS share_of_total,
+  RANK() OVER (PARTITION BY p.run_a, p.run_b ORDER BY ABS(p.delta) DESC) AS rnk
+FROM paired p JOIN pair_total t ON t.run_a = p.run_a AND t.run_b = p.run_b"""
+
+ORACLE_SQL["run_pair_sensitivity"] = f"""WITH {BY_PAIR},
+bucket AS (
+  SELECT policy_id, run_a, run_b, risk_bucket, SUM(base) AS base, SUM(upd) AS upd, SUM(delta) AS delta FROM paired GROUP BY ALL)
+SELECT policy_id, run_a, run_b, risk_bucket, {_dbl('base')} AS rwa_baseline, {_dbl('upd')} AS rwa_updated,
+  CASE WHEN base = 0 THEN 0 ELSE {_dbl('delta')} / {_dbl('base')} * 100 END AS pct_change
+FROM bucket"""
+
+KPIS = f"""SELECT CAST(SUM(d) AS BIGINT) AS total_policies, CAST(SUM(s) AS BIGINT) AS approved_sql, CAST(SUM(r) AS BIGINT) AS successful_runs,
+  {_dbl('COALESCE(SUM(a), 0)')} AS total_rwa, {_dbl('COALESCE(SUM(l), 0)')} AS total_rwa_latest_run
+FROM (
+  SELECT CAST(COUNT(*) AS BIGINT) AS d, 0 AS s, 0 AS r, NULL AS a, NULL AS l FROM docs
+  UNION ALL SELECT 0, COUNT(approved_at), 0, NULL, NULL FROM sqls
+  UNION ALL SELECT 0, 0, COUNT(*) FILTER (WHERE run_status = 'succeeded'), NULL, NULL FROM runs
+  UNION ALL SELECT 0, 0, 0, SUM(rwa), SUM(rwa) FILTER (WHERE run_id = newest) FROM outputs,
+    (SELECT max_by(run_id, (started_at, run_id)) AS newest FROM runs WHERE run_status = 'succeeded'))"""
 
 ORACLE_SQL["dashboard_kpis"] = f"WITH {OUTPUTS} {KPIS}"
 
@@ -316,10 +390,10 @@ chain AS (
     {_iso('e.ts')} AS extraction_at, 'rules "' || e.k || '"' || chr(10) || 'revised' AS extraction_summary,
     s.validation_status, s.approved_by, {_iso('s.approved_at')} AS approved_at, r.run_status,
     {_iso('r.started_at')} AS run_started, {_iso('r.ended_at')} AS run_ended
-  FROM runs r
-  JOIN docs d ON d.policy_id = r.policy_id AND d.policy_version_id = r.policy_version_id
-  LEFT JOIN ext e ON e.pvid = r.policy_version_id AND e.rn = 1
-  JOIN sqls s ON s.sql_version_id = r.sql_version_id AND s.policy_version_id = r.policy_version_id)"""
+  FROM docs d
+  JOIN sqls s USING (policy_version_id)
+  LEFT JOIN ext e ON e.pvid = d.policy_version_id AND e.rn = 1
+  JOIN runs r ON (r.policy_id, r.policy_version_id, r.sql_version_id) = (d.policy_id, d.policy_version_id, s.sql_version_id))"""
 
 ORACLE_SQL["lineage_chain"] = f"WITH {CHAIN} SELECT * FROM chain"
 
@@ -367,10 +441,12 @@ FROM nodes a JOIN nodes b ON a.run_id = b.run_id AND b.n = a.n + 1"""
 ORACLE_SQL["policy_timeline"] = f"""WITH {REG},
 act AS (
   SELECT COALESCE(s.policy_version_id, r.policy_version_id) AS pv, COALESCE(s.sql_version_id, r.sql_version_id) AS sv,
-    r.run_id, s.approved_at, r.started_at
+    r.run_id, s.approved_at, s.approved_by, s.validation_status, r.run_status, r.started_at, r.ended_at
   FROM sqls s FULL OUTER JOIN runs r
     ON s.policy_version_id = r.policy_version_id AND s.sql_version_id = r.sql_version_id)
-SELECT d.policy_version_id, a.sv AS sql_version_id, a.run_id, d.uploaded_at, a.approved_at, a.started_at
+SELECT d.policy_id, d.policy_version_id, d.uploaded_at, d.uploaded_by, d.status AS policy_status,
+  d.supersedes_policy_version_id, a.sv AS sql_version_id, a.validation_status, a.approved_at, a.approved_by, a.run_id,
+  a.run_status, a.started_at, a.ended_at
 FROM docs d LEFT JOIN act a ON a.pv = d.policy_version_id"""
 
 ORACLE_SQL["policy_event_timeline"] = f"""WITH {REG}
@@ -382,30 +458,34 @@ UNION ALL
 SELECT policy_id, started_at, 'Run', run_id || ' ' || run_status FROM runs"""
 
 ORACLE_SQL["sql_versions_by_policy"] = f"""WITH {REG}
-SELECT d.policy_id, s.sql_version_id, s.policy_version_id, s.validation_status, s.approved_at
+SELECT d.policy_id, s.sql_version_id, s.policy_version_id, s.validation_status, s.approved_at, s.approved_by,
+  {GENERATED_SQL} AS generated_sql
 FROM sqls s JOIN docs d USING (policy_version_id)"""
 
 ORACLE_SQL["extraction_details"] = f"""WITH {REG}, top AS (
-  SELECT policy_version_id, sql_version_id FROM sqls
+  SELECT policy_version_id, sql_version_id, {GENERATED_SQL} AS generated_sql, {AGENT_TRACE} AS agent_trace FROM sqls
   QUALIFY ROW_NUMBER() OVER (PARTITION BY policy_version_id ORDER BY approved_at DESC NULLS LAST, sql_version_id DESC) = 1)
-SELECT e.pvid AS policy_version_id, t.sql_version_id, 'template-v' || (e.k % 3) AS model_version,
+SELECT t.generated_sql, t.agent_trace, '{{"summary":' || {SUMMARY} || '}}' AS clause_citations, e.pvid AS policy_version_id, t.sql_version_id, 'template-v' || (e.k % 3) AS model_version,
   d.supersedes_policy_version_id,
   '{{"policy_gcs_uri":"policies/source-' || e.k || '.pdf","summary":"rules \\"' || e.k || '\\"\\nrevised"}}' AS extraction_json
 FROM ext e LEFT JOIN top t ON t.policy_version_id = e.pvid LEFT JOIN docs d ON d.policy_version_id = e.pvid
 WHERE e.rn = 1"""
 
 ORACLE_SQL["sql_version_details"] = f"""WITH {REG}
-SELECT s.sql_version_id, s.policy_version_id, s.validation_status, d.supersedes_policy_version_id
+SELECT s.sql_version_id, s.policy_version_id, s.validation_status, d.supersedes_policy_version_id,
+  {GENERATED_SQL} AS generated_sql, {AGENT_TRACE} AS agent_trace
 FROM sqls s JOIN docs d USING (policy_version_id)"""
 
 ORACLE_SQL["recent_runs"] = f"""WITH {REG}
-SELECT run_id, run_status, started_at, run_id || ' (' || run_status || ') — ' || COALESCE(policy_version_id, '') AS label
+SELECT run_id, run_status, started_at, run_id || ' (' || run_status || ') — ' || COALESCE(policy_version_id, '') AS label,
+  policy_id, policy_version_id, sql_version_id
 FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 50"""
 
-ORACLE_SQL["table_browse"] = "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id DESC LIMIT 200"
+ORACLE_SQL["table_browse"] = "SELECT * FROM documents ORDER BY doc_id DESC LIMIT 200"
 
 ORACLE_SQL["policy_objects"] = """SELECT 'policies/doc-' || lpad(CAST(d.doc_id AS VARCHAR), 12, '0') || '.txt' AS uri,
-  d.n_chars AS size, md5(d.text) AS md5_hash,
+  'text/plain' AS content_type, d.n_chars AS size, d.doc_id AS updated, md5(d.text) AS md5_hash,
+  'POL-' || l.doc_id AS policy_id, CAST(NULL AS VARCHAR) AS uploaded_by, CASE WHEN l.doc_id IS NOT NULL THEN 'draft' END AS status,
   CASE WHEN l.doc_id IS NOT NULL THEN 'POL-' || l.doc_id || '-V1' END AS policy_version_id,
   l.doc_id IS NOT NULL AS registered
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id

@@ -22,6 +22,11 @@ def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(SOURCES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
+def as_written(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table with the schema its files have now; for metadata, not for reading."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
 def scan_declared(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(path)
 

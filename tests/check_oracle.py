@@ -16,7 +16,7 @@ TABLES = (
 ).split()
 
 
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "date": "DATE", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
 def duck(sf_dir: str):

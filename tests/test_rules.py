@@ -85,7 +85,7 @@ def test_two_identical_runs_count_twice_only_in_parity_total(spark, seed):
     )
     outputs = registry.stamp_outputs(runs, _cells(seed), F.lit("V1"), F.col("started_at"))
     empty = spark.createDataFrame([], "validation_status string")
-    kpi = registry.dashboard_kpis(empty, empty, runs, outputs).first()
+    kpi = registry.dashboard_kpis(empty, empty, runs, registry.stored_amounts(outputs, runs)).first()
     assert (kpi.total_rwa, kpi.total_rwa_latest_run, kpi.successful_runs) == (50e6, 25e6, 2)
     assert (kpi.total_policies, kpi.approved_sql) == (0, 0)
 
@@ -94,7 +94,7 @@ def test_kpis_of_nothing_are_zero(spark):
     status = spark.createDataFrame([], "validation_status string")
     runs = spark.createDataFrame([], "run_id string, run_status string, started_at timestamp_ntz")
     outputs = spark.createDataFrame([], "run_id string, rwa_exact decimal(38,8)")
-    assert tuple(registry.dashboard_kpis(status, status, runs, outputs).first()) == (0, 0, 0, 0.0, 0.0)
+    assert tuple(registry.dashboard_kpis(status, status, runs, registry.stored_amounts(outputs, runs)).first()) == (0, 0, 0, 0.0, 0.0)
 
 
 def _outputs(spark, data):
@@ -158,7 +158,7 @@ def test_comparison_sums_and_waterfall_agree(spark, sf):
 
 def test_summary_without_baseline(spark):
     cells = compare.compare_pair(_outputs(spark, [("b", "P", "Low", 1234)]), "a", "b")
-    assert tuple(compare.comparison_summary(cells).first()) == (0.0, 1234.0, 1234.0, 0.0, "$1,234")
+    assert tuple(compare.comparison_summary(cells).first()) == ("a", "b", 0.0, 1234.0, 1234.0, 0.0, "$1,234")
     assert compare.bucket_sensitivity(cells).first().pct_change == 0.0
     assert compare.delta_drivers(compare.compare_pair(_outputs(spark, [("a", "P", "L", 1), ("b", "P", "L", 1)]), "a", "b")).first().share_of_total == 0.0
 
@@ -217,5 +217,10 @@ def test_rule_kinds_on_amounts(spark):
     both = rows(rules.rwa_by_policy_version(exposures, effective.unionByName(other), thresholds=True))
     assert both == [("V", "P", "Low", 62.5), ("W", "P", "Low", 199.99)]
     recon = rules.reconciliation(exposures, effective).first()
-    assert (recon.exposure_total, recon.mapped, recon.unmapped, recon.excluded) == (217.99, 209.99, 1.0, 7.0)
+    assert (recon.exposure_total, recon.mapped, recon.unmapped, recon.excluded) == (217.99, 110.0, 1.0, 7.0)
+    assert (recon.below_threshold, recon.without_portfolio) == (99.99, 0.0)
+    lost = exposures.unionByName(literal_rows(spark, "exposures", [(None, None, Decimal("5.00"))]))
+    recon = rules.reconciliation(lost, effective).first()
+    assert (recon.exposure_total, recon.unmapped, recon.without_portfolio) == (222.99, 6.0, 5.0)
+    assert rules.reconciliation(exposures.limit(0), effective).first().exposure_total == 0.0
     assert rows(rules.unmapped_classes(exposures, effective)) == [("X",)]
