@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.operators import audit, capital, compare, registry, rules, text
@@ -468,11 +468,16 @@ def transaction_feed(spark, sf):
     return _money(tx.transaction_feed(adapters.transactions(spark, sf)), *AMOUNTS)
 
 
+def _coarse() -> Column:
+    """The score to two decimals, as far as two solvers agree."""
+    return F.round("fraud_score", 2).alias("fraud_score")
+
+
 @query
 def fraud_scores(spark, sf):
     swipes = adapters.transactions(spark, sf)
     scored = tx.score(tx.train(swipes), swipes)
-    return _money(scored, *AMOUNTS).select("transaction_id", *AMOUNTS, "fraud_score", "alert")
+    return _money(scored, *AMOUNTS).select("transaction_id", *AMOUNTS, "predicted_label", _coarse(), "alert")
 
 
 @query
@@ -480,7 +485,7 @@ def scored_feed(spark, sf):
     swipes = adapters.transactions(spark, sf)
     scored = tx.scored_feed(tx.train(swipes), swipes)
     return _money(scored, *AMOUNTS).select(
-        "transaction_id", "cardholder_id", *AMOUNTS, "transaction_time", "fraud_score", "alert"
+        "transaction_id", "cardholder_id", *AMOUNTS, "transaction_time", "predicted_label", _coarse(), "alert"
     )
 
 
@@ -498,4 +503,4 @@ def scored_stream(spark, sf):
     feed = adapters.transactions_from(tables.stream(spark, sf, "events"))
     scored = monitor.score_stream(model, feed, rows, checkpoint, available_now=True)
     scored.awaitTermination()
-    return spark.read.parquet(rows).select("transaction_id", "fraud_score", "alert")
+    return spark.read.parquet(rows).select("transaction_id", "predicted_label", _coarse(), "alert")

@@ -588,3 +588,51 @@ SELECT COUNT(*) AS total_count, {_dbl('SUM(amt)')} / COUNT(amt) AS avg_amount,
 ORACLE_SQL["transaction_feed"] = f"""WITH {TX}
 SELECT transaction_id, cardholder_id, {MONEY}, ts AS transaction_time FROM tx
 ORDER BY ts DESC, transaction_id DESC LIMIT 30"""
+
+
+# Logistic regression by Newton steps over counted rows; amounts in hundreds.
+FIT = f"""{TX},
+swipes AS (
+  SELECT tx.*, amt / 100.0 AS x, lim / 100.0 AS z,
+    CAST((amt > lim) <> (CAST(substr(transaction_id, 4) AS BIGINT) % 50 = 0) AS INTEGER) AS y FROM tx),
+counted AS (
+  SELECT CAST(x AS DOUBLE) AS x, CAST(z AS DOUBLE) AS z, y, COUNT(*) AS w FROM swipes
+  WHERE x IS NOT NULL AND z IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+steps AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c
+  UNION ALL
+  SELECT i + 1,
+    a + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+    b + (h00 * (g1 * h22 - g2 * h12) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+    c + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+  FROM (
+    SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det
+    FROM (
+      SELECT i, a, b, c, SUM(w * (y - p)) AS g0, SUM(w * (y - p) * x) AS g1, SUM(w * (y - p) * z) AS g2,
+        SUM(w * p * (1 - p)) AS h00, SUM(w * p * (1 - p) * x) AS h01, SUM(w * p * (1 - p) * z) AS h02,
+        SUM(w * p * (1 - p) * x * x) AS h11, SUM(w * p * (1 - p) * x * z) AS h12, SUM(w * p * (1 - p) * z * z) AS h22
+      FROM (SELECT s.*, d.*, 1 / (1 + exp(-(a + b * x + c * z))) AS p FROM steps s, counted d WHERE i < 25)
+      GROUP BY i, a, b, c))),
+scored AS (
+  SELECT s.*, 1 / (1 + exp(-(a + b * CAST(x AS DOUBLE) + c * CAST(z AS DOUBLE)))) AS p
+  FROM swipes s, (SELECT * FROM steps ORDER BY i DESC LIMIT 1)),
+marked AS (
+  SELECT transaction_id, cardholder_id, amt, lim, ts, CAST(p > 0.5 AS INTEGER) AS predicted_label,
+    CASE WHEN p IS NULL THEN NULL WHEN p > 0.5 THEN round(p, 2) ELSE 0.0 END AS fraud_score,
+    CASE WHEN p > 0.5 THEN 'High Risk (ML)' ELSE 'Standard Transaction' END AS alert
+  FROM scored)"""
+
+ORACLE_SQL["fraud_scores"] = f"""WITH RECURSIVE {FIT}
+SELECT transaction_id, {MONEY}, predicted_label, CAST(fraud_score AS DOUBLE) AS fraud_score, alert FROM marked"""
+
+ORACLE_SQL["scored_feed"] = f"""WITH RECURSIVE {FIT}
+SELECT transaction_id, cardholder_id, {MONEY}, ts AS transaction_time, predicted_label,
+  CAST(fraud_score AS DOUBLE) AS fraud_score, alert
+FROM marked ORDER BY ts DESC, transaction_id DESC LIMIT 30"""
+
+ORACLE_SQL["fraud_feed_metrics"] = f"""WITH RECURSIVE {FIT}
+SELECT COUNT(*) AS total_count, {_dbl('SUM(amt)')} / COUNT(amt) AS avg_amount,
+  COUNT(*) FILTER (WHERE predicted_label = 1) AS fraud_count FROM marked"""
+
+ORACLE_SQL["scored_stream"] = f"""WITH RECURSIVE {FIT}
+SELECT transaction_id, predicted_label, CAST(fraud_score AS DOUBLE) AS fraud_score, alert FROM marked"""
