@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capledger.llm.shingles import slices
+
 # The sample that dictionaries are cut from: about so many documents of each language, chosen by a hash of
 # the text, and so many bytes of them.
 SAMPLE_DOCUMENTS = 300
@@ -93,7 +95,7 @@ class Classifier:
 def _classify(model: list[tuple[str, bytes, int]]):
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model)
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             rows = [classifier.classify(t) for t in batch.column("_text").to_pylist()]
             columns = list(zip(*rows)) if rows else [[]] * 5
             types = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]

@@ -5,8 +5,11 @@ from __future__ import annotations
 import base64
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from capledger.llm.common import running_start, small, stage_compact
+from capledger.llm.shingles import buffers, slices
 from capledger.session import stage
 
 WINDOW = 2048
@@ -24,37 +28,45 @@ SPECIAL = "<|endoftext|>"
 # A source with fewer tokens than this in a window shares a queue with others like it.
 LEAST_SHARE = 2
 # Pieces remembered by a worker, and cells of one layout matrix.
-MEMORY = 300_000
-CELLS = 1 << 20
+MEMORY = 600_000
+CELLS = 1 << 17
 # White space that a cut before a blank would tear apart.
 _TORN = re.compile(r"\s (?:\s|\Z)")
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+
+
 class Encoder(dict):
     """Token ids of a text as little-endian 32-bit numbers, ``END_ID`` last.
 
     Texts are cut before blanks, where the vocabulary's pre-tokenizer cuts too, and the ids of each piece
-    are remembered. The ranks file holds the same vocabulary as the tokenizer's; texts that contain the
+    after a blank are remembered. The ranks file holds the same vocabulary as the tokenizer's; texts that contain the
     special token go through the tokenizer itself.
     """
 
     def __init__(self, tokenizer: str | None):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
-        path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(os.path.splitext(path)[0] + ".tiktoken", "rb") as file:
+        self.path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+        with open(os.path.splitext(self.path)[0] + ".tiktoken", "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         pattern = public_tokenizers.PATTERN
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
-        ids = np.array(self.encode(piece), dtype="<u4").tobytes()
+        ids = packed(self.encode(" " + piece))
         if len(piece) < 40:
             self[piece] = ids
         return ids
@@ -62,17 +74,17 @@ class Encoder(dict):
     def ids(self, text: str) -> bytes:
         end = np.uint32(END_ID).tobytes()
         if SPECIAL in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids) + end
         if _TORN.search(text):
-            return np.array(self.encode(text), dtype="<u4").tobytes() + end
+            return packed(self.encode(text)) + end
         first, *rest = text.split(" ")
-        return b"".join([self[first], *[self[" " + piece] for piece in rest], end])
+        return b"".join([packed(self.encode(first)), *map(self.__getitem__, rest), end])
 
 
 def _encode(tokenizer: str | None):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, before = Encoder(tokenizer), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             queues, ids, counts, starts = batch.column("_queue").to_pylist(), [], [], []
             for queue, text in zip(queues, batch.column("_text").to_pylist()):
                 ids.append(encoder.ids(text or ""))
@@ -156,14 +168,15 @@ class Schedule:
 def _lay_out(totals: list[int], window: int):
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(np.array(totals, dtype=np.int64), window)
-        for batch in batches:
+        for batch in slices(batches, "_ids"):
             if not batch.num_rows:
                 continue
             numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_number", "_start", "_tokens")]
-            ids = batch.column("_ids")
+            raw, at = buffers(batch.column("_ids"))
             for row, start, length, w, offset in schedule.pieces(*numbers):
-                texts = [ids[r].as_buffer() for r in range(batch.num_rows)] if len(row) else []
-                parts = [texts[r].slice(4 * s, 4 * n).to_pybytes() for r, s, n in zip(row, start, length)]
+                # Pieces follow one another as the ids do, so the same bytes serve with other borders.
+                ends = np.append(at[row] + 4 * start, at[row[-1:]] + 4 * (start + length)[-1:]) if len(row) else np.zeros(1)
+                parts = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_id").take(pa.array(row)),
@@ -172,7 +185,7 @@ def _lay_out(totals: list[int], window: int):
                         batch.column("_tokens").take(pa.array(row)),
                         pa.array(w, pa.int64()),
                         pa.array(offset, pa.int64()),
-                        pa.array(parts, pa.binary()),
+                        parts,
                     ],
                     names=["_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )

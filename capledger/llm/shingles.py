@@ -27,8 +27,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string array without NULLs."""
-    wide = pa.types.is_large_string(texts.type)
+    """(bytes, offsets) of a string or binary array without NULLs."""
+    wide = texts.type in (pa.large_string(), pa.large_binary())
     _, ends, data = texts.buffers()
     offsets = np.frombuffer(ends, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
@@ -48,6 +48,24 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         first = last
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``size`` bytes in a string or binary column (at least one row),
+    which bounds what a worker holds at once."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        _, ends, _ = batch.column(column).buffers()
+        wide = batch.column(column).type in (pa.large_string(), pa.large_binary())
+        offset = batch.column(column).offset
+        at = np.frombuffer(ends, dtype=np.int64 if wide else np.int32)[offset : offset + batch.num_rows + 1].astype(np.int64)
+        first = 0
+        while first < batch.num_rows:
+            last = min(max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1), batch.num_rows)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of every word: maximal runs of digits, letters a-z and non-ASCII bytes, A-Z lower-cased."""
     n = len(raw)

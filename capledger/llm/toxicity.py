@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capledger.llm.common import small
-from capledger.llm.shingles import buffers
+from capledger.llm.shingles import buffers, slices
 from capledger.session import stage
 
 # Letters that a symbol may stand for.
@@ -188,7 +188,7 @@ class Scorer:
 def _spread(model: np.ndarray):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             found = [sorted(features(restorer.restore(t))) for t in batch.column("_text").to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays(
@@ -272,7 +272,7 @@ def learn(
 def _score(model: np.ndarray, scorer: Scorer):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             restored = [restorer.restore(t) for t in batch.column("_text").to_pylist()]
             scores = [scorer.score(t) for t in restored]
             kept = [batch.column(c) for c in batch.schema.names if c != "_text"]
@@ -287,7 +287,7 @@ def _score(model: np.ndarray, scorer: Scorer):
 def _pass_clean(model: np.ndarray, scorer: Scorer, column: str, limit: float):
     def pass_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
-        for batch in batches:
+        for batch in slices(batches, column):
             texts = batch.column(column).to_pylist()
             yield batch.filter(pa.array([scorer.score(restorer.restore(t)) < limit for t in texts], pa.bool_()))
 
