@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.schemas import TABLES, TRANSACTIONAL_TABLES
+from capledger.session import stage
 from capledger.sources.tables import reconcile
 
-PARTITIONED = {"rwa_report_outputs": "run_id"}
+PARTITIONED = {"rwa_report_outputs": "as_of_date"}
+# Files of one date in the report outputs, and folders of one kind in an audit export, at most.
+SPREAD = 32
 
 
 def append(df: DataFrame, path: str, table: str) -> None:
@@ -29,13 +32,27 @@ def reset(spark: SparkSession, root: str) -> None:
         refresh(spark.createDataFrame([], TABLES[table]), f"{root}/{table}", table)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def publish_outputs(outputs: DataFrame, path: str) -> None:
-    """Write report outputs by run. Writing the same run again replaces that run only."""
+    """Write report outputs by date. Writing the same run again replaces that run only: the dates it
+    is in are written anew without its old rows. One writer at a time may write a date."""
+    spark, table = outputs.sparkSession, "rwa_report_outputs"
+    new = stage(reconcile(outputs, TABLES[table]), table)
+    if not _exists(spark, path):
+        refresh(new.limit(0), path, table)
+    old = spark.read.schema(TABLES[table]).parquet(path)
+    old = old.join(new.select("as_of_date").distinct(), "as_of_date", "left_semi")
+    kept = old.join(new.select("run_id").distinct(), "run_id", "left_anti").select(*new.columns)
     (
-        outputs.repartition("run_id")
+        stage(kept.unionByName(new), table)
+        .repartition("as_of_date", F.pmod(F.xxhash64("run_id"), F.lit(SPREAD)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PARTITIONED["rwa_report_outputs"])
+        .partitionBy(PARTITIONED[table])
         .parquet(path)
     )
 
@@ -81,22 +98,35 @@ def lineage_graph(chain: DataFrame) -> DataFrame:
     return chain.select("run_id", F.concat_ws("\n", *filled).alias("value"))
 
 
+def run_texts(chain: DataFrame, sql_versions: DataFrame) -> DataFrame:
+    """The rule text that each run names."""
+    stored = sql_versions.select("sql_version_id", F.col("generated_sql").alias("value"))
+    return chain.select("run_id", "sql_version_id").join(stored, "sql_version_id").where("value IS NOT NULL").select("run_id", "value")
+
+
 def export_audit(chain: DataFrame, sql_versions: DataFrame, comparison: DataFrame, root: str) -> None:
-    """Audit package for every run in ``chain``: one folder per content kind, one
-    partition per run. ``comparison`` is written once, with header, all text."""
-    def by_run(df: DataFrame):
-        return df.write.mode("overwrite").partitionBy("run_id")
-
-    texts = (
-        chain.select("run_id", "sql_version_id")
-        .join(sql_versions.select("sql_version_id", F.col("generated_sql").alias("value")), "sql_version_id")
-        .where(F.col("value").isNotNull())
-    )
-    by_run(chain).json(f"{root}/lineage_metadata")
-    by_run(run_summary(chain).withColumnRenamed("summary", "value")).text(f"{root}/run_summary")
-    by_run(lineage_graph(chain)).text(f"{root}/lineage_graph")
-    by_run(texts.select("run_id", "value")).text(f"{root}/generated_sql")
-    (
-        comparison.select(*[_text(c).alias(c) for c in comparison.columns])
-        .write.mode("overwrite").option("header", True).csv(f"{root}/rwa_comparison")
-    )
+    """Audit package for every run in ``chain``: one folder per content kind, in at most ``SPREAD``
+    hashed parts, the run a column everywhere. ``comparison`` has a ``run_id`` and goes out as
+    CSV, with header, all text; the rest as JSON lines."""
+
+    def spread(df: DataFrame):
+        part = F.pmod(F.xxhash64("run_id"), F.lit(SPREAD))
+        return df.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part")
+
+    spread(chain).json(f"{root}/lineage_metadata")
+    spread(run_summary(chain).withColumnRenamed("summary", "value")).json(f"{root}/run_summary")
+    spread(lineage_graph(chain)).json(f"{root}/lineage_graph")
+    spread(run_texts(chain, sql_versions)).json(f"{root}/generated_sql")
+    text = comparison.select(*[_text(c).alias(c) for c in comparison.columns])
+    spread(text).option("header", True).csv(f"{root}/rwa_comparison")
+
+
+def export_run(chain: DataFrame, sql_versions: DataFrame, run_id: str, root: str) -> None:
+    """The texts of one run as text files."""
+    one = chain.where(F.col("run_id") == run_id)
+    for name, df in (
+        ("run_summary", run_summary(one).withColumnRenamed("summary", "value")),
+        ("lineage_graph", lineage_graph(one)),
+        ("generated_sql", run_texts(one, sql_versions)),
+    ):
+        df.select("value").coalesce(1).write.mode("overwrite").text(f"{root}/{name}")

@@ -36,12 +36,14 @@ def score_stream(
 def metrics_stream(
     feed: DataFrame, flagged: Column, flagged_name: str, path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Live feed metrics: each batch writes the whole result (one row) under its
-    number, so a repeated batch replaces its own row and readers never see half a write."""
+    """Live feed metrics: each batch writes the whole result (one row) with its number into one of two
+    folders, so a repeated batch replaces its own row and nothing piles up."""
     metrics = feed_metrics(feed, flagged, flagged_name)
 
     def publish(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        # Two folders in turn: the one before the newest stays readable while the next is written.
+        row = batch.withColumn("batch", F.lit(number).cast("long"))
+        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/slot={number % 2}")
 
     writer = metrics.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(publish)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -50,7 +52,7 @@ def metrics_stream(
 def current_metrics(spark: SparkSession, path: str) -> DataFrame:
     written = spark.read.parquet(path)
     newest = written.agg(F.max("batch")).scalar()
-    return written.where(F.col("batch") == newest).drop("batch")
+    return written.where(F.col("batch") == newest).drop("batch", "slot")
 
 
 def raw_fallback(spark: SparkSession, path: str, limit: int = 10) -> DataFrame:

@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capledger.functions.scalars import mint_id, object_path, summary_text, version_id
+from capledger.functions.scalars import mint_id, object_path, progress_text, summary_text, version_id
 from capledger.operators import audit, registry, rules
 from capledger.operators.rules import effective_rules, layered
 from capledger.schemas import TABLES
@@ -21,7 +21,7 @@ from capledger.sources.tables import scan_declared
 
 RULE_COLUMNS = [
     "sql_version_id", "policy_version", "kind", "asset_class", "risk_bucket", "risk_weight", "min_amount",
-    "multiplier", "precedence", "origin",
+    "multiplier", "precedence", "origin", "drafted_at",
 ]
 
 
@@ -64,6 +64,23 @@ class Registry:
     def rule_rows(self) -> DataFrame:
         return self.spark.read.parquet(self._path("rule_rows"))
 
+    def rules_at(self, when: Column) -> DataFrame:
+        """Rule rows of each rule version's newest draft not later than ``when``."""
+        stored = self.rule_rows().where(F.col("drafted_at") <= when)
+        newest = stored.groupBy("sql_version_id").agg(F.max("drafted_at").alias("drafted_at"))
+        return stored.join(newest, ["sql_version_id", "drafted_at"], "left_semi")
+
+    def _store_rules(self, delta: DataFrame, ids: DataFrame, documents: DataFrame, when: Column) -> None:
+        """Append the complete rules of a draft: ``delta`` (by ``policy_version``) over the approved rules
+        of the version that each one supersedes. ``ids`` maps ``policy_version`` to ``sql_version_id``."""
+        if self._has_rules():
+            baselines = audit.superseded_baseline(documents, self.sql_versions())
+            complete = layered(self.rules_at(when), baselines, delta)
+        else:
+            complete = delta.withColumns({"precedence": F.lit(0), "origin": F.lit("V1")})
+        complete = complete.join(ids, "policy_version").withColumn("drafted_at", when)
+        stage(complete.select(*RULE_COLUMNS), "rule_rows").write.mode("append").parquet(self._path("rule_rows"))
+
     # --- steps ---------------------------------------------------------------
 
     def upload(self, files: DataFrame, at: datetime) -> DataFrame:
@@ -111,27 +128,33 @@ class Registry:
             )
         )
         ids = rows.select(F.col("policy_version_id").alias("policy_version"), "sql_version_id")
-        if self._has_rules():
-            baselines = audit.superseded_baseline(documents, self.sql_versions())
-            complete = layered(self.rule_rows(), baselines, delta)
-        else:
-            complete = delta.withColumns({"precedence": F.lit(0), "origin": F.lit("V1")})
-        complete = stage(complete.join(ids, "policy_version").select(*RULE_COLUMNS), "rule_rows")
-        complete.write.mode("append").parquet(self._path("rule_rows"))
+        self._store_rules(delta, ids, documents, when)
         self._append(rows, "generated", when, payload)
-        return rows
+        return rows.withColumn("progress", progress_text("Extraction complete: ", F.col("summary")))
 
     def _has_rules(self) -> bool:
         """Is there any generated rule version yet?"""
         return not self.events().where(F.col("event_type") == "generated").isEmpty()
 
-    def regenerate(self, texts: DataFrame, at: datetime) -> None:
-        """New text, trace and snapshot for ``sql_version_id`` rows; approval is cleared."""
+    def regenerate(self, texts: DataFrame, at: datetime, delta: DataFrame | None = None) -> None:
+        """New text, trace and snapshot for ``sql_version_id`` rows; approval is cleared.
+
+        ``delta`` has the new draft's rule rows by ``sql_version_id``; versions without any keep
+        the rules of the draft before. Runs use the draft that was approved.
+        """
+        when = F.lit(at).cast("timestamp_ntz")
+        if delta is not None:
+            ids = self.sql_versions().select("sql_version_id", F.col("policy_version_id").alias("policy_version"))
+            ids = stage(ids.join(delta.select("sql_version_id").distinct(), "sql_version_id", "left_semi"), "redrafts")
+            named = delta.join(ids, "sql_version_id").drop("sql_version_id")
+            self._store_rules(named, ids, stage(self.documents(), "documents"), when)
         payload = F.to_json(F.struct("generated_sql", "agent_trace", "schema_snapshot"))
-        self._append(texts, "regenerated", F.lit(at).cast("timestamp_ntz"), payload)
+        self._append(texts, "regenerated", when, payload)
 
     def approve(self, versions: DataFrame, at: datetime) -> None:
-        """``(sql_version_id, actor)`` rows; the policy version is looked up."""
+        """``(sql_version_id, actor)`` rows; the policy version is looked up. Versions never drafted raise."""
+        if not audit.must_exist(versions, self.sql_versions(), "sql_version_id").isEmpty():
+            raise ValueError("approval of a rule version that was not drafted")
         rows = versions.join(self.sql_versions().select("sql_version_id", "policy_version_id"), "sql_version_id")
         self._append(stage(rows, "approvals"), "approved", F.lit(at).cast("timestamp_ntz"))
 
@@ -150,7 +173,7 @@ class Registry:
         approved = gate.where("approved_at_start").select("run_id")
         allowed = stage(runs.join(approved, "run_id", "left_semi"), "allowed")
         try:
-            wanted = self.rule_rows().join(allowed.select("sql_version_id").distinct(), "sql_version_id", "left_semi")
+            wanted = self.rules_at(when).join(allowed.select("sql_version_id").distinct(), "sql_version_id", "left_semi")
             effective = stage(
                 effective_rules(wanted.withColumn("policy_version", F.col("sql_version_id"))), "effective_rules"
             )

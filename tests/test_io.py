@@ -54,7 +54,9 @@ def test_rerun_replaces_only_its_run(spark, folder):
     got = tables.scan_declared(spark, path, "rwa_report_outputs")
     assert rows(got.select("run_id", "rwa_amount")) == [("r1", 5.0), ("r2", 2.0)]
     plan = got.where("run_id = 'r1'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(run_id" in plan
+    assert "PushedFilters: [IsNotNull(run_id), EqualTo(run_id,r1)]" in plan
+    dated = got.where("as_of_date = DATE'2024-01-01'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(as_of_date" in dated
 
 
 def test_object_listing(spark, folder):
@@ -160,19 +162,75 @@ def test_workflow_end_to_end(spark, registry, folder):
 
     chain = audit.lineage_chain(registry.runs(), registry.documents(), registry.extractions(), registry.sql_versions())
     cells = compare.compare_pair(registry.outputs().withColumn("rwa_exact", F.col("rwa_amount").cast("decimal(34,8)")), good, merged)
-    sinks.export_audit(chain, registry.sql_versions(), compare.rwa_comparison(cells), folder)
-    summary = spark.read.text(f"{folder}/run_summary").where(F.col("run_id") == good).first().value
+    compared = compare.rwa_comparison(cells).withColumn("run_id", F.lit(merged))
+    sinks.export_audit(chain, registry.sql_versions(), compared, folder)
+    summary = spark.read.json(f"{folder}/run_summary").where(F.col("run_id") == good).first().value
     assert json.loads(summary)["approved_by"] == "bob" and len(json.loads(summary)) == 11
     table = spark.read.option("header", True).csv(f"{folder}/rwa_comparison")
-    assert rows(table) == [("Book", "High", "0.0", "10.0", "10.0"), ("Book", "Low", "25.0", "20.0", "-5.0")]
-    graph = spark.read.text(f"{folder}/lineage_graph").where(F.col("run_id") == good)
+    assert {r.run_id for r in table.collect()} == {merged}
+    assert rows(table.drop("run_id", "part")) == [("Book", "High", "0.0", "10.0", "10.0"), ("Book", "Low", "25.0", "20.0", "-5.0")]
+    graph = spark.read.json(f"{folder}/lineage_graph").where(F.col("run_id") == good)
     assert graph.where("value like '%RUN --> OUT%'").count() == 1
-    sql_text = spark.read.text(f"{folder}/generated_sql").where(F.col("run_id") == good)
+    sinks.export_run(chain, registry.sql_versions(), good, f"{folder}/one")
+    assert spark.read.text(f"{folder}/one/lineage_graph").where("value like '%RUN --> OUT%'").count() == 1
+    sql_text = spark.read.json(f"{folder}/generated_sql").where(F.col("run_id") == good)
     assert [r.value for r in sql_text.collect()] == ["SELECT 1"]
     lineage = spark.read.json(f"{folder}/lineage_metadata")
     assert lineage.count() == 3
 
 
+def test_runs_use_the_approved_draft(spark, folder):
+    registry = Registry(spark, folder)
+    registry.initialise()
+    exposures = tables.literal_rows(spark, "exposures", [("Book", "A", Decimal("20.00"))])
+    version = registry.upload(
+        spark.createDataFrame([(None, "x.pdf", "ann", None)], "policy_id string, filename string, actor string, supersedes string"), day(1)
+    ).first()
+    texts = spark.createDataFrame(
+        [(version.policy_version_id, "s", "SELECT 1", "{}", None)],
+        "policy_version_id string, summary string, generated_sql string, agent_trace string, schema_snapshot string",
+    )
+    def rule(weight):
+        return adapters.rule_rows(spark, [f"('mapping', 'A', 'Low', {weight}, NULL, NULL)"])
+
+    sql = registry.draft(rule(0.5).withColumn("policy_version", F.lit(version.policy_version_id)), texts, day(2)).first()
+    approval = spark.createDataFrame([(sql.sql_version_id, "bob")], "sql_version_id string, actor string")
+    request = spark.createDataFrame([(version.policy_id, version.policy_version_id, sql.sql_version_id)], "policy_id string, policy_version_id string, sql_version_id string")
+
+    def amounts(at):
+        run = registry.execute(request, exposures, at).first().run_id
+        return [r.rwa_amount for r in registry.outputs().where(F.col("run_id") == run).collect()]
+
+    registry.approve(approval, day(3))
+    assert amounts(day(4)) == [10.0]
+    again = texts.drop("policy_version_id").withColumn("sql_version_id", F.lit(sql.sql_version_id))
+    registry.regenerate(again, day(5), rule(2.5).withColumn("sql_version_id", F.lit(sql.sql_version_id)))
+    assert amounts(day(6)) == []  # not approved
+    registry.approve(approval, day(7))
+    registry.approve(approval, day(7))  # a retry
+    assert amounts(day(8)) == [50.0]
+    assert amounts(day(4)) == [10.0]  # the old run again: the draft of its time
+    assert registry.outputs().count() == 2 and registry.extractions().count() == 1
+    with pytest.raises(ValueError):
+        registry.approve(spark.createDataFrame([("SQL-none", "bob")], "sql_version_id string, actor string"), day(9))
+
+
+def test_a_new_column_in_the_files_is_drift(spark, sf, folder):
+    import shutil
+
+    from capledger.plans import catalogue
+
+    for table in ("events", "documents"):
+        shutil.copy(f"{sf}/{table}.parquet", f"{folder}/{table}.parquet")
+    before = catalogue.QUERIES["schema_drift"](spark, folder).where("column_path = 'documents.extra'").count()
+    wide = spark.read.parquet(f"{sf}/documents.parquet").withColumn("extra", F.lit(1))
+    wide.write.parquet(f"{folder}/wide")
+    shutil.copytree(f"{folder}/wide", f"{folder}/drifted/documents.parquet")
+    shutil.copy(f"{sf}/events.parquet", f"{folder}/drifted/events.parquet")
+    after = catalogue.QUERIES["schema_drift"](spark, f"{folder}/drifted").where("column_path = 'documents.extra'")
+    assert before == 0 and after.count() > 0
+
+
 def test_failed_execution_is_recorded(spark, folder):
     registry = Registry(spark, folder)
     registry.initialise()
