@@ -217,7 +217,7 @@ sqls AS (
     s.actor AS approved_by, s.ts AS approved_at
   FROM drafts d
   LEFT JOIN signs s ON s.sqlid = d.sqlid AND s.rn = 1
-    AND (s.ts > d.ts OR (s.ts = d.ts AND s.event_id > d.event_id))
+    AND s.ts >= d.ts
   WHERE d.rn = 1),
 runs AS (
   SELECT 'RUN-' || event_id AS run_id, policy_id, pvid AS policy_version_id, sqlid AS sql_version_id,
@@ -228,7 +228,8 @@ gate AS (
   SELECT run_id, sqlid, approved FROM (
     SELECT 'RUN-' || event_id AS run_id, sqlid, event_type,
       LAST_VALUE(CASE event_type WHEN 'view' THEN TRUE WHEN 'click' THEN FALSE END IGNORE NULLS)
-        OVER (PARTITION BY sqlid ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS approved
+        OVER (PARTITION BY sqlid ORDER BY ts, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, event_id
+          ROWS UNBOUNDED PRECEDING) AS approved
     FROM reg WHERE sqlid IS NOT NULL)
   WHERE event_type IN ('purchase', 'error')),
 ext AS (

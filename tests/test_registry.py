@@ -92,25 +92,36 @@ def test_runs_and_gate(story):
 
 
 def test_order_within_one_instant(spark):
-    """Equal times: the event id decides."""
+    """Equal times: drafts come first, then approvals, then starts, whatever their ids."""
     at = [("generated", 1), ("approved", 2), ("run_started", 3), ("regenerated", 4), ("run_started", 5)]
     data = [(i, T0, kind, "P", "P-V1", "S", f"R{i}" if kind == "run_started" else None, "a", "{}") for kind, i in at]
     events = spark.createDataFrame(data, TABLES["registry_events"])
-    assert {r.run_id: r.approved_at_start for r in registry.run_gate(events).collect()} == {"R3": True, "R5": False}
-    assert registry.sql_version_state(events).first().validation_status == "pending"
+    assert {r.run_id: r.approved_at_start for r in registry.run_gate(events).collect()} == {"R3": True, "R5": True}
+    assert registry.sql_version_state(events).first().validation_status == "approved"
+    later = events.where("event_type <> 'approved'").unionByName(
+        events.where("event_type = 'approved'").withColumn("event_ts", F.col("event_ts") + F.expr("INTERVAL 1 SECOND"))
+    )
+    assert not any(r.approved_at_start for r in registry.run_gate(later).collect())
 
 
 def test_retried_events_change_nothing(story):
     twice = story.unionByName(story)
     for fold in (registry.document_state, registry.sql_version_state, registry.run_state):
         assert rows(fold(twice)) == rows(fold(story))
+    for fold in (registry.run_gate, registry.extractions):
+        assert rows(fold(twice)) == rows(fold(story))
+    runs = registry.run_state(story)
+    assert rows(registry.gate_violations(runs, registry.run_gate(twice))) == rows(registry.gate_violations(runs, registry.run_gate(story)))
 
 
 def test_lookups(story):
     docs, sqls = registry.document_state(story), registry.sql_version_state(story)
-    assert rows(audit.latest_approved_sql(sqls)) == [("P-V1", "S2", hour(9), "two")]
+    assert rows(audit.latest_approved_sql(sqls).drop("agent_trace")) == [("P-V1", "S2", hour(9), "two")]
     assert rows(audit.latest_policy_version(docs)) == [("P", "P-V3", 3)]
-    assert rows(audit.superseded_baseline(docs, sqls)) == [("P-V2", "P-V1", "S2"), ("P-V3", "P-V2", None)]
+    baseline = audit.superseded_baseline(docs, sqls)
+    uris = {r.policy_version_id: r.gcs_uri for r in docs.collect()}
+    assert all(r.supersedes_gcs_uri == uris[r.supersedes_policy_version_id] for r in baseline.collect())
+    assert rows(baseline.drop("supersedes_gcs_uri")) == [("P-V2", "P-V1", "S2"), ("P-V3", "P-V2", None)]
     ordered = [r.sql_version_id for r in audit.sql_versions_by_policy(sqls, docs, "P").collect()]
     assert ordered == ["S2", "S1", "S3"]
     assert audit.sql_versions_by_policy(sqls, docs, "other").isEmpty()
