@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capledger.llm.common import keep_rows, small, stage_compact
 from capledger.llm.graph import components
-from capledger.llm.shingles import WORDS, chunks, mix, multisets
+from capledger.llm.shingles import CHUNK, WORDS, chunks, mix, multisets, slices
 from capledger.session import stage
 
 THRESHOLD = 0.8
@@ -74,6 +74,33 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=np.uint64) * _GOLDEN)
 
 
+def four_bits(signature: np.ndarray) -> np.ndarray:
+    """Four bits of every register, 16 registers in one number."""
+    n, registers = signature.shape
+    padded = np.zeros((n, -(-registers // 16) * 16), dtype=np.uint64)
+    padded[:, :registers] = signature & np.uint64(15)
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
+    return (padded.reshape(n, -1, 16) << shifts).sum(axis=2, dtype=np.uint64)
+
+
+def _differing(a: str, b: str, registers: int) -> Column:
+    """In how many registers two rows differ by their four bits."""
+    total = F.lit(0)
+    for i in range(-(-registers // 16)):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def most_differing(threshold: float, registers: int) -> float:
+    """Registers that two texts at the threshold differ in, plus 4.5 standard deviations: of such pairs
+    fewer than one in ten thousand differ in more."""
+    p = (1 - threshold) * 15 / 16
+    return registers * p + 4.5 * (registers * p * (1 - p)) ** 0.5
+
+
 def _sign(size: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,31 +108,42 @@ def _sign(size: int, bands: int, rows: int):
             for first, last, raw, offsets in chunks(column):
                 doc, shingle, count = multisets(raw, offsets, size)
                 n = last - first
-                keys = band_keys(signatures(doc, shingle, count, n, bands * rows), bands, rows).view(np.int64)
+                signature = signatures(doc, shingle, count, n, bands * rows)
                 some = np.bincount(doc, minlength=n) > 0
-                ends = np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[some].ravel(), pa.int64()))
+                lists = []
+                for numbers in (band_keys(signature, bands, rows), four_bits(signature)):
+                    ends = np.concatenate(([0], np.cumsum(some * numbers.shape[1]))).astype(np.int32)
+                    flat = pa.array(numbers[some].ravel().view(np.int64), pa.int64())
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
                 part = batch.slice(first, n)
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_node"), lists], names=["_id", "_node", "_bands"])
+                weight = np.bincount(doc, count, n).astype(np.int64)
+                columns = [part.column("_id"), part.column("_node"), *lists, pa.array(weight, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_node", "_bands", "_bits", "_size"])
 
     return sign
 
 
 def _overlap(size: int):
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[str | None, tuple] = (None, ())
+        held: dict[str, tuple[np.ndarray, np.ndarray, int]] = {}
+        room = 0
 
         def bag(text: str) -> tuple[np.ndarray, np.ndarray, int]:
-            raw = np.frombuffer(text.encode(), dtype=np.uint8)
-            _, shingle, count = multisets(raw, np.array([0, len(raw)]), size)
-            return shingle, count, int(count.sum())
-
-        for batch in batches:
+            nonlocal room
+            if text not in held:
+                raw = np.frombuffer(text.encode(), dtype=np.uint8)
+                _, shingle, count = multisets(raw, np.array([0, len(raw)]), size)
+                room -= len(raw)
+                if room < 0:  # so many bytes of texts are remembered
+                    held.clear()
+                    room = CHUNK
+                held[text] = (shingle, count, int(count.sum()))
+            return held[text]
+
+        for batch in slices(batches, "_right"):
             common, union = [], []
             for left, right in zip(batch.column("_left").to_pylist(), batch.column("_right").to_pylist()):
-                if held[0] != left:
-                    held = (left, bag(left))
-                (sa, ca, na), (sb, cb, nb) = held[1], bag(right)
+                (sa, ca, na), (sb, cb, nb) = bag(left), bag(right)
                 _, i, j = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
                 both = int(np.minimum(ca[i], cb[j]).sum())
                 common.append(both)
@@ -116,6 +154,32 @@ def _overlap(size: int):
     return overlap
 
 
+def _spread(size: int):
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners = np.frombuffer(b"".join(batch.column("_own").to_pylist()), dtype=">i8").reshape(-1, 2).astype(np.int64)
+            for first, last, raw, offsets in chunks(batch.column("_text")):
+                doc, shingle, count = multisets(raw, offsets, size)
+                at = pa.array(first + doc)
+                columns = [batch.column("_node").take(at), pa.array(owners[first + doc, 0]), pa.array(owners[first + doc, 1])]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(shingle.view(np.int64)), pa.array(count, pa.int64())],
+                    names=["_w", "high", "low", "shingle", "n"],
+                )
+
+    return spread
+
+
+def own_weight(texts: DataFrame, size: int) -> DataFrame:
+    """Per text, the weight of the shingles that no text of another component (``_own``) has: ``_w, _alone``."""
+    schema = "_w binary, high long, low long, shingle long, n long"
+    spread = stage(texts.select("_node", "_text", "_own").mapInArrow(_spread(size), schema), "shingles")
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("high", "low") for f in (F.min, F.max)]
+    single = spread.groupBy(F.col("shingle").alias("_s")).agg(*ends).where("high_min = high_max AND low_min = low_max")
+    kept = spread.join(single.select("_s"), F.col("shingle") == F.col("_s"), "left_semi")
+    return kept.groupBy("_w").agg(F.sum("n").alias("_alone"))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int = WORDS) -> DataFrame:
     """Exact multiset overlap of each pair ``a, b``: ``a, b, common, union``."""
     left = texts.select(F.col("_node").alias("a"), F.col("_text").alias("_left"))
@@ -128,20 +192,35 @@ def _linked(threshold: float):
     return F.col("common") >= F.col("union") * F.lit(threshold) - F.lit(1e-9)
 
 
-def near_links(
-    signed: DataFrame, docs: DataFrame, text: str, threshold: float, size: int
-) -> DataFrame:
-    """Components of the texts that a band brings together and whose overlap reaches the threshold: ``node, component``.
+def _joined(measured: DataFrame, threshold: float) -> DataFrame:
+    """``_node, _own``: components of the measured pairs that link."""
+    linked = measured.where(_linked(threshold)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return stage(components(linked).toDF("_node", "_own"), "components")
 
-    Every text of a bucket is compared with the bucket's least one first. Where the links found so far
-    leave a bucket in several components, the texts outside its least one's component are compared with all
-    texts of other components in the bucket, but for pairs whose distances to the least text differ by more
-    than a link's largest distance: weighted Jaccard distance is a metric, so these cannot link. A pair in
-    one component needs no link of its own.
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Distinct pairs of a bucket's hub and its other texts, smaller text first."""
+    apart = members.where("_node <> _hub")
+    return apart.select(F.least("_hub", "_node").alias("a"), F.greatest("_hub", "_node").alias("b")).distinct()
+
+
+def near_links(signed: DataFrame, docs: DataFrame, text: str, threshold: float, size: int, registers: int) -> DataFrame:
+    """Components of the texts that a band brings together and whose overlap reaches the threshold: ``_node, _own``.
+
+    Every text of a bucket is compared with one of them, drawn anew for each bucket. A bucket whose texts are in
+    one component by then is done, for a pair inside a component needs no link of its own. In the others,
+    texts are compared with the one that has the most links so far. What is still outside its
+    component is compared with all texts of other components, but for pairs that cannot link: those whose
+    distances to it differ by more than a link's largest distance, as weighted Jaccard distance is a metric;
+    those that share too little even if they share all that is not found in a text's own component
+    alone; and those whose signatures differ in more registers than ``most_differing``.
+    A pair that shares several buckets meets in the one with the least key.
     """
-    bands = signed.groupBy("_node").agg(F.first("_bands").alias("_bands"))
-    placed = stage(bands.select(F.col("_node"), F.explode("_bands").alias("_key")), "bands")
-    buckets = placed.groupBy(F.col("_key").alias("_k")).agg(F.count("*").alias("_n"), F.min("_node").alias("_hub")).where("_n > 1")
+    texts_of = signed.groupBy("_node").agg(F.first("_bands").alias("_bands"), F.first("_bits").alias("_bits"), F.first("_size").alias("_size"))
+    once = stage(texts_of, "signed-texts")
+    placed = once.select("_node", F.explode("_bands").alias("_key"))
+    drawn = F.min_by("_node", F.xxhash64("_node", "_key"))
+    buckets = placed.groupBy(F.col("_key").alias("_k")).agg(F.count("*").alias("_n"), drawn.alias("_hub")).where("_n > 1")
     shared = stage(placed.join(buckets, F.col("_key") == F.col("_k")).select("_key", "_node", "_hub"), "buckets")
     wanted = stage(shared.select(F.col("_node").alias("_w")).distinct(), "candidates")
     body = F.coalesce(F.col(text), F.lit(""))
@@ -150,37 +229,58 @@ def near_links(
         rows.join(small(wanted), F.col("_node") == F.col("_w"), "left_semi").groupBy("_node").agg(F.first("_text").alias("_text")),
         "candidate-texts",
     )
-    stars = shared.where("_node <> _hub").select(F.col("_hub").alias("a"), F.col("_node").alias("b")).distinct()
-    measured = verify(stars, texts, size)
-    links = measured.where(_linked(threshold)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = stage(components(links), "components")
-
-    of_node = found.select(F.col("node").alias("_node"), F.col("component").alias("_own"))
-    of_hub = found.select(F.col("node").alias("_hub"), F.col("component").alias("_hubs"))
-    near = measured.select(
-        F.col("a").alias("_hub"), F.col("b").alias("_node"), (1 - F.col("common") / F.col("union")).alias("_far")
-    )
-    members = stage(
-        shared.where("_node <> _hub")
-        .join(of_node, "_node", "left")
-        .join(of_hub, "_hub", "left")
-        .join(near, ["_hub", "_node"])
-        .select("_key", "_node", "_far", F.coalesce("_own", "_node").alias("_own"), F.coalesce("_hubs", "_hub").alias("_hubs")),
-        "members",
+    measured = verify(_stars(shared), texts, size)
+    found = _joined(measured, threshold)
+
+    owned = shared.select("_key", "_node").join(found, "_node", "left").withColumn("_own", F.coalesce("_own", "_node"))
+    open_ = owned.groupBy(F.col("_key").alias("_k")).agg(F.min("_own").alias("_lo"), F.max("_own").alias("_hi")).where("_lo <> _hi")
+    linked = measured.where(_linked(threshold))
+    ends = linked.select(F.explode(F.array("a", "b")).alias("_node")).groupBy("_node").agg(F.count("*").alias("_links"))
+    left = stage(owned.join(open_, F.col("_key") == F.col("_k"), "left_semi").select("_key", "_node"), "open-buckets")
+    most = F.max_by("_node", F.struct(F.coalesce("_links", F.lit(0)), "_node"))
+    hubs = left.join(ends, "_node", "left").groupBy(F.col("_key").alias("_k")).agg(most.alias("_hub"))
+    left = stage(left.join(hubs, F.col("_key") == F.col("_k")).select("_key", "_node", "_hub"), "open-buckets")
+    measured = measured.unionByName(verify(_stars(left).join(measured, ["a", "b"], "left_anti"), texts, size))
+    found = _joined(measured, threshold)
+
+    opened = left.select("_node").distinct().join(found, "_node", "left")
+    opened = stage(opened.select(F.col("_node").alias("_w"), F.coalesce("_own", "_node").alias("_own")), "open-texts")
+    alone = own_weight(texts.join(small(opened), F.col("_node") == F.col("_w")), size)
+    far = measured.select("a", "b", (1 - F.col("common") / F.col("union")).alias("_far"))
+    members = (
+        left.withColumns({"a": F.least("_hub", "_node"), "b": F.greatest("_hub", "_node")})
+        .join(far, ["a", "b"], "left")
+        .join(found, "_node", "left")
+        .join(found.toDF("_hub", "_hubs"), "_hub", "left")
+        .join(once.select("_node", "_bands", "_bits", "_size"), "_node")
+        .join(alone, F.col("_node") == F.col("_w"), "left")
+        .select(
+            "_key", "_node", "_bands", "_bits", "_size", (F.col("_size") - F.coalesce("_alone", F.lit(0))).alias("_most"), F.coalesce("_far", F.lit(0.0)).alias("_far"),
+            F.coalesce("_own", "_node").alias("_own"), F.coalesce("_hubs", "_hub").alias("_hubs"), (F.col("_node") == F.col("_hub")).alias("_is_hub"),
+        )
     )
+    members = stage(members, "members")
     outside = members.where("_own <> _hubs").select(
-        "_key", F.col("_node").alias("_x"), F.col("_far").alias("_fx"), F.col("_own").alias("_ox")
+        F.col("_key").alias("_k"), F.col("_node").alias("_x"), F.col("_far").alias("_fx"), F.col("_own").alias("_ox"), F.col("_bits").alias("_bx"),
+        F.col("_bands").alias("_kx"), F.col("_size").alias("_sx"), F.col("_most").alias("_mx"),
     )
-    rest = members.join(outside, "_key").where(
-        (F.col("_own") != F.col("_ox"))
+    most_common = F.least("_most", "_mx")
+    may_link = (
+        (F.col("_key") == F.col("_k"))
+        & (F.col("_own") != F.col("_ox"))
         & (F.abs(F.col("_far") - F.col("_fx")) <= 1 - threshold + 1e-9)
         & ((F.col("_own") == F.col("_hubs")) | (F.col("_node") < F.col("_x")))
+        & (most_common >= (F.col("_size") + F.col("_sx") - most_common) * F.lit(threshold) - F.lit(1e-9))
+        & (_differing("_bits", "_bx", registers) <= most_differing(threshold, registers))
+        & (F.array_min(F.array_intersect("_bands", "_kx")) == F.col("_key"))
     )
+    rest = members.where("NOT _is_hub").join(outside, may_link)
     rest = rest.select(F.least("_x", "_node").alias("a"), F.greatest("_x", "_node").alias("b")).distinct()
-    more = verify(rest, texts, size).where(_linked(threshold)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if more.isEmpty():
+    last = verify(rest, texts, size).where(_linked(threshold))
+    if last.isEmpty():
         return found
-    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    chains = found.select(F.col("_node").alias("u"), F.col("_own").alias("v"))
+    return components(chains.unionByName(last.select(F.col("a").alias("u"), F.col("b").alias("v")))).toDF("_node", "_own")
 
 
 def _members(docs: DataFrame, key: str, text: str, threshold: float, size: int, bands: int, rows: int) -> DataFrame:
@@ -188,13 +288,11 @@ def _members(docs: DataFrame, key: str, text: str, threshold: float, size: int,
     body = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(key).alias("_id"), F.unhex(F.md5(body)).alias("_node"), body.alias("_text"))
     kind = dict(read.dtypes)["_id"]
-    signed = stage(read.mapInArrow(_sign(size, bands, rows), f"_id {kind}, _node binary, _bands array<long>"), "signatures")
-    found = near_links(signed, docs, text, threshold, size)
+    signed = stage(read.mapInArrow(_sign(size, bands, rows), f"_id {kind}, _node binary, _bands array<long>, _bits array<long>, _size long"), "signatures")
+    found = near_links(signed, docs, text, threshold, size, bands * rows)
     ids = signed.groupBy("_id", "_node").agg(F.count("*").alias("_times"))
     classed = stage(
-        ids.join(found, F.col("_node") == F.col("node"), "left").select(
-            "_id", "_node", "_times", F.coalesce("component", "_node").alias("_class")
-        ),
+        ids.join(found, "_node", "left").select("_id", "_node", "_times", F.coalesce("_own", "_node").alias("_class")),
         "classes",
     )
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_node").alias("node")))
