@@ -32,15 +32,22 @@ FEATURES = 4096
 ORDER, LETTERS = 4, 27
 # Log-probabilities of the channel: a letter written as a symbol, a letter repeated, letters spaced out, or as it is.
 AS_SYMBOL, REPEATED, SPACED, AS_IS = math.log(0.05), math.log(0.1), math.log(0.02), math.log(0.9)
+# Longer tokens are decoded each time, not remembered.
 LONGEST = 64
 
 _SYMBOLS = re.escape("".join(LEET))
-# Tokens whose lattice has more than one path: symbols among letters, runs of one letter, spaced single letters.
+_SINGLE = rf"(?:[^\W\d_]|[{_SYMBOLS}])"
+# Tokens whose lattice has more than one path: symbols among letters, runs of one letter, and spaced single letters or
+# symbols, which are left alone without a letter among them.
 _SUSPECT = re.compile(
-    rf"(?<![\w{_SYMBOLS}.@])(?:(?=[^\W\d_{_SYMBOLS}]*[{_SYMBOLS}])(?=[{_SYMBOLS}]*[^\W\d_])[^\W_{_SYMBOLS}]*"
+    rf"(?<![\w{_SYMBOLS}])(?:(?=[^\W\d_{_SYMBOLS}]*[{_SYMBOLS}])(?=[{_SYMBOLS}]*[^\W\d_])[^\W_{_SYMBOLS}]*"
     rf"(?:[{_SYMBOLS}][^\W\d_]*)+(?![\w@=])"
-    r"|[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*"
-    r"|[^\W\d_](?:([ ._*-])[^\W\d_])(?:\2[^\W\d_])+(?!\w))"
+    r"|[^\W\d_]*?([^\W\d_])(?i:\1)[^\W\d_]*"
+    rf"|{_SINGLE}([ ._*-]){_SINGLE}(?:\2{_SINGLE})+(?!\w))"
+)
+# Mail addresses, addresses with a scheme or www, and decimal or dotted numbers. What follows a dot inside one is no token.
+_ADDRESS = re.compile(
+    r"(?<![\w.%+-])[\w.%+-]++@[\w-]+(?:\.[\w-]+)+|(?<!\w)(?:[A-Za-z][A-Za-z0-9+-]*+://|[Ww]{3}\.)\S+|(?<![\w.,])\d+(?:[.,]\d+)+"
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -116,14 +123,20 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         while end < len(token) and token[end] == c and gap is None:
             end += 1
         run = end - i
+        # Spaced out, a repeated letter or symbol stands two before.
+        again = [("", REPEATED)] if gap is not None and i and token[i - 2] == c else []
         if c in LEET:
             # Punctuation at the end may well be meant.
-            plain = AS_IS if end == len(token) and not c.isdigit() else 3 * AS_SYMBOL
-            places += [[(x, AS_SYMBOL) for x in LEET[c]] + [(c, plain)]] * run
+            meant = end == len(token) and not c.isdigit()
+            place = [(x, AS_SYMBOL) for x in LEET[c]] + [(c, AS_IS if meant else 3 * AS_SYMBOL)]
+            places += [place + again] + [place if meant else [*place, ("", REPEATED)]] * (run - 1)
         elif run > 2:
             places.append([(c, (run - 1) * REPEATED), (c * 2, (run - 2) * REPEATED + AS_IS), (c * run, run * AS_IS - 1)])
+        elif run == 2:
+            # Plain words double letters too.
+            places.append([(c, 2 * REPEATED), (c * 2, 2 * AS_IS)])
         else:
-            places += [[(c, AS_IS)]] * run
+            places.append([(c, AS_IS), *again])
         i = end
     return places
 
@@ -152,8 +165,23 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model, self.known = model, {}
+        self.inside: tuple[str, Iterator[re.Match], int, int] | None = None
+
+    def _addressed(self, text: str, at: int) -> bool:
+        """Whether a place lies inside an address or number of the text; places of one text come in order."""
+        if self.inside is None or self.inside[0] is not text:
+            self.inside = (text, _ADDRESS.finditer(text), 0, 0)
+        _, more, start, end = self.inside
+        while end <= at and (found := next(more, None)):
+            start, end = found.span()
+        self.inside = (text, more, start, end)
+        return start < at < end
 
     def _restored(self, match: re.Match) -> str:
+        if match[2] and not any(map(str.isalpha, match[0])):
+            return match[0]
+        if match.start() and match.string[match.start() - 1] == "." and self._addressed(match.string, match.start()):
+            return match[0]
         token = match[0].lower()
         if token not in self.known:
             if len(self.known) > 100_000:
@@ -164,6 +192,7 @@ class Restorer:
         return self.known[token]
 
     def restore(self, text: str | None) -> str:
+        self.inside = None
         return _SUSPECT.sub(self._restored, text) if text else ""
 
 

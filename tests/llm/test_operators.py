@@ -305,6 +305,32 @@ def test_restores_obfuscated_words(model):
     assert len(restore("a1" * 5000)) > 1000
 
 
+@pytest.mark.parametrize(
+    "hidden, plain",
+    [
+        ("m 0 r 0 n", "moron"), ("m.0.r.0.n", "moron"), ("s t u p 1 d", "stupid"), ("5 t u p 1 d", "stupid"), ("$ c u m", "scum"),
+        ("stop.m0r0n", "stop.moron"), ("stop.s.t.u.p.1.d now", "stop.stupid now"), ("no.5tupid", "no.stupid"),
+        ("sstupid", "stupid"), ("idiiot", "idiot"), ("iDIiot", "idiot"), ("m00r0n", "moron"), ("m 0 0 r 0 n", "moron"), ("s t t u p 1 d", "stupid"),
+    ],
+)
+def test_restores_mixed_forms(model, hidden, plain):
+    assert toxicity.Restorer(model).restore(hidden) == plain
+
+
+def test_numbers_and_addresses_stay(model):
+    restore = toxicity.Restorer(model).restore
+    for plain in ("3.5kg or 1.2b, 1 2 3 4", "me.68@mail0.si7e.com 108.51.216.133", "x://to.b2.com/a.y3 and x://to.b2.com"):
+        assert restore(plain) == plain
+    assert restore("1 " * 200_000) == "1 " * 200_000
+
+
+def test_mixed_forms_score_as_toxic(spark, model):
+    scorer = toxicity.Scorer({"moron": 8.0, "stupid": 8.0}, -4.0)
+    texts = ["m 0 r 0 n", "m.0.r.0.n", "s t u p 1 d", "stop.m0r0n", "sstupid", "hello there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in toxicity.drop_toxic(df, model, scorer).collect()} == {5}
+
+
 def test_language_model_is_a_distribution(model):
     assert np.allclose(np.exp(model).sum(axis=1), 1, atol=1e-3)
 
