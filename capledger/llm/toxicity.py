@@ -8,6 +8,7 @@ import string
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -107,16 +108,16 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return np.log(estimate).astype(np.float32).reshape(LETTERS ** (ORDER - 1), LETTERS)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """Per place of an obfuscated token, the strings it may restore to with the channel's log-probability."""
     gap = None
     if len(token) > 4 and not token[1].isalnum() and token[1] not in LEET and token[1::2] == token[1] * len(token[1::2]):
         gap = token[1]
-    places, i = [], 0
+    i = 0
     while i < len(token):
         c = token[i]
         if gap is not None and i % 2:
-            places.append([("", SPACED), (c, AS_IS)])
+            yield [("", SPACED), (c, AS_IS)]
             i += 1
             continue
         end = i + 1
@@ -129,35 +130,43 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             # Punctuation at the end may well be meant.
             meant = end == len(token) and not c.isdigit()
             place = [(x, AS_SYMBOL) for x in LEET[c]] + [(c, AS_IS if meant else 3 * AS_SYMBOL)]
-            places += [place + again] + [place if meant else [*place, ("", REPEATED)]] * (run - 1)
+            yield place + again
+            for _ in range(run - 1):
+                yield place if meant else [*place, ("", REPEATED)]
         elif run > 2:
-            places.append([(c, (run - 1) * REPEATED), (c * 2, (run - 2) * REPEATED + AS_IS), (c * run, run * AS_IS - 1)])
+            yield [(c, (run - 1) * REPEATED), (c * 2, (run - 2) * REPEATED + AS_IS), (c * run, run * AS_IS - 1)]
         elif run == 2:
             # Plain words double letters too.
-            places.append([(c, 2 * REPEATED), (c * 2, 2 * AS_IS)])
+            yield [(c, 2 * REPEATED), (c * 2, 2 * AS_IS)]
         else:
-            places.append([(c, AS_IS), *again])
+            yield [(c, AS_IS), *again]
         i = end
-    return places
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """Most probable restored text of a token: Viterbi over its lattice, with the last three letters as state."""
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    """Most probable restored text of a token: Viterbi over its lattice, with the last three letters as state.
+
+    A path is a chain of back pointers that paths share, so a token of any length is decoded whole.
+    """
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     width = LETTERS ** (ORDER - 2)
-    for place in [*lattice(token), [("\0", 0.0)]]:
-        reached: dict[int, tuple[float, str]] = {}
-        for state, (score, text) in states.items():
-            for out, cost in place:
+    for place in chain(lattice(token), [[("\0", 0.0)]]):
+        numbered = [(out, cost, [fold(letter) for letter in out]) for out, cost in place]
+        reached: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, path) in states.items():
+            for out, cost, numbers in numbered:
                 s, p = state, score + cost
-                for letter in out:
-                    number = fold(letter)
+                for number in numbers:
                     p += float(model[s, number])
                     s = (s % width) * LETTERS + number
                 if s not in reached or p > reached[s][0]:
-                    reached[s] = (p, text + out)
+                    reached[s] = (p, (out, path) if out else path)
         states = reached
-    return max(states.values())[1][:-1]
+    path, parts = max(states.values(), key=lambda x: x[0])[1], []
+    while path is not None:
+        parts.append(path[0])
+        path = path[1]
+    return "".join(reversed(parts))[:-1]
 
 
 class Restorer:
@@ -183,12 +192,12 @@ class Restorer:
         if match.start() and match.string[match.start() - 1] == "." and self._addressed(match.string, match.start()):
             return match[0]
         token = match[0].lower()
+        if len(token) > LONGEST:
+            return decode(token, self.model)
         if token not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            # A longer token is decoded in pieces, so that its paths stay short.
-            parts = [token[i : i + LONGEST] for i in range(0, len(token), LONGEST)]
-            self.known[token] = "".join(decode(p, self.model) for p in parts)
+            self.known[token] = decode(token, self.model)
         return self.known[token]
 
     def restore(self, text: str | None) -> str:

@@ -317,6 +317,15 @@ def test_restores_mixed_forms(model, hidden, plain):
     assert toxicity.Restorer(model).restore(hidden) == plain
 
 
+def test_long_tokens_have_no_border_inside():
+    model = np.full((toxicity.LETTERS**3, toxicity.LETTERS), -3.0, dtype=np.float32)
+    # A border costs more than a letter unless another one follows, as at the end of a token.
+    model[:, 0], model[:: toxicity.LETTERS, 0] = -8.0, -0.1
+    word = "abcdefgh" * 20
+    assert toxicity.Restorer(model).restore(" ".join(word)) == word
+    assert len(toxicity.Restorer(model).restore(" ".join(word * 200))) == len(word) * 200
+
+
 def test_numbers_and_addresses_stay(model):
     restore = toxicity.Restorer(model).restore
     for plain in ("3.5kg or 1.2b, 1 2 3 4", "me.68@mail0.si7e.com 108.51.216.133", "x://to.b2.com/a.y3 and x://to.b2.com"):
