@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from capledger.llm.shingles import slices
 
-# The sample that dictionaries are cut from: about so many documents of each language, chosen by a hash of
-# the text, and so many bytes of them.
+# The sample that dictionaries are cut from: about so many distinct texts of each language, chosen by their hash,
+# and so many bytes of them in equal shares.
 SAMPLE_DOCUMENTS = 300
 DICTIONARY_BYTES = 32 << 10
 # Texts are compressed in blocks, so that a long text does not become its own dictionary.
@@ -25,35 +25,47 @@ UNKNOWN = "und"
 
 
 def _build(rows: pa.Table) -> pa.Table:
-    """One language's raw-content dictionary: whole sample texts in order of their hash, up to the size."""
+    """One language's raw-content dictionary: the start of every sample text, in order of their hash. All texts have
+    the same share; what shorter ones leave of it goes to the others."""
     lang = rows.column("_lang")[0].as_py()
-    parts, room = [], DICTIONARY_BYTES
-    for text in rows.sort_by([("_order", "ascending"), ("_text", "ascending")]).column("_text").to_pylist():
-        if room <= 0:
+    texts = rows.sort_by([("_order", "ascending")]).column("_text").to_pylist()
+    bodies = [t.lower().encode() for t in texts]
+    room, share = DICTIONARY_BYTES - len(bodies) + 1, 0
+    for i, size in enumerate(sorted(map(len, bodies))):
+        share = max(room, 0) // (len(bodies) - i)
+        if size > share:
             break
-        parts.append(text.lower().encode()[:room])
-        room -= len(parts[-1]) + 1
-    return pa.table({"_lang": [lang], "_content": pa.array([b"\n".join(parts)], pa.binary())})
+        room, share = room - size, size
+    content = b"\n".join(x[:share] for x in bodies)[:DICTIONARY_BYTES]
+    return pa.table({"_lang": [lang], "_content": pa.array([content], pa.binary())})
 
 
 def dictionaries(train: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, bytes, int]]:
     """(language, dictionary, documents) of every language in ``train``, most frequent language first.
 
-    Rows without a language or text teach nothing. One row per language comes to the driver.
+    Rows without a language or text teach nothing, and copies of a text count once in the sample. One row per
+    language comes to the driver.
     """
     rows = train.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).where(
         "_lang IS NOT NULL AND _text IS NOT NULL"
     )
-    counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
+    rows = rows.withColumn("_order", F.xxhash64("_text"))
+    sizes = rows.groupBy("_lang", "_order").agg(F.count("*").alias("n")).groupBy("_lang")
+    counts = {r["_lang"]: (r["rows"], r["texts"]) for r in sizes.agg(F.sum("n").alias("rows"), F.count("*").alias("texts")).collect()}
     if not counts:
         return []
-    order = F.pmod(F.xxhash64("_text"), F.lit(1 << 30))
     limit = F.create_map(
-        *[F.lit(x) for k, n in counts.items() for x in (k, math.ceil(min(1.0, SAMPLE_DOCUMENTS / n) * (1 << 30)))]
+        *[F.lit(x) for k, (_, n) in counts.items() for x in (k, math.ceil(min(1.0, SAMPLE_DOCUMENTS / n) * (1 << 30)))]
+    )
+    # No text gives more than the dictionary holds.
+    start = F.substring("_text", 1, DICTIONARY_BYTES)
+    sample = (
+        rows.where(F.pmod("_order", F.lit(1 << 30)) < limit[F.col("_lang")])
+        .groupBy("_lang", "_order")
+        .agg(F.min(start).alias("_text"))
     )
-    sample = rows.withColumn("_order", order).where(F.col("_order") < limit[F.col("_lang")])
     built = sample.groupBy("_lang").applyInArrow(_build, "_lang string, _content binary").collect()
-    found = [(r["_lang"], bytes(r["_content"]), counts[r["_lang"]]) for r in built]
+    found = [(r["_lang"], bytes(r["_content"]), counts[r["_lang"]][0]) for r in built]
     return sorted(found, key=lambda x: (-x[2], x[0]))
 
 

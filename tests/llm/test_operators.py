@@ -249,6 +249,14 @@ def test_language(spark, messy, pairs):
     assert {r.lang_pred for r in language.identify(messy, []).collect()} == {"und"}
 
 
+def test_dictionaries_sample_distinct_texts_in_equal_shares(spark):
+    rows = [("hot text " * 9000, "en")] * 50 + [(f"doc{i}x " + "some words " * 40, "en") for i in range(250)] + [("kurz", "de")] * 3
+    (_, english, n), (_, german, m) = language.dictionaries(spark.createDataFrame(rows, "text string, lang string"))
+    assert (n, m, german) == (300, 3, b"kurz")
+    assert len(english) <= language.DICTIONARY_BYTES and sum(b"doc%dx " % i in english for i in range(250)) == 250
+    assert 0 < english.count(b"hot text") <= 20
+
+
 def test_language_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = language.held_out(F.col("doc_id"), 3, 1)
