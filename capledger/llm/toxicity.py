@@ -8,6 +8,7 @@ import string
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -50,9 +51,11 @@ _SUSPECT = re.compile(
 _ADDRESS = re.compile(
     r"(?<![\w.%+-])[\w.%+-]++@[\w-]+(?:\.[\w-]+)+|(?<!\w)(?:[A-Za-z][A-Za-z0-9+-]*+://|[Ww]{3}\.)\S+|(?<![\w.,])\d+(?:[.,]\d+)+"
 )
+_DOUBLE = re.compile(r"(.)\1")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=4096)
 def fold(letter: str) -> int:
     """Number of a letter in the language model: 1 to 26 with accents folded, 0 for anything else."""
     plain = unicodedata.normalize("NFD", letter.lower())[:1]
@@ -143,7 +146,7 @@ def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
         i = end
 
 
-def decode(token: str, model: np.ndarray) -> str:
+def decode(token: str, model: np.ndarray | list[list[float]]) -> str:
     """Most probable restored text of a token: Viterbi over its lattice, with the last three letters as state.
 
     A path is a chain of back pointers that paths share, so a token of any length is decoded whole.
@@ -157,9 +160,10 @@ def decode(token: str, model: np.ndarray) -> str:
             for out, cost, numbers in numbered:
                 s, p = state, score + cost
                 for number in numbers:
-                    p += float(model[s, number])
+                    p += float(model[s][number])
                     s = (s % width) * LETTERS + number
-                if s not in reached or p > reached[s][0]:
+                known = reached.get(s)
+                if known is None or p > known[0]:
                     reached[s] = (p, (out, path) if out else path)
         states = reached
     path, parts = max(states.values(), key=lambda x: x[0])[1], []
@@ -169,11 +173,25 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(reversed(parts))[:-1]
 
 
+def decode_double(token: str, at: int, model: np.ndarray | list[list[float]]) -> str:
+    """As ``decode`` for letters whose only run is the two at ``at``: the two paths differ by the next few letters."""
+    numbers = [0, 0, 0, *map(fold, token), 0]
+    once = numbers[at + 1 : at + 4] + numbers[at + 5 : at + 8]
+    twice = numbers[at + 1 : at + 8]
+
+    def score(path: list[int]) -> float:
+        return sum(float(model[(path[i - 3] * LETTERS + path[i - 2]) * LETTERS + path[i - 1]][path[i]]) for i in range(3, len(path)))
+
+    keep = score(twice) + 2 * AS_IS > score(once) + 2 * REPEATED
+    return token if keep else token[:at] + token[at + 1 :]
+
+
 class Restorer:
     """Restores obfuscated tokens of whole texts; decoded tokens are remembered."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+        # Lists give single numbers faster than arrays.
+        self.model, self.known = model.tolist(), {}
         self.inside: tuple[str, Iterator[re.Match], int, int] | None = None
 
     def _addressed(self, text: str, at: int) -> bool:
@@ -197,7 +215,11 @@ class Restorer:
         if token not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[token] = decode(token, self.model)
+            double = _DOUBLE.search(token) if token.isalpha() else None
+            if double and not _DOUBLE.search(token, double.start() + 1):
+                self.known[token] = decode_double(token, double.start(), self.model)
+            else:
+                self.known[token] = decode(token, self.model)
         return self.known[token]
 
     def restore(self, text: str | None) -> str:

@@ -334,6 +334,13 @@ def test_long_tokens_have_no_border_inside():
     assert len(toxicity.Restorer(model).restore(" ".join(word * 200))) == len(word) * 200
 
 
+def test_one_double_decodes_as_the_lattice_does(model):
+    words = ["sstupid", "idiiot", "moronn", "aa", "worthless", "little", "schnell", "\u00e9\u00e9l", "see", "oothe"]
+    for word in words:
+        at = next(i for i in range(len(word)) if word[i] == word[i + 1])
+        assert toxicity.decode_double(word, at, model) == toxicity.decode(word, model)
+
+
 def test_numbers_and_addresses_stay(model):
     restore = toxicity.Restorer(model).restore
     for plain in ("3.5kg or 1.2b, 1 2 3 4", "me.68@mail0.si7e.com 108.51.216.133", "x://to.b2.com/a.y3 and x://to.b2.com"):
