@@ -38,8 +38,3 @@ def folder():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def rows(df, *order):
-    """Rows as a sorted list of tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

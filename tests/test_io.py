@@ -4,7 +4,7 @@ import os
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from row_lists import rows
 from pyspark.sql import functions as F
 
 from capledger import session

@@ -2,7 +2,7 @@ import json
 import random
 
 import pytest
-from conftest import rows
+from row_lists import rows
 from pyspark.sql import functions as F
 
 from capledger.functions import scalars
