@@ -6,7 +6,7 @@ import re
 import brute
 import numpy as np
 import pytest
-from conftest import sentence
+from messy_docs import sentence
 from pyspark.sql import functions as F
 
 from capledger.llm import contamination, exact, graph, language, lines, near, packing, pii, sharding, toxicity, urls
