@@ -106,3 +106,15 @@ def keep_rows(docs: DataFrame, kept: DataFrame, key: Column, digest: Column, als
         .agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__kept_row"))
     )
     return once.unionByName(repeated.select("__kept_row.*"))
+
+
+def decoded_bytes(df: DataFrame) -> int:
+    """What the rows of a staged frame of plain columns take in memory: eight bytes a column and the bytes of strings."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    row = sum(wide, F.lit(16 + 8 * len(df.columns)))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A staged frame with a broadcast hint if its decoded rows take at most ``limit`` bytes; else without."""
+    return F.broadcast(df) if staged_bytes(df.sparkSession, df) <= limit and decoded_bytes(df) <= limit else df

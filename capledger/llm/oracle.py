@@ -124,10 +124,48 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM d WINDOW same AS (PARTITION BY body)
 """
 
+def _share(count: str, total: str, kept: str) -> str:
+    return f"CAST(1 + (CAST(1000000000 AS HUGEINT) * ({count} + 2)) // ({total} + 2 * {kept}) AS BIGINT)"
+
+
+GAP = "((p - q) * (p - q)) // (p + q)"
+
+OP12 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({lower("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents),
+places AS (SELECT row, lang, source, unnest(terms) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM places GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL HAVING sum(docs) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, l.n AS lang_n, coalesce((
+      SELECT sum(c.n) FROM counts c JOIN kept k ON c.lang = k.lang AND c.term = k.term WHERE c.lang = g.lang AND c.source = g.source), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN langs l ON g.lang = l.lang),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_share("coalesce(c.n, 0)", "g.n", "g.v")} AS p,
+    {_share("k.n", "g.lang_n", "g.v")} AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum({GAP.replace("p", "a.p").replace("q", "b.p")}) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST({GAP} AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1,
     "op3_decontamination": OP3,
     "op5_line_dedup": OP5,
     "op7_sharding": OP7,
     "op10_exact_dedup": OP10,
+    "op12_divergence": OP12,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.llm.contamination import contamination
+from capledger.llm.divergence import divergence
 from capledger.llm.exact import exact_groups
 from capledger.llm.language import dictionaries, held_out, identify
 from capledger.llm.lines import dedup_lines
@@ -15,8 +16,10 @@ from capledger.llm.near import near_groups
 from capledger.llm.packing import pack
 from capledger.llm.pii import find_pii, learn as learn_pii
 from capledger.llm.sharding import shard
+from capledger.llm.tokens import count_tokens
 from capledger.llm.toxicity import language_model, learn as learn_toxicity, letter_counts, toxicity
 from capledger.llm.urls import judge_urls, rule_frame
+from capledger.llm.whitening import whiten
 
 # The rules that the URL query applies.
 URL_RULES = [
@@ -88,6 +91,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened, fitted, error = whiten(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*map(F.lit, fitted.explained)) if fitted else F.array()
+    return whitened.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(fitted.n if fitted else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained.cast("array<double>"), F.col("at")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -101,5 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_packing,
         op10_exact_dedup,
+        op11_whitening,
+        op12_divergence,
+        op13_token_counts,
     )
 }
