@@ -8,7 +8,6 @@ import string
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -55,11 +54,19 @@ _DOUBLE = re.compile(r"(.)\1")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(maxsize=4096)
-def fold(letter: str) -> int:
-    """Number of a letter in the language model: 1 to 26 with accents folded, 0 for anything else."""
-    plain = unicodedata.normalize("NFD", letter.lower())[:1]
-    return ord(plain) - 96 if "a" <= plain <= "z" else 0
+class Folds(dict):
+    """Number of a letter in the language model: 1 to 26 with accents folded, 0 for anything else. Numbers are
+    remembered; a plain class, so that it travels to workers that lack this package."""
+
+    def __missing__(self, letter: str) -> int:
+        plain = unicodedata.normalize("NFD", letter.lower())[:1]
+        number = ord(plain) - 96 if "a" <= plain <= "z" else 0
+        if len(self) < 4096:
+            self[letter] = number
+        return number
+
+
+fold = Folds().__getitem__
 
 
 def _folds() -> np.ndarray:
