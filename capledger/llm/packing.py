@@ -25,8 +25,8 @@ WINDOW = 2048
 # The id that ends a document, and the text of the vocabulary's special token.
 END_ID = 1
 SPECIAL = "<|endoftext|>"
-# A source with fewer tokens than this in a window shares a queue with others like it.
-LEAST_SHARE = 2
+# Sources with a queue of their own, the largest; all others share one more.
+MOST_QUEUES = 1023
 # Pieces remembered by a worker, and cells of one layout matrix.
 MEMORY = 600_000
 CELLS = 1 << 17
@@ -118,11 +118,11 @@ def tokenize(docs: DataFrame, key: str, text: str, source: str, tokenizer: str |
 class Schedule:
     """Deficit round-robin in closed form.
 
-    Before window w, a queue with T of all N tokens is due x = window * w * T / N tokens; whole parts are served, and
-    what is left of the window goes to the queues with the largest deficits (fractions of x), the first
-    one in a tie. Deficits are below one token at every border, so any task can carry them into any
-    window without the windows before it. Every queue is due at least ``LEAST_SHARE`` tokens a window or is
-    the only one, so the served counts never shrink. The last border serves all that is left.
+    Token j of a queue with T tokens is due at time (j + 1/2) / T: a queue that is served at its times has its share
+    of all tokens to within one token at any time. Tokens are served in the order of their times, the first queue in a
+    tie, so windows fill whatever the shares are, a queue with less than a token a window waits its turn
+    over several, and what it is owed is carried on. How much of each queue stands before a window is a search
+    for the time by which so many tokens are due, so any task can lay out any window without the windows before it.
     """
 
     totals: np.ndarray
@@ -133,29 +133,47 @@ class Schedule:
         return int(-(-self.totals.sum() // self.window))
 
     def served(self, w: np.ndarray) -> np.ndarray:
-        """Tokens of each queue (columns) before each window (rows)."""
-        due = np.minimum(w, self.windows)[:, None].astype(np.float64) * self.window * (self.totals / self.totals.sum())
-        whole = np.floor(due).astype(np.int64)
-        left = w * self.window - whole.sum(axis=1)
-        rank = np.argsort(np.argsort(whole - due, axis=1, kind="stable"), axis=1, kind="stable")
-        counts = whole + (rank < left[:, None])
-        counts[w >= self.windows] = self.totals
-        return counts
+        """Tokens of each queue (columns) before each window (rows).
+
+        By the time B / N between half a queue's token less and more than B tokens are due per queue. What is due well
+        before that is counted; what is due around it is sorted.
+        """
+        total, queues = int(self.totals.sum()), len(self.totals)
+        border = np.minimum(w.astype(np.int64) * self.window, total)
+        slack = queues / 2 + 1
+
+        def due(tokens: np.ndarray, more: int) -> np.ndarray:
+            counts = np.floor(tokens[:, None] / total * self.totals + 0.5).astype(np.int64) + more
+            return np.clip(counts, 0, self.totals)
+
+        counts, high = due(border - slack, -1), due(border + slack, 1)
+        open_ = (high - counts).ravel()
+        cell = np.repeat(np.arange(len(open_)), open_)
+        nth = np.arange(len(cell)) - np.repeat(np.cumsum(open_) - open_, open_)
+        row, queue = np.divmod(cell, queues)
+        time = (counts.ravel()[cell] + nth + 0.5) / self.totals[queue]
+        order = np.lexsort((queue, time, row))
+        per_row = np.bincount(row, minlength=len(w))
+        place = np.arange(len(cell)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+        taken = cell[order[place < np.repeat(border - counts.sum(axis=1), per_row)]]
+        return counts + np.bincount(taken, minlength=counts.size).reshape(counts.shape)
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """(row, start in document, length, window, offset) of every piece, for documents at ``start`` of their queue."""
-        share = self.window * self.totals[queue] / self.totals.sum()
-        first = np.maximum(np.floor(start / share).astype(np.int64) - 1, 0)
-        last = np.minimum(np.floor((start + tokens - 1) / share).astype(np.int64) + 1, self.windows - 1)
+        total, slack = int(self.totals.sum()), len(self.totals) / 2 + 2
+        share = total / self.totals[queue]
+        first = np.maximum(np.floor((start * share - slack) / self.window).astype(np.int64), 0)
+        last = np.minimum(np.floor(((start + tokens) * share + slack) / self.window).astype(np.int64), self.windows - 1)
         spans = last - first + 1
         step = max(1, CELLS // len(self.totals))
-        total = int(spans.sum())
         ends = np.cumsum(spans)
-        for low in range(0, total, step):
-            k = np.arange(low, min(low + step, total))
+        for low in range(0, int(spans.sum()), step):
+            k = np.arange(low, min(low + step, int(spans.sum())))
             row = np.searchsorted(ends, k, "right")
             w = first[row] + k - (ends[row] - spans[row])
-            before, after = self.served(w), self.served(w + 1)
+            borders, here = np.unique(np.concatenate((w, w + 1)), return_inverse=True)
+            served = self.served(borders)
+            before, after = served[here[: len(k)]], served[here[len(k) :]]
             here, q = np.arange(len(k)), queue[row]
             a = np.maximum(start[row], before[here, q])
             b = np.minimum(start[row] + tokens[row], after[here, q])
@@ -193,48 +211,57 @@ def _lay_out(totals: list[int], window: int):
     return lay_out
 
 
-def _queues(totals: DataFrame, window: int) -> tuple[list[Row], int]:
-    """The sources with a queue of their own, smallest first (at most window / LEAST_SHARE of them), and the
-    tokens of the queue that all others share (0: none)."""
-    everything = totals.agg(F.sum("_sum")).first()[0] or 0
-    least = everything * LEAST_SHARE / window
-    own = totals.where(F.col("_sum") >= least).orderBy("_sum", "_queue").collect()
-    shared = everything - sum(r["_sum"] for r in own)
-    while own and 0 < shared < least:
-        shared += own.pop(0)["_sum"]
-    return own, shared
+def _queues(totals: DataFrame, most: int) -> tuple[list[Row], int]:
+    """The ``most`` largest sources, which have a queue of their own, and the tokens that all others share (0: none)."""
+    own = totals.orderBy(F.desc("_sum"), "_queue").limit(most).collect()
+    return own, (totals.agg(F.sum("_sum")).first()[0] or 0) - sum(r["_sum"] for r in own)
+
+
+def _shared_starts(ids: DataFrame, sums: DataFrame, bases: DataFrame) -> DataFrame:
+    """``_queue, _task, _local, _start``: places in one queue of all documents of the sources in ``bases``, in the order of
+    the times at which the middle of a document is due in its source."""
+    totals = sums.groupBy(F.col("_queue").alias("_q")).agg(F.sum("_sum").alias("_total"))
+    starts = stage(bases.join(totals, F.col("_b").eqNullSafe(F.col("_q"))).select("_b", "_t", "_base", "_total"), "queue-starts")
+    rows = ids.select("_queue", "_task", "_local", "_tokens").join(
+        small(starts), F.col("_queue").eqNullSafe(F.col("_b")) & (F.col("_task") == F.col("_t"))
+    )
+    time = (F.col("_base") + F.col("_local") + F.col("_tokens") / 2) / F.col("_total")
+    rows = rows.select("_queue", "_task", "_local", "_tokens", time.alias("_time"), F.lit(0).alias("_all"))
+    return running_start(rows, ["_all"], ["_time", "_queue", "_task", "_local"], "_tokens", "_start").select("_queue", "_task", "_local", "_start")
 
 
 def pack(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", window: int = WINDOW,
-    tokenizer: str | None = None,
+    tokenizer: str | None = None, queues: int = MOST_QUEUES,
 ) -> DataFrame:
     """One row per piece: ``key, start, length, doc_tokens, sequence_id, offset, ids`` (little-endian 32-bit).
 
     Each source is a queue of its documents; target proportions are the sources' shares of all tokens. Every
-    window but the last is full and holds each queue's share of tokens to within one; what a queue is owed
-    is carried to the next window, whichever task lays it out. Sources due fewer than ``LEAST_SHARE`` tokens a
-    window share one queue. Documents follow one another in a queue in the order of the input's tasks.
+    window but the last is full. Before any window, a queue has had its share to within half a token and half as
+    many tokens as there are queues times its share; what a queue is owed is carried to the next window, whichever
+    task lays it out. Documents follow one another in a queue in the order of the input's tasks. Beyond the ``queues`` largest
+    sources all others share one queue, where each source's documents stand evenly spread: by the time at which their
+    middle is due.
     A NULL source is a source; a NULL or empty text is the end id alone; repeated rows are packed each. An
     empty table gives an empty result; other columns play no part.
     """
     spark = docs.sparkSession
     ids = tokenize(docs, key, text, source, tokenizer)
     sums = stage(ids.groupBy("_queue", "_task").agg(F.sum("_tokens").alias("_sum")), "queue-tokens")
-    own, shared = _queues(sums.groupBy("_queue").agg(F.sum("_sum").alias("_sum")), window)
+    own, shared = _queues(sums.groupBy("_queue").agg(F.sum("_sum").alias("_sum")), queues)
     totals = [r["_sum"] for r in own] + [shared] * (shared > 0)
     kind = dict(ids.dtypes)["_queue"]
-    numbers = spark.createDataFrame([(r["_queue"], i) for i, r in enumerate(own)], f"_q {kind}, _number int")
-    numbered = sums.join(F.broadcast(numbers), F.col("_queue").eqNullSafe(F.col("_q")), "left").select(
-        "_queue", "_task", "_sum", F.coalesce("_number", F.lit(len(own))).alias("_number")
-    )
-    bases = running_start(numbered, ["_number"], ["_task", "_queue"], "_sum", "_base")
-    bases = stage(
-        bases.select(F.col("_queue").alias("_q"), F.col("_task").alias("_t"), F.col("_number").cast("long"), "_base"), "queue-starts"
-    )
-    placed = ids.join(small(bases), F.col("_queue").eqNullSafe(F.col("_q")) & (F.col("_task") == F.col("_t"))).select(
-        "_id", "_number", (F.col("_base") + F.col("_local")).alias("_start"), "_tokens", "_ids"
-    )
+    numbers = spark.createDataFrame([(r["_queue"], i) for i, r in enumerate(own)], f"_q {kind}, _number long")
+    bases = running_start(sums, ["_queue"], ["_task"], "_sum", "_base").withColumnsRenamed({"_queue": "_b", "_task": "_t"})
+    numbered = F.broadcast(numbers), F.col("_b").eqNullSafe(F.col("_q"))
+    owned = stage(bases.join(*numbered).select("_b", "_t", "_number", "_base"), "queue-starts")
+    same = F.col("_queue").eqNullSafe(F.col("_b")) & (F.col("_task") == F.col("_t"))
+    columns = ["_id", "_number", "_start", "_tokens", "_ids"]
+    placed = ids.join(small(owned), same).withColumn("_start", F.col("_base") + F.col("_local")).select(*columns)
+    if shared:
+        rest = _shared_starts(ids, sums, bases.join(*numbered, "left_anti"))
+        rest = rest.withColumn("_number", F.lit(len(own)).cast("long")).withColumnsRenamed({"_queue": "_b", "_task": "_t", "_local": "_l"})
+        placed = placed.unionByName(ids.join(rest, same & (F.col("_local") == F.col("_l"))).select(*columns))
     schema = (
         f"_id {dict(ids.dtypes)['_id']}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     )

@@ -1,7 +1,9 @@
 """Each operator against brute force on messy rows, and on no rows."""
 
+import heapq
 import random
 import re
+from collections import Counter
 
 import brute
 import numpy as np
@@ -206,15 +208,62 @@ def test_packing(messy, pairs, tokenizer):
     assert {len(r.ids) for r in whole} == {4 * packing.WINDOW}
 
 
-@pytest.mark.parametrize("totals", [[10_000, 5_000, 300], [1], [4096], [700, 100_000, 52_341, 52_341, 900]])
-def test_schedule_serves_shares(totals):
-    s = packing.Schedule(np.array(totals), 2048)
+def round_robin(totals):
+    """Queue of every token, one after the other: always the queue whose next token is due first."""
+    served, order = [0] * len(totals), []
+    heap = [(0.5 / t, q) for q, t in enumerate(totals)]
+    heapq.heapify(heap)
+    while heap:
+        _, q = heapq.heappop(heap)
+        order.append(q)
+        served[q] += 1
+        if served[q] < totals[q]:
+            heapq.heappush(heap, ((served[q] + 0.5) / totals[q], q))
+    return np.array(order)
+
+
+@pytest.mark.parametrize(
+    "totals", [[10_000, 5_000, 300], [1], [4096], [700, 100_000, 52_341, 52_341, 900], [60_000] + [40 + i % 7 for i in range(150)], [1] * 70, [5000, 1, 1]]
+)
+@pytest.mark.parametrize("window", [64, 2048])
+def test_schedule_is_the_round_robin(totals, window):
+    s = packing.Schedule(np.array(totals), window)
+    order = round_robin(totals)
     w = np.arange(s.windows + 1)
-    counts = s.served(w)
-    assert (np.diff(counts, axis=0) >= 0).all()
-    assert (counts[:-1].sum(axis=1) == 2048 * w[:-1]).all() and (counts[-1] == totals).all()
-    due = np.minimum(2048.0 * w, sum(totals))[:, None] * np.array(totals) / sum(totals)
-    assert (np.abs(counts - due) <= 1).all()
+    want = np.array([np.bincount(order[: k * window], minlength=len(totals)) for k in w])
+    assert (s.served(w) == want).all() and (s.served(w[1:2]) == want[1:2]).all()
+    due = np.minimum(float(window) * w, sum(totals))[:, None] * np.array(totals) / sum(totals)
+    assert (np.abs(want - due) <= 0.5 + len(totals) / 2 * np.array(totals) / sum(totals) + 1e-9).all()
+
+
+def test_no_source_waits_for_the_end(spark):
+    """Many small sources beside a large one: each stands in its share of the windows, wherever it has tokens left."""
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 4), "big") for i in range(3000)] + [(5000 + i, sentence(rng, 5), f"s{i % 150}") for i in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    pieces = packing.pack(docs, window=64).join(docs.select("doc_id", "source"), "doc_id").collect()
+    last = max(p.sequence_id for p in pieces)
+    where = {}
+    for p in pieces:
+        where.setdefault(p.source, set()).add(p.sequence_id)
+    assert len(where["big"]) == last + 1
+    assert all(min(w) < last / 4 and max(w) > last * 3 / 4 for w in where.values())
+
+
+def test_sources_beyond_the_queues_are_spread(spark):
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, 60 if i % 3 == 0 else 3), "big" if i % 3 == 0 else f"s{i % 40}") for i in range(600)]
+    rows += [(900 + i, sentence(rng, 3), None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    pieces = packing.pack(docs, window=128, queues=5).join(docs.select("doc_id", "source"), "doc_id").collect()
+    sizes, spans, tokens = Counter(), {}, Counter()
+    for p in pieces:
+        sizes[p.sequence_id] += p.length
+        tokens[p.doc_id] += p.length
+        spans.setdefault(p.source, set()).add(p.sequence_id)
+    assert set(sizes) == set(range(len(sizes))) and {n for k, n in sizes.items() if k < len(sizes) - 1} == {128}
+    assert all(tokens[p.doc_id] == p.doc_tokens for p in pieces) and len(tokens) == len(rows)
+    assert all(min(w) < len(sizes) / 4 and max(w) > len(sizes) * 3 / 4 for w in spans.values())
 
 
 def test_encoder_equals_the_tokenizer(tokenizer):
@@ -226,17 +275,6 @@ def test_encoder_equals_the_tokenizer(tokenizer):
         assert encoder.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], dtype="<u4").tobytes(), repr(text)
 
 
-def test_small_sources_share_a_queue(spark):
-    rng = random.Random(2)
-    rows = [(i, sentence(rng, 900 if i % 3 == 0 else 3), "big" if i % 3 == 0 else f"s{i}") for i in range(240)]
-    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), window=256).collect()
-    sizes = {}
-    for p in pieces:
-        sizes[p.sequence_id] = sizes.get(p.sequence_id, 0) + p.length
-    assert set(sizes) == set(range(len(sizes))) and {n for k, n in sizes.items() if k < len(sizes) - 1} == {256}
-    assert {p.doc_id for p in pieces} == set(range(240))
-
-
 # language
 
 
