@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capledger.operators import audit, capital, compare, registry, rules, text
+from capledger.operators import audit, capital, compare, registry, rule_text, rules, text
 from capledger.operators import transactions as tx
 from capledger.session import scratch_path, stage
 from capledger.sources import adapters, tables
@@ -132,6 +132,21 @@ def reconciliation(spark, sf):
     return rules.reconciliation(adapters.exposures(spark, sf), every)
 
 
+@query
+def rule_text_execution(spark, sf):
+    """The rules of three versions rendered as text and run, beside the same rules as rows."""
+    kinds = rules.overlay(adapters.v1_rules(spark), adapters.kind_delta(spark), "V2K")
+    every = _v1(spark).unionByName(_v2(spark)).unionByName(kinds)
+    facts = stage(adapters.exposures(spark, sf), "exposures")
+    versions = rule_text.rendered(every).select(
+        F.col("policy_version").alias("sql_version_id"), F.lit(None).cast("string").alias("policy_id"),
+        F.col("policy_version").alias("policy_version_id"), "generated_sql",
+    )
+    mapping = _v1(spark).select("asset_class", "risk_bucket", "risk_weight")
+    cells, _ = rule_text.run_texts(stage(versions, "texts"), {"exposures": facts, "risk_weight_mapping": mapping})
+    return rule_text.against_rules(cells, rules.weighted_cells(rules.position_cube(facts, every), every))
+
+
 # --- comparison, stress, capital ---------------------------------------------
 
 

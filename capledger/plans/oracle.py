@@ -60,8 +60,8 @@ tot AS (SELECT SUM(base) AS base, SUM(upd) AS upd, SUM(delta) AS delta FROM cmp)
 ORACLE_SQL["rwa_by_policy_version"] = f"""WITH {CELLS}
 SELECT policy_version, portfolio, risk_bucket, {_dbl('rwa')} AS rwa_amount FROM cells"""
 
-ORACLE_SQL["rwa_all_rule_kinds"] = f"""WITH {EXPO}
-SELECT 'V2K' AS policy_version, portfolio, risk_bucket, {_dbl('SUM(amount * w)')} AS rwa_amount
+KINDS = """
+  SELECT 'V2K' AS policy_version, portfolio, risk_bucket, SUM(amount * w) AS rwa
 FROM (
   SELECT portfolio, amount,
     CASE asset_class WHEN 'PROMO' THEN 'VeryHigh' WHEN 'LARGE' THEN 'High' WHEN 'STANDARD' THEN 'Medium' ELSE 'Low' END AS risk_bucket,
@@ -71,6 +71,14 @@ FROM (
   WHERE asset_class <> 'MEDIUM' AND (asset_class <> 'LARGE' OR amount >= 50000))
 GROUP BY portfolio, risk_bucket"""
 
+ORACLE_SQL["rwa_all_rule_kinds"] = f"""WITH {EXPO}
+SELECT policy_version, portfolio, risk_bucket, {_dbl('rwa')} AS rwa_amount FROM ({KINDS})"""
+
+ORACLE_SQL["rule_text_execution"] = f"""WITH {CELLS},
+every AS (SELECT policy_version, portfolio, risk_bucket, {_dbl('rwa')} AS rwa FROM cells
+  UNION ALL SELECT policy_version, portfolio, risk_bucket, {_dbl('rwa')} FROM ({KINDS}))
+SELECT policy_version, portfolio, risk_bucket, rwa AS rwa_text, rwa AS rwa_rules, CAST(0 AS DOUBLE) AS difference FROM every"""
+
 INSTRUMENTS = f"""{V1},
 inst AS (
   SELECT 'PART-' || p_partkey AS asset_class, v1.risk_bucket AS old_bucket, v1.risk_weight AS old_weight,

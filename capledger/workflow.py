@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.functions.scalars import mint_id, object_path, progress_text, summary_text, version_id
-from capledger.operators import audit, registry, rules
+from capledger.operators import audit, registry, rule_text, rules
 from capledger.operators.rules import effective_rules, layered
 from capledger.schemas import TABLES
 from capledger.session import stage
@@ -70,16 +70,20 @@ class Registry:
         newest = stored.groupBy("sql_version_id").agg(F.max("drafted_at").alias("drafted_at"))
         return stored.join(newest, ["sql_version_id", "drafted_at"], "left_semi")
 
-    def _store_rules(self, delta: DataFrame, ids: DataFrame, documents: DataFrame, when: Column) -> None:
+    def _store_rules(self, delta: DataFrame, ids: DataFrame, documents: DataFrame, when: Column) -> DataFrame:
         """Append the complete rules of a draft: ``delta`` (by ``policy_version``) over the approved rules
-        of the version that each one supersedes. ``ids`` maps ``policy_version`` to ``sql_version_id``."""
+        of the version that each one supersedes. ``ids`` maps ``policy_version`` to ``sql_version_id``.
+        Returns the rules as text, by ``sql_version_id``."""
         if self._has_rules():
             baselines = audit.superseded_baseline(documents, self.sql_versions())
             complete = layered(self.rules_at(when), baselines, delta)
         else:
             complete = delta.withColumns({"precedence": F.lit(0), "origin": F.lit("V1")})
         complete = complete.join(ids, "policy_version").withColumn("drafted_at", when)
-        stage(complete.select(*RULE_COLUMNS), "rule_rows").write.mode("append").parquet(self._path("rule_rows"))
+        complete = stage(complete.select(*RULE_COLUMNS), "rule_rows")
+        complete.write.mode("append").parquet(self._path("rule_rows"))
+        texts = rule_text.rendered(effective_rules(complete.withColumn("policy_version", F.col("sql_version_id"))))
+        return stage(texts.select(F.col("policy_version").alias("_version"), F.col("generated_sql").alias("_rendered")), "rendered")
 
     # --- steps ---------------------------------------------------------------
 
@@ -102,7 +106,7 @@ class Registry:
         ``delta`` has rule rows by ``policy_version``; ``texts`` has one row per
         ``policy_version_id`` with ``summary``, ``generated_sql``, ``agent_trace`` and
         ``schema_snapshot``. Where the version supersedes one with approved rules, the
-        new rules lie over those. Versions never uploaded raise.
+        new rules lie over those. A draft without text gets its rules as text. Versions never uploaded raise.
         """
         when = F.lit(at).cast("timestamp_ntz")
         documents = stage(self.documents(), "documents")
@@ -117,9 +121,11 @@ class Registry:
             ),
             "drafts",
         )
+        ids = rows.select(F.col("policy_version_id").alias("policy_version"), "sql_version_id")
+        rows = _with_text(rows, self._store_rules(delta, ids, documents, when))
         payload = F.to_json(
             F.struct(
-                F.trim("generated_sql").alias("generated_sql"),
+                "generated_sql",
                 "agent_trace",
                 "schema_snapshot",
                 F.to_json(F.struct(F.col("gcs_uri").alias("policy_gcs_uri"), "summary", "schema_snapshot")).alias("extraction_json"),
@@ -127,8 +133,6 @@ class Registry:
                 F.lit("rules-v1").alias("model_version"),
             )
         )
-        ids = rows.select(F.col("policy_version_id").alias("policy_version"), "sql_version_id")
-        self._store_rules(delta, ids, documents, when)
         self._append(rows, "generated", when, payload)
         return rows.withColumn("progress", progress_text("Extraction complete: ", F.col("summary")))
 
@@ -139,15 +143,15 @@ class Registry:
     def regenerate(self, texts: DataFrame, at: datetime, delta: DataFrame | None = None) -> None:
         """New text, trace and snapshot for ``sql_version_id`` rows; approval is cleared.
 
-        ``delta`` has the new draft's rule rows by ``sql_version_id``; versions without any keep
-        the rules of the draft before. Runs use the draft that was approved.
+        ``delta`` has the new draft's rule rows by ``sql_version_id``; a version without text gets them as text. Runs
+        use the text of the draft that was approved.
         """
         when = F.lit(at).cast("timestamp_ntz")
         if delta is not None:
             ids = self.sql_versions().select("sql_version_id", F.col("policy_version_id").alias("policy_version"))
             ids = stage(ids.join(delta.select("sql_version_id").distinct(), "sql_version_id", "left_semi"), "redrafts")
             named = delta.join(ids, "sql_version_id").drop("sql_version_id")
-            self._store_rules(named, ids, stage(self.documents(), "documents"), when)
+            texts = _with_text(texts, self._store_rules(named, ids, stage(self.documents(), "documents"), when))
         payload = F.to_json(F.struct("generated_sql", "agent_trace", "schema_snapshot"))
         self._append(texts, "regenerated", when, payload)
 
@@ -158,34 +162,51 @@ class Registry:
         rows = versions.join(self.sql_versions().select("sql_version_id", "policy_version_id"), "sql_version_id")
         self._append(stage(rows, "approvals"), "approved", F.lit(at).cast("timestamp_ntz"))
 
-    def execute(self, requests: DataFrame, exposures: DataFrame, at: datetime) -> DataFrame:
-        """Run ``(policy_id, policy_version_id, sql_version_id)`` rows over the exposures.
+    def execute(self, requests: DataFrame, exposures: DataFrame, at: datetime, mapping: DataFrame | None = None) -> DataFrame:
+        """Run ``(policy_id, policy_version_id, sql_version_id)`` rows: the text of each rule version's approved draft
+        over the relations ``exposures`` and ``risk_weight_mapping`` (``mapping``; empty if not given).
 
-        A run whose rules were not approved by then ends as failed and writes nothing.
+        A run whose rules were not approved by then ends as failed and writes nothing; so does one whose text is refused
+        (``rule_text.refusal``) or fails, with the reason beside its status. Other runs go on; an error of a
+        text's job is raised when all is written.
         """
         when = F.lit(at).cast("timestamp_ntz")
         runs = stage(
             requests.withColumn("run_id", mint_id("RUN-", F.col("sql_version_id"), when.cast("string"))), "requests"
         )
         self._append(runs, "run_started", when)
-        ended = lambda df, status: self._append(df, "run_ended", when, F.to_json(F.struct(F.lit(status).alias("run_status"))))
+
+        def ended(df: DataFrame, status: str, reason: Column) -> None:
+            ending = F.to_json(F.struct(F.lit(status).alias("run_status"), reason.alias("reason")))
+            self._append(df, "run_ended", when, ending)
+
         gate = registry.run_gate(self.events().join(runs.select("sql_version_id").distinct(), "sql_version_id", "left_semi"))
         approved = gate.where("approved_at_start").select("run_id")
         allowed = stage(runs.join(approved, "run_id", "left_semi"), "allowed")
         try:
-            wanted = self.rules_at(when).join(allowed.select("sql_version_id").distinct(), "sql_version_id", "left_semi")
-            effective = stage(
-                effective_rules(wanted.withColumn("policy_version", F.col("sql_version_id"))), "effective_rules"
-            )
-            cube = rules.position_cube(exposures, effective)
-            cells = stage(rules.weighted_cells(cube, effective), "rwa_cells")
-            outputs = registry.stamp_outputs(
-                allowed, cells, F.col("sql_version_id"), when
-            ).drop("rwa_exact")
+            drafts = registry.sql_version_state(self.events().where(F.col("event_ts") <= when)).select("sql_version_id", "generated_sql")
+            versions = allowed.groupBy("sql_version_id").agg(F.max("policy_id").alias("policy_id"), F.max("policy_version_id").alias("policy_version_id"))
+            if mapping is None:
+                mapping = self.spark.createDataFrame([], TABLES["risk_weight_mapping"])
+            relations = {"exposures": exposures, "risk_weight_mapping": mapping}
+            cells, failures = rule_text.run_texts(stage(versions.join(drafts, "sql_version_id", "left"), "approved_texts"), relations)
+            done = allowed.join(failures.select("sql_version_id"), "sql_version_id", "left_anti")
+            outputs = registry.stamp_outputs(done, cells, F.col("sql_version_id"), when).drop("rwa_exact")
             sinks.publish_outputs(outputs, self._path("rwa_report_outputs"))
         except Exception:
-            ended(runs, "failed")
+            ended(runs, "failed", F.lit(None).cast("string"))
             raise
-        ended(allowed, "succeeded")
-        ended(runs.join(allowed.select("run_id"), "run_id", "left_anti"), "failed")
+        ended(done, "succeeded", F.lit(None).cast("string"))
+        ended(allowed.join(failures, "sql_version_id"), "failed", F.col("reason"))
+        ended(runs.join(allowed.select("run_id"), "run_id", "left_anti"), "failed", F.lit("not approved"))
+        broken = failures.where("raised").first()
+        if broken is not None:
+            raise RuntimeError(f"{broken.sql_version_id}: {broken.reason}")
         return runs
+
+
+def _with_text(rows: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Rows of drafts, ``generated_sql`` trimmed; the rendered rules where it is empty."""
+    given = F.nullif(F.trim("generated_sql"), F.lit(""))
+    joined = rows.join(rendered, F.col("sql_version_id") == F.col("_version"), "left")
+    return stage(joined.withColumn("generated_sql", F.coalesce(given, F.col("_rendered"))).drop("_version", "_rendered"), "texts")

@@ -102,6 +102,12 @@ def day(n):
     return dt.datetime(2024, 5, n)
 
 
+FLAT = (
+    "SELECT portfolio, 'Low' AS risk_bucket, SUM(exposure_amount * CASE asset_class WHEN 'A' THEN 0.2 ELSE 0.5 END) AS rwa_amount"
+    " FROM IDENTIFIER(:exposures) GROUP BY portfolio"
+)
+
+
 def test_workflow_end_to_end(spark, registry, folder):
     registry.initialise()
     assert registry.runs().isEmpty() and registry.outputs().isEmpty()
@@ -114,7 +120,7 @@ def test_workflow_end_to_end(spark, registry, folder):
 
     def text(version, body):
         return spark.createDataFrame(
-            [(version, None, f" {body} ", '{"clause_citations": []}', None)],
+            [(version, None, body and f" {body} ", '{"clause_citations": []}', None)],
             "policy_version_id string, summary string, generated_sql string, agent_trace string, schema_snapshot string",
         )
 
@@ -124,7 +130,7 @@ def test_workflow_end_to_end(spark, registry, folder):
     v1 = rules(first.policy_version_id, "('mapping', 'A', 'Low', 0.2, NULL, NULL)", "('mapping', 'B', 'Low', 0.5, NULL, NULL)")
     with pytest.raises(ValueError):
         registry.draft(v1, text("missing", "x"), day(2))
-    s1 = registry.draft(v1, text(first.policy_version_id, "SELECT 1"), day(2)).first()
+    s1 = registry.draft(v1, text(first.policy_version_id, FLAT), day(2)).first()
     assert s1.summary == f"Policy {first.policy_version_id} parsed."
 
     def execute(version, at):
@@ -147,14 +153,14 @@ def test_workflow_end_to_end(spark, registry, folder):
         spark.createDataFrame([(first.policy_id, "two.pdf", "ann", first.policy_version_id)], file_row), day(6)
     ).first()
     v2 = rules(second.policy_version_id, "('mapping', 'B', 'High', 1.0, NULL, NULL)")
-    s2 = registry.draft(v2, text(second.policy_version_id, "SELECT 2"), day(7)).first()
+    s2 = registry.draft(v2, text(second.policy_version_id, None), day(7)).first()
     registry.approve(spark.createDataFrame([(s2.sql_version_id, "bob")], "sql_version_id string, actor string"), day(8))
     merged = execute(s2, day(9))
     assert rows(registry.outputs().where(F.col("run_id") == merged).select("risk_bucket", "rwa_amount")) == [("High", 10.0), ("Low", 20.0)]
 
     registry.regenerate(text(None, "SELECT 3").withColumn("sql_version_id", F.lit(s2.sql_version_id)), day(10))
     state = {r.sql_version_id: (r.validation_status, r.generated_sql) for r in registry.sql_versions().collect()}
-    assert state[s2.sql_version_id][0] == "pending" and state[s1.sql_version_id] == ("approved", "SELECT 1")
+    assert state[s2.sql_version_id][0] == "pending" and state[s1.sql_version_id] == ("approved", FLAT)
     docs = {r.policy_version_id: r.status for r in registry.documents().collect()}
     assert docs == {first.policy_version_id: "superseded", second.policy_version_id: "approved"}
 
@@ -174,7 +180,7 @@ def test_workflow_end_to_end(spark, registry, folder):
     sinks.export_run(chain, registry.sql_versions(), good, f"{folder}/one")
     assert spark.read.text(f"{folder}/one/lineage_graph").where("value like '%RUN --> OUT%'").count() == 1
     sql_text = spark.read.json(f"{folder}/generated_sql").where(F.col("run_id") == good)
-    assert [r.value for r in sql_text.collect()] == ["SELECT 1"]
+    assert [r.value for r in sql_text.collect()] == [FLAT]
     lineage = spark.read.json(f"{folder}/lineage_metadata")
     assert lineage.count() == 3
 
@@ -187,7 +193,7 @@ def test_runs_use_the_approved_draft(spark, folder):
         spark.createDataFrame([(None, "x.pdf", "ann", None)], "policy_id string, filename string, actor string, supersedes string"), day(1)
     ).first()
     texts = spark.createDataFrame(
-        [(version.policy_version_id, "s", "SELECT 1", "{}", None)],
+        [(version.policy_version_id, "s", None, "{}", None)],
         "policy_version_id string, summary string, generated_sql string, agent_trace string, schema_snapshot string",
     )
     def rule(weight):
@@ -238,7 +244,7 @@ def test_failed_execution_is_recorded(spark, folder):
         spark.createDataFrame([(None, "x.pdf", "ann", None)], "policy_id string, filename string, actor string, supersedes string"), day(1)
     ).first()
     texts = spark.createDataFrame(
-        [(version.policy_version_id, "s", "SELECT 1", "{}", None)],
+        [(version.policy_version_id, "s", None, "{}", None)],
         "policy_version_id string, summary string, generated_sql string, agent_trace string, schema_snapshot string",
     )
     rule = adapters.rule_rows(spark, ["('mapping', 'A', 'Low', 0.2, NULL, NULL)"]).withColumn("policy_version", F.lit(version.policy_version_id))

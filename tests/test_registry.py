@@ -213,15 +213,3 @@ def test_derived_registry_sizes(spark, sf):
     assert runs.where(F.col("sql_version_id").isNotNull()).count() == 1465
     late = catalogue.QUERIES["gate_violations"](spark, sf).where("reason = 'not_approved_at_start'")
     assert late.count() == 1465 - 476
-
-
-def test_bound_sql(spark, story):
-    story.where("event_type = 'generated'").createOrReplaceTempView("generated_events")
-    text = "SELECT :run_id AS run_id, :sql_version_id AS sql_version_id, count(*) AS n FROM IDENTIFIER(:source)"
-    sqls = registry.sql_version_state(story).withColumn("generated_sql", F.lit(text))
-    got = registry.bound_sql(spark, sqls, "S1", run_id="R'; --", source="generated_events")
-    assert rows(got) == [("R'; --", "S1", 3)]
-    with pytest.raises(ValueError):
-        registry.bound_sql(spark, sqls, "S3", run_id="R", source="generated_events")  # not approved
-    with pytest.raises(ValueError):
-        registry.bound_sql(spark, sqls, "S99", run_id="R", source="generated_events")
