@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capledger.operators import audit, capital, compare, registry, rule_text, rules, text
+from capledger.operators import audit, capital, compare, hunks, registry, rule_text, rules, text
 from capledger.operators import transactions as tx
 from capledger.session import scratch_path, stage
 from capledger.sources import adapters, tables
@@ -420,6 +420,11 @@ def sql_version_diff(spark, sf):
     return text.line_diff(adapters.rule_texts(spark, sf))
 
 
+@query
+def sql_version_hunks(spark, sf):
+    return hunks.diff_hunks(adapters.rule_texts(spark, sf))
+
+
 @query
 def clause_table(spark, sf):
     return text.clause_table(_drafted_sql(spark, sf)).select("sql_version_id", "clause_id", "clause_type", "origin")

@@ -542,6 +542,49 @@ SELECT r.policy_id, r.prev AS version_a, r.doc_id AS version_b, CAST(COALESCE(up
   CAST(COALESCE(down, 0) AS BIGINT) AS lines_removed, CAST(COALESCE(up - down, 0) AS BIGINT) AS net
 FROM raw r LEFT JOIN per ON per.b = r.doc_id WHERE r.prev IS NOT NULL"""
 
+ORACLE_SQL["sql_version_hunks"] = r"""WITH RECURSIVE raw AS (
+  SELECT source AS policy_id, doc_id, LAG(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS prev,
+    LEAD(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nxt,
+    string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS parts
+  FROM documents),
+whole AS (SELECT *, CASE WHEN parts[len(parts)] = '' THEN parts[1:len(parts) - 1] ELSE parts END AS ls FROM raw),
+flat AS (SELECT doc_id, prev, nxt, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM whole),
+ln AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth FROM flat),
+old AS (SELECT nxt AS pair, pos, line, nth FROM ln WHERE nxt IS NOT NULL),
+new AS (SELECT doc_id AS pair, pos, line, nth FROM ln WHERE prev IS NOT NULL),
+anchor AS (SELECT pair, o.pos AS a, n.pos AS b FROM old o JOIN new n USING (pair, line, nth)),
+reach AS (
+  SELECT pair, a, b, 1 AS level FROM anchor
+  UNION
+  SELECT y.pair, y.a, y.b, x.level + 1 FROM reach x JOIN anchor y ON x.pair = y.pair AND x.a < y.a AND x.b < y.b),
+leveled AS (SELECT pair, a, b, max(level) AS level FROM reach GROUP BY ALL),
+linked AS (
+  SELECT y.pair, y.a, y.b, y.level, max(x.a) AS back
+  FROM leveled y LEFT JOIN leveled x ON x.pair = y.pair AND x.level = y.level - 1 AND x.a < y.a GROUP BY ALL),
+chain AS (
+  SELECT pair, a, b, back, level FROM linked QUALIFY row_number() OVER (PARTITION BY pair ORDER BY level DESC, b) = 1
+  UNION ALL
+  SELECT l.pair, l.a, l.b, l.back, l.level FROM chain c JOIN linked l ON l.pair = c.pair AND l.a = c.back AND l.level = c.level - 1),
+matches AS (SELECT pair, a, b, row_number() OVER (PARTITION BY pair ORDER BY a) AS k FROM chain),
+rows AS (
+  SELECT pair, k, 0 AS step, a AS line_a, b AS line_b, line, a AS pos FROM matches JOIN old USING (pair) WHERE old.pos = a
+  UNION ALL
+  SELECT o.pair, (SELECT count(*) FROM matches m WHERE m.pair = o.pair AND m.a < o.pos), 1, o.pos, NULL, o.line, o.pos
+  FROM old o ANTI JOIN matches m ON m.pair = o.pair AND m.a = o.pos
+  UNION ALL
+  SELECT n.pair, (SELECT count(*) FROM matches m WHERE m.pair = n.pair AND m.b < n.pos), 2, NULL, n.pos, n.line, n.pos
+  FROM new n ANTI JOIN matches m ON m.pair = n.pair AND m.b = n.pos),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY k, step, pos) AS place FROM rows),
+near AS (
+  SELECT * FROM placed p WHERE EXISTS (
+    SELECT 1 FROM placed c WHERE c.pair = p.pair AND c.step > 0 AND abs(c.place - p.place) <= 3)),
+islands AS (SELECT *, place - row_number() OVER (PARTITION BY pair ORDER BY place) AS island FROM near)
+SELECT policy_id, prev AS version_a, doc_id AS version_b,
+  CAST(dense_rank() OVER (PARTITION BY pair ORDER BY island) AS INTEGER) AS hunk,
+  CAST(row_number() OVER (PARTITION BY pair ORDER BY place) AS INTEGER) AS row,
+  ['context', 'removed', 'added'][step + 1] AS kind, CAST(line_a AS INTEGER) AS line_a, CAST(line_b AS INTEGER) AS line_b, line
+FROM islands JOIN raw ON raw.doc_id = pair"""
+
 CLAUSES = f"""{REG},
 c AS (
   SELECT sql_version_id, k, CASE WHEN k % 3 = 0 THEN 'V1-C' ELSE 'C' END || (k % 10) AS id1,
