@@ -203,6 +203,18 @@ def test_token_counts(spark, messy, pairs, counted):
     assert listed(tokens.count_tokens(df, tokenizer=path, limit=50)) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_counter_equals_the_library(name):
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path(name)
+    model, count, rng = Tokenizer.from_file(path), tokens.counter(path), random.Random(12)
+    assert tokens.cuts_before_blanks(model) == (name == "byte_bpe_50k.json")
+    parts = ["a", "The", " ", "  ", "\n", "\t", "é", "ñandú", "'s", "12", "!", "\u00a0", "\u3000", "\x1c", "\x85", "日本", "<|endoftext|>", "<|startoftext|>", "\r", "don't", "😀"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)]
+    assert count(texts) == [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_cache_is_filled_by_distinct_misses(spark, folder):
     rng = random.Random(1)
     texts = [sentence(rng, 20) for _ in range(40)]
