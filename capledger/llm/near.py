@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from capledger.llm.common import keep_rows, small, stage_compact
+from capledger.llm.common import broadcast_if_small, keep_rows, small, stage_compact
 from capledger.llm.graph import components
 from capledger.llm.shingles import CHUNK, WORDS, chunks, mix, multisets, slices
 from capledger.session import stage
@@ -74,33 +74,6 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=np.uint64) * _GOLDEN)
 
 
-def four_bits(signature: np.ndarray) -> np.ndarray:
-    """Four bits of every register, 16 registers in one number."""
-    n, registers = signature.shape
-    padded = np.zeros((n, -(-registers // 16) * 16), dtype=np.uint64)
-    padded[:, :registers] = signature & np.uint64(15)
-    shifts = np.arange(0, 64, 4, dtype=np.uint64)
-    return (padded.reshape(n, -1, 16) << shifts).sum(axis=2, dtype=np.uint64)
-
-
-def _differing(a: str, b: str, registers: int) -> Column:
-    """In how many registers two rows differ by their four bits."""
-    total = F.lit(0)
-    for i in range(-(-registers // 16)):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
-
-
-def most_differing(threshold: float, registers: int) -> float:
-    """Registers that two texts at the threshold differ in, plus 4.5 standard deviations: of such pairs
-    fewer than one in ten thousand differ in more."""
-    p = (1 - threshold) * 15 / 16
-    return registers * p + 4.5 * (registers * p * (1 - p)) ** 0.5
-
-
 def _sign(size: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,40 +83,40 @@ def _sign(size: int, bands: int, rows: int):
                 n = last - first
                 signature = signatures(doc, shingle, count, n, bands * rows)
                 some = np.bincount(doc, minlength=n) > 0
-                lists = []
-                for numbers in (band_keys(signature, bands, rows), four_bits(signature)):
-                    ends = np.concatenate(([0], np.cumsum(some * numbers.shape[1]))).astype(np.int32)
-                    flat = pa.array(numbers[some].ravel().view(np.int64), pa.int64())
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+                keys = band_keys(signature, bands, rows)[some].ravel().view(np.int64)
+                ends = np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))
                 part = batch.slice(first, n)
-                weight = np.bincount(doc, count, n).astype(np.int64)
-                columns = [part.column("_id"), part.column("_node"), *lists, pa.array(weight, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_node", "_bands", "_bits", "_size"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_node"), lists], names=["_id", "_node", "_bands"])
 
     return sign
 
 
+class Bags(dict):
+    """Shingles, counts and their sum by text; so many bytes of texts are remembered."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.room = size, CHUNK
+
+    def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        _, shingle, count = multisets(raw, np.array([0, len(raw)]), self.size)
+        self.room -= len(raw)
+        if self.room < 0:
+            self.clear()
+            self.room = CHUNK
+        self[text] = (shingle, count, int(count.sum()))
+        return self[text]
+
+
 def _overlap(size: int):
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray, int]] = {}
-        room = 0
-
-        def bag(text: str) -> tuple[np.ndarray, np.ndarray, int]:
-            nonlocal room
-            if text not in held:
-                raw = np.frombuffer(text.encode(), dtype=np.uint8)
-                _, shingle, count = multisets(raw, np.array([0, len(raw)]), size)
-                room -= len(raw)
-                if room < 0:  # so many bytes of texts are remembered
-                    held.clear()
-                    room = CHUNK
-                held[text] = (shingle, count, int(count.sum()))
-            return held[text]
-
+        bags = Bags(size)
         for batch in slices(batches, "_right"):
             common, union = [], []
             for left, right in zip(batch.column("_left").to_pylist(), batch.column("_right").to_pylist()):
-                (sa, ca, na), (sb, cb, nb) = bag(left), bag(right)
+                (sa, ca, na), (sb, cb, nb) = bags[left], bags[right]
                 _, i, j = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
                 both = int(np.minimum(ca[i], cb[j]).sum())
                 common.append(both)
@@ -154,30 +127,80 @@ def _overlap(size: int):
     return overlap
 
 
-def _spread(size: int):
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owners = np.frombuffer(b"".join(batch.column("_own").to_pylist()), dtype=">i8").reshape(-1, 2).astype(np.int64)
-            for first, last, raw, offsets in chunks(batch.column("_text")):
-                doc, shingle, count = multisets(raw, offsets, size)
-                at = pa.array(first + doc)
-                columns = [batch.column("_node").take(at), pa.array(owners[first + doc, 0]), pa.array(owners[first + doc, 1])]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(shingle.view(np.int64)), pa.array(count, pa.int64())],
-                    names=["_w", "high", "low", "shingle", "n"],
-                )
-
-    return spread
-
+def differences(hub: tuple[np.ndarray, np.ndarray, int], other: tuple[np.ndarray, np.ndarray, int]) -> tuple[int, int, np.ndarray]:
+    """(occurrences of the hub that the other lacks, occurrences it has beyond the hub, one number for each of both).
 
-def own_weight(texts: DataFrame, size: int) -> DataFrame:
-    """Per text, the weight of the shingles that no text of another component (``_own``) has: ``_w, _alone``."""
-    schema = "_w binary, high long, low long, shingle long, n long"
-    spread = stage(texts.select("_node", "_text", "_own").mapInArrow(_spread(size), schema), "shingles")
-    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("high", "low") for f in (F.min, F.max)]
-    single = spread.groupBy(F.col("shingle").alias("_s")).agg(*ends).where("high_min = high_max AND low_min = low_max")
-    kept = spread.join(single.select("_s"), F.col("shingle") == F.col("_s"), "left_semi")
-    return kept.groupBy("_w").agg(F.sum("n").alias("_alone"))
+    Two texts have the same number where both lack the same occurrence, or both have the same one more.
+    """
+    shingle, at = np.unique(np.concatenate((hub[0], other[0])), return_inverse=True)
+    more = np.bincount(at, np.concatenate((-hub[1], other[1])), len(shingle)).astype(np.int64)
+    times = np.abs(more)
+    copy = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    mark = mix(shingle + (more > 0) * _GOLDEN)
+    return int(-more[more < 0].sum()), int(more[more > 0].sum()), mix(np.repeat(mark, times) + copy.astype(np.uint64) * _GOLDEN)
+
+
+def _differ(size: int):
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags = Bags(size)
+        for batch in slices(batches, "_text"):
+            found = [(bags[h][2], *differences(bags[h], bags[t])) for h, t in zip(batch.column("_hub_text").to_pylist(), batch.column("_text").to_pylist())]
+            ends = np.concatenate(([0], np.cumsum([len(f[3]) for f in found]))).astype(np.int32)
+            flat = np.concatenate([f[3] for f in found]) if found else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("_hub"), batch.column("_node"), batch.column("_own"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
+                ],
+                names=["_hub", "_node", "_own", "_whole", "_lost", "_new", "_marks"],
+            )
+
+    return differ
+
+
+def may_link(stars: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Pairs ``a, b`` of texts around a hub that may reach the threshold, for stars ``_hub, _node, _own``; exact bounds only.
+
+    Let x lack l and have n occurrences beyond a hub of h, y likewise, and k be what they lack or have in common. They share
+    h - l_x - l_y + k of h + n_x + n_y - k, so they link if k >= (t (h + n_x + n_y) - h + l_x + l_y) / (1 + t) for
+    the threshold t. Where both link with the hub they are in one component. Where x does not, d = t (h + n_x) - h + l_x
+    is above 0; then k >= d, and k >= (t n_y + l_y) / (1 + t): without a common difference no pair links. So pairs come from
+    an index of the differences, not from the group: each text's are ordered by how many texts of the hub have them, the
+    rarest first, and a pair meets at its first common one, which leaves as many behind it on both sides as the
+    pair needs. Differences that one text has alone only count as places.
+    """
+    t = F.lit(threshold)
+    hubs = stage(stars.select(F.col("_hub").alias("_w")).distinct(), "hubs")
+    bodies = texts.join(broadcast_if_small(hubs), F.col("_node") == F.col("_w")).select("_w", F.col("_text").alias("_hub_text"))
+    bodies = stage_compact(bodies, "hub-texts")
+    rows = stars.join(texts, "_node").join(broadcast_if_small(bodies), F.col("_hub") == F.col("_w"))
+    rows = rows.select("_hub", "_node", "_own", "_hub_text", "_text")
+    schema = "_hub binary, _node binary, _own binary, _whole long, _lost long, _new long, _marks array<long>"
+    found = stage(rows.mapInArrow(_differ(size), schema), "differences")
+    deficit = t * (F.col("_whole") + F.col("_new")) - F.col("_whole") + F.col("_lost")
+    shared = found.select("_hub", F.explode("_marks").alias("_mark")).groupBy(F.col("_hub").alias("_h"), F.col("_mark").alias("_m")).agg(F.count("*").alias("_n"))
+    numbers = found.withColumns({"_deficit": deficit, "_all": F.size("_marks")}).drop("_marks")
+    marks = found.select("_hub", "_node", F.explode("_marks").alias("_mark"))
+    marks = marks.join(shared.where("_n > 1"), (F.col("_hub") == F.col("_h")) & (F.col("_mark") == F.col("_m"))).select("_hub", "_node", "_mark", "_n")
+    behind = F.row_number().over(Window.partitionBy("_hub", "_node").orderBy(F.desc("_n"), F.desc("_mark")))
+    # How many differences follow in the order, this one included.
+    placed = marks.withColumn("_behind", behind).drop("_n").withColumnsRenamed({"_hub": "_h", "_node": "_w"})
+    placed = numbers.join(placed, (F.col("_hub") == F.col("_h")) & (F.col("_node") == F.col("_w")))
+    least = F.greatest((t * F.col("_new") + F.col("_lost")) / (1 + t), F.col("_deficit"))
+    placed = stage(placed.select("_hub", "_mark", "_node", "_own", "_whole", "_lost", "_new", "_deficit", "_behind", least.alias("_least")), "marks")
+    slack = F.lit(1e-9)
+    far = placed.where((F.col("_deficit") > slack) & (F.col("_behind") >= F.col("_deficit") - slack))
+    near = placed.where(F.col("_behind") >= F.col("_least") - slack).select(
+        *[F.col(c).alias(c + "y") for c in ("_hub", "_mark", "_node", "_own", "_lost", "_new", "_behind")]
+    )
+    need = (F.col("_deficit") + t * F.col("_newy") + F.col("_losty")) / (1 + t)
+    meet = (
+        (F.col("_hub") == F.col("_huby"))
+        & (F.col("_mark") == F.col("_marky"))
+        & (F.col("_own") != F.col("_owny"))
+        & (F.least("_behind", "_behindy") >= need - slack)
+    )
+    return far.join(near, meet).select(F.least("_node", "_nodey").alias("a"), F.greatest("_node", "_nodey").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int = WORDS) -> DataFrame:
@@ -204,20 +227,15 @@ def _stars(members: DataFrame) -> DataFrame:
     return apart.select(F.least("_hub", "_node").alias("a"), F.greatest("_hub", "_node").alias("b")).distinct()
 
 
-def near_links(signed: DataFrame, docs: DataFrame, text: str, threshold: float, size: int, registers: int) -> DataFrame:
+def near_links(signed: DataFrame, docs: DataFrame, text: str, threshold: float, size: int) -> DataFrame:
     """Components of the texts that a band brings together and whose overlap reaches the threshold: ``_node, _own``.
 
     Every text of a bucket is compared with one of them, drawn anew for each bucket. A bucket whose texts are in
     one component by then is done, for a pair inside a component needs no link of its own. In the others,
-    texts are compared with the one that has the most links so far. What is still outside its
-    component is compared with all texts of other components, but for pairs that cannot link: those whose
-    distances to it differ by more than a link's largest distance, as weighted Jaccard distance is a metric;
-    those that share too little even if they share all that is not found in a text's own component
-    alone; and those whose signatures differ in more registers than ``most_differing``.
-    A pair that shares several buckets meets in the one with the least key.
+    texts are compared with the one that has the most links so far. In buckets that still hold several components, the pairs
+    that may link them come from ``may_link``.
     """
-    texts_of = signed.groupBy("_node").agg(F.first("_bands").alias("_bands"), F.first("_bits").alias("_bits"), F.first("_size").alias("_size"))
-    once = stage(texts_of, "signed-texts")
+    once = stage(signed.groupBy("_node").agg(F.first("_bands").alias("_bands")), "signed-texts")
     placed = once.select("_node", F.explode("_bands").alias("_key"))
     drawn = F.min_by("_node", F.xxhash64("_node", "_key"))
     buckets = placed.groupBy(F.col("_key").alias("_k")).agg(F.count("*").alias("_n"), drawn.alias("_hub")).where("_n > 1")
@@ -232,50 +250,17 @@ def near_links(signed: DataFrame, docs: DataFrame, text: str, threshold: float,
     measured = verify(_stars(shared), texts, size)
     found = _joined(measured, threshold)
 
-    owned = shared.select("_key", "_node").join(found, "_node", "left").withColumn("_own", F.coalesce("_own", "_node"))
-    open_ = owned.groupBy(F.col("_key").alias("_k")).agg(F.min("_own").alias("_lo"), F.max("_own").alias("_hi")).where("_lo <> _hi")
     linked = measured.where(_linked(threshold))
     ends = linked.select(F.explode(F.array("a", "b")).alias("_node")).groupBy("_node").agg(F.count("*").alias("_links"))
-    left = stage(owned.join(open_, F.col("_key") == F.col("_k"), "left_semi").select("_key", "_node"), "open-buckets")
+    left = stage(_still_open(shared, found).select("_key", "_node"), "open-buckets")
     most = F.max_by("_node", F.struct(F.coalesce("_links", F.lit(0)), "_node"))
     hubs = left.join(ends, "_node", "left").groupBy(F.col("_key").alias("_k")).agg(most.alias("_hub"))
     left = stage(left.join(hubs, F.col("_key") == F.col("_k")).select("_key", "_node", "_hub"), "open-buckets")
     measured = measured.unionByName(verify(_stars(left).join(measured, ["a", "b"], "left_anti"), texts, size))
     found = _joined(measured, threshold)
 
-    opened = left.select("_node").distinct().join(found, "_node", "left")
-    opened = stage(opened.select(F.col("_node").alias("_w"), F.coalesce("_own", "_node").alias("_own")), "open-texts")
-    alone = own_weight(texts.join(small(opened), F.col("_node") == F.col("_w")), size)
-    far = measured.select("a", "b", (1 - F.col("common") / F.col("union")).alias("_far"))
-    members = (
-        left.withColumns({"a": F.least("_hub", "_node"), "b": F.greatest("_hub", "_node")})
-        .join(far, ["a", "b"], "left")
-        .join(found, "_node", "left")
-        .join(found.toDF("_hub", "_hubs"), "_hub", "left")
-        .join(once.select("_node", "_bands", "_bits", "_size"), "_node")
-        .join(alone, F.col("_node") == F.col("_w"), "left")
-        .select(
-            "_key", "_node", "_bands", "_bits", "_size", (F.col("_size") - F.coalesce("_alone", F.lit(0))).alias("_most"), F.coalesce("_far", F.lit(0.0)).alias("_far"),
-            F.coalesce("_own", "_node").alias("_own"), F.coalesce("_hubs", "_hub").alias("_hubs"), (F.col("_node") == F.col("_hub")).alias("_is_hub"),
-        )
-    )
-    members = stage(members, "members")
-    outside = members.where("_own <> _hubs").select(
-        F.col("_key").alias("_k"), F.col("_node").alias("_x"), F.col("_far").alias("_fx"), F.col("_own").alias("_ox"), F.col("_bits").alias("_bx"),
-        F.col("_bands").alias("_kx"), F.col("_size").alias("_sx"), F.col("_most").alias("_mx"),
-    )
-    most_common = F.least("_most", "_mx")
-    may_link = (
-        (F.col("_key") == F.col("_k"))
-        & (F.col("_own") != F.col("_ox"))
-        & (F.abs(F.col("_far") - F.col("_fx")) <= 1 - threshold + 1e-9)
-        & ((F.col("_own") == F.col("_hubs")) | (F.col("_node") < F.col("_x")))
-        & (most_common >= (F.col("_size") + F.col("_sx") - most_common) * F.lit(threshold) - F.lit(1e-9))
-        & (_differing("_bits", "_bx", registers) <= most_differing(threshold, registers))
-        & (F.array_min(F.array_intersect("_bands", "_kx")) == F.col("_key"))
-    )
-    rest = members.where("NOT _is_hub").join(outside, may_link)
-    rest = rest.select(F.least("_x", "_node").alias("a"), F.greatest("_x", "_node").alias("b")).distinct()
+    stars = _still_open(left, found).where("_node <> _hub").select("_hub", "_node", "_own").distinct()
+    rest = may_link(stage(stars, "open-stars"), texts, threshold, size)
     last = verify(rest, texts, size).where(_linked(threshold))
     if last.isEmpty():
         return found
@@ -283,22 +268,31 @@ def near_links(signed: DataFrame, docs: DataFrame, text: str, threshold: float,
     return components(chains.unionByName(last.select(F.col("a").alias("u"), F.col("b").alias("v")))).toDF("_node", "_own")
 
 
+def _still_open(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of buckets that hold texts of several components, with their component ``_own``."""
+    owned = buckets.join(found, "_node", "left").withColumn("_own", F.coalesce("_own", "_node"))
+    open_ = owned.groupBy(F.col("_key").alias("_k")).agg(F.min("_own").alias("_lo"), F.max("_own").alias("_hi")).where("_lo <> _hi")
+    return owned.join(open_, F.col("_key") == F.col("_k"), "left_semi")
+
+
 def _members(docs: DataFrame, key: str, text: str, threshold: float, size: int, bands: int, rows: int) -> DataFrame:
-    """One row per distinct (id, text): ``_id, _node, _times, _class, class_id, class_size, _keep``."""
+    """One row per distinct (id, text) and task that read it: ``_id, _node, _times, class_id, class_size, _kept``; so ``_times``
+    is bounded by a task's input."""
     body = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(key).alias("_id"), F.unhex(F.md5(body)).alias("_node"), body.alias("_text"))
     kind = dict(read.dtypes)["_id"]
-    signed = stage(read.mapInArrow(_sign(size, bands, rows), f"_id {kind}, _node binary, _bands array<long>, _bits array<long>, _size long"), "signatures")
-    found = near_links(signed, docs, text, threshold, size, bands * rows)
-    ids = signed.groupBy("_id", "_node").agg(F.count("*").alias("_times"))
+    made = read.mapInArrow(_sign(size, bands, rows), f"_id {kind}, _node binary, _bands array<long>")
+    signed = stage(made.withColumn("_task", F.spark_partition_id()), "signatures")
+    found = near_links(signed, docs, text, threshold, size)
+    ids = signed.groupBy("_id", "_node", "_task").agg(F.count("*").alias("_times"))
     classed = stage(
-        ids.join(found, "_node", "left").select("_id", "_node", "_times", F.coalesce("_own", "_node").alias("_class")),
+        ids.join(found, "_node", "left").select("_id", "_node", "_task", "_times", F.coalesce("_own", "_node").alias("_class")),
         "classes",
     )
-    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_node").alias("node")))
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_node").alias("node"), F.col("_task").alias("task")))
     classes = classed.groupBy(F.col("_class").alias("_c")).agg(best.alias("_keep"), F.sum("_times").alias("class_size"))
     joined = classed.join(classes, F.col("_class") == F.col("_c"))
-    is_kept = F.col("_id").eqNullSafe(F.col("_keep.id")) & (F.col("_node") == F.col("_keep.node"))
+    is_kept = F.col("_id").eqNullSafe(F.col("_keep.id")) & (F.col("_node") == F.col("_keep.node")) & (F.col("_task") == F.col("_keep.task"))
     return joined.select("_id", "_node", "_times", F.col("_keep.id").alias("class_id"), "class_size", is_kept.alias("_kept"))
 
 
@@ -326,6 +320,7 @@ def drop_near_copies(
     bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
     """The kept row of each class with all its columns; among rows that repeat id and text, the smallest by all columns."""
-    kept = _members(docs, key, text, threshold, size, bands, rows).where("_kept")
+    members = _members(docs, key, text, threshold, size, bands, rows)
+    kept = members.groupBy("_id", "_node").agg(F.sum("_times").alias("_times"), F.bool_or("_kept").alias("_kept")).where("_kept")
     body = F.coalesce(F.col(text), F.lit(""))
     return keep_rows(docs, kept.select("_id", "_node", "_times"), F.col(key), F.unhex(F.md5(body)))

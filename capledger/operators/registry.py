@@ -1,11 +1,16 @@
 """Policy registry: append-only events and the state they fold to.
 
 An event is one row of ``registry_events``. Order inside a key is always
-(event_ts, event_id). Every fold is one ``groupBy`` on the entity key.
+(event_ts, event_id). Every fold is one ``groupBy`` on the entity key, whose aggregates
+are maxima of (order, value) structs and flags: partial states of any parts of the events merge by the
+same maxima, so late and repeated events need no second thought.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +30,33 @@ def _when(kinds: str | tuple[str, ...], value: Column) -> Column:
     return F.when(F.col("event_type").isin(*kinds), value)
 
 
-def _last(column: Column, kinds: str | tuple[str, ...]) -> Column:
-    return F.max_by(column, _when(kinds, _at()))
+def _latest(kinds: str | tuple[str, ...], **values: Column) -> Column:
+    """(event_ts, event_id, values) of an event of these kinds; its maximum over a key is the last one."""
+    return _when(kinds, F.struct("event_ts", "event_id", *[v.alias(n) for n, v in values.items()]))
+
+
+@dataclass(frozen=True)
+class Fold:
+    """How events fold to an entity's state: what an event says of a key (``rows``: key and state columns), whose
+    maxima are the partial state, and what users see of it (``finish``)."""
+
+    key: tuple[str, ...]
+    rows: Callable[[DataFrame], DataFrame]
+    finish: Callable[[DataFrame], DataFrame]
+
+    def _maxima(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.key).agg(*[F.max(c).alias(c) for c in rows.columns if c not in self.key])
+
+    def state(self, events: DataFrame) -> DataFrame:
+        """Partial state of some events."""
+        return self._maxima(self.rows(events))
+
+    def merge(self, state: DataFrame, events: DataFrame) -> DataFrame:
+        """Partial state of what ``state`` has seen and of more events, earlier, later or the same ones."""
+        return self._maxima(state.unionByName(self.state(events)))
+
+    def __call__(self, events: DataFrame) -> DataFrame:
+        return self.finish(self.state(events))
 
 
 def new_events(df: DataFrame, event_type: str, at: Column, payload: Column | None = None) -> DataFrame:
@@ -53,12 +83,8 @@ def new_events(df: DataFrame, event_type: str, at: Column, payload: Column | Non
     )
 
 
-def document_state(events: DataFrame) -> DataFrame:
-    """Uploaded versions with their derived status.
-
-    A version is superseded when an upload points to it. The pointing upload adds
-    a row under the superseded key, so the fold needs no self join.
-    """
+def _document_rows(events: DataFrame) -> DataFrame:
+    """An upload that points to a version also adds a row under that version's key, so the fold needs no self join."""
     supersedes = F.get_json_object("payload", "$.supersedes")
     own = F.struct(F.col("policy_version_id").alias("key"), F.lit(False).alias("replaced"))
     pointed = F.struct(_when("uploaded", supersedes).alias("key"), F.lit(True).alias("replaced"))
@@ -68,71 +94,73 @@ def document_state(events: DataFrame) -> DataFrame:
         .where(F.col("entry.key").isNotNull())
     )
     mine = ~F.col("entry.replaced")
-    known_sql = F.col("sql_version_id").isNotNull()
-    seen = lambda kinds, fact: F.coalesce(F.bool_or(_when(kinds, mine & fact)), F.lit(False))
-    uploaded = F.when(mine & (F.col("event_type") == "uploaded"), _at())
-    folded = keyed.groupBy(F.col("entry.key").alias("policy_version_id")).agg(
-        F.max_by("policy_id", uploaded).alias("policy_id"),
-        F.max(uploaded)["event_ts"].alias("uploaded_at"),
-        F.max_by("actor", uploaded).alias("uploaded_by"),
-        F.max_by(F.get_json_object("payload", "$.gcs_uri"), uploaded).alias("gcs_uri"),
-        F.max_by(supersedes, uploaded).alias("supersedes_policy_version_id"),
-        F.bool_or("entry.replaced").alias("replaced"),
-        seen("approved", known_sql).alias("approved"),
-        seen(("extracted", "generated"), F.lit(True)).alias("extracted"),
+    uploaded = _latest(
+        "uploaded", policy_id=F.col("policy_id"), actor=F.col("actor"), gcs_uri=F.get_json_object("payload", "$.gcs_uri"), supersedes=supersedes
+    )
+    seen = lambda *kinds: mine & F.col("event_type").isin(*kinds)
+    return keyed.select(
+        F.col("entry.key").alias("policy_version_id"),
+        F.when(mine, uploaded).alias("uploaded"),
+        F.col("entry.replaced").alias("replaced"),
+        (seen("approved") & F.col("sql_version_id").isNotNull()).alias("approved"),
+        seen("extracted", "generated").alias("extracted"),
     )
+
+
+def _documents(state: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("replaced"), "superseded")
         .when(F.col("approved"), "approved")
         .when(F.col("extracted"), "extracted")
         .otherwise("draft")
     )
-    return folded.where(F.col("uploaded_at").isNotNull()).select(
-        "policy_id", "policy_version_id", "uploaded_at", "uploaded_by", "gcs_uri",
-        status.alias("status"), "supersedes_policy_version_id",
+    return state.where(F.col("uploaded").isNotNull()).select(
+        "uploaded.policy_id", "policy_version_id", F.col("uploaded.event_ts").alias("uploaded_at"),
+        F.col("uploaded.actor").alias("uploaded_by"), "uploaded.gcs_uri", status.alias("status"),
+        F.col("uploaded.supersedes").alias("supersedes_policy_version_id"),
     )
 
 
-def sql_version_state(events: DataFrame) -> DataFrame:
-    """Rule versions; approved only while the last approval is not before the last draft
-    (inside one instant drafts come first)."""
-    folded = (
-        events.where(F.col("sql_version_id").isNotNull() & F.col("event_type").isin("approved", *DRAFT))
-        .groupBy("sql_version_id")
-        .agg(
-            F.max(_when("generated", _at())).alias("created"),
-            F.max(_when(DRAFT, _at())).alias("drafted"),
-            F.max(_when("approved", _at())).alias("signed"),
-            _last(F.col("policy_version_id"), "generated").alias("policy_version_id"),
-            _last(F.col("payload"), DRAFT).alias("payload"),
-            _last(F.col("actor"), "approved").alias("approver"),
-        )
+# Uploaded versions with their derived status; superseded is what another upload points to.
+document_state = Fold(("policy_version_id",), _document_rows, _documents)
+
+
+def _sql_version_rows(events: DataFrame) -> DataFrame:
+    return events.where(F.col("sql_version_id").isNotNull() & F.col("event_type").isin("approved", *DRAFT)).select(
+        "sql_version_id",
+        _latest("generated", policy_version_id=F.col("policy_version_id")).alias("created"),
+        _latest(DRAFT, payload=F.col("payload")).alias("drafted"),
+        _latest("approved", actor=F.col("actor")).alias("signed"),
     )
-    draft = F.from_json("payload", DRAFT_PAYLOAD)
-    later = F.col("signed.event_ts") >= F.col("drafted.event_ts")
-    approved = F.col("signed").isNotNull() & later
-    return folded.where(F.col("created").isNotNull()).select(
+
+
+def _sql_versions(state: DataFrame) -> DataFrame:
+    draft = F.from_json("drafted.payload", DRAFT_PAYLOAD)
+    approved = F.col("signed").isNotNull() & (F.col("signed.event_ts") >= F.col("drafted.event_ts"))
+    return state.where(F.col("created").isNotNull()).select(
         "sql_version_id",
-        "policy_version_id",
+        "created.policy_version_id",
         draft["generated_sql"].alias("generated_sql"),
         draft["agent_trace"].alias("agent_trace"),
         draft["schema_snapshot"].alias("schema_snapshot"),
         F.when(approved, "approved").otherwise("pending").alias("validation_status"),
-        F.when(approved, F.col("approver")).alias("approved_by"),
+        F.when(approved, F.col("signed.actor")).alias("approved_by"),
         F.when(approved, F.col("signed.event_ts")).alias("approved_at"),
     )
 
 
-def extractions(events: DataFrame) -> DataFrame:
-    """One extraction row per extracted or generated event of a policy version, however often
-    the event was appended; may repeat per version."""
+# Rule versions; approved only while the last approval is not before the last draft (inside one instant drafts come first).
+sql_version_state = Fold(("sql_version_id",), _sql_version_rows, _sql_versions)
+
+
+def _extraction_rows(events: DataFrame) -> DataFrame:
+    named = events.where(F.col("event_type").isin("extracted", "generated") & F.col("policy_version_id").isNotNull())
+    return named.select("event_id", "policy_version_id", F.col("event_ts").alias("created_at"), "payload")
+
+
+def _extractions(state: DataFrame) -> DataFrame:
     draft = F.from_json("payload", DRAFT_PAYLOAD)
-    once = (
-        events.where(F.col("event_type").isin("extracted", "generated") & F.col("policy_version_id").isNotNull())
-        .groupBy("event_id", "policy_version_id", F.col("event_ts").alias("created_at"))
-        .agg(F.max("payload").alias("payload"))
-    )
-    return once.select(
+    return state.select(
         "policy_version_id",
         draft["extraction_json"].alias("extraction_json"),
         draft["clause_citations"].alias("clause_citations"),
@@ -142,24 +170,32 @@ def extractions(events: DataFrame) -> DataFrame:
     )
 
 
-def run_state(events: DataFrame) -> DataFrame:
-    started = lambda c: _last(F.col(c), "run_started")
-    outcome = _last(F.get_json_object("payload", "$.run_status"), "run_ended")
-    return (
-        events.where(F.col("run_id").isNotNull() & F.col("event_type").isin("run_started", "run_ended"))
-        .groupBy("run_id")
-        .agg(
-            started("policy_id").alias("policy_id"),
-            started("policy_version_id").alias("policy_version_id"),
-            started("sql_version_id").alias("sql_version_id"),
-            F.coalesce(outcome, F.lit("running")).alias("run_status"),
-            F.max(_when("run_started", F.col("event_ts"))).alias("started_at"),
-            F.max(_when("run_ended", F.col("event_ts"))).alias("ended_at"),
-        )
-        .where(F.col("started_at").isNotNull())
+# One row per extracted or generated event of a policy version, however often it was appended; may repeat per version.
+extractions = Fold(("event_id", "policy_version_id", "created_at"), _extraction_rows, _extractions)
+
+
+def _run_rows(events: DataFrame) -> DataFrame:
+    ids = {c: F.col(c) for c in ("policy_id", "policy_version_id", "sql_version_id")}
+    return events.where(F.col("run_id").isNotNull() & F.col("event_type").isin("run_started", "run_ended")).select(
+        "run_id",
+        _latest("run_started", **ids).alias("started"),
+        _latest("run_ended", status=F.get_json_object("payload", "$.run_status")).alias("ended"),
     )
 
 
+def _runs(state: DataFrame) -> DataFrame:
+    return state.where(F.col("started").isNotNull()).select(
+        "run_id", "started.policy_id", "started.policy_version_id", "started.sql_version_id",
+        F.coalesce("ended.status", F.lit("running")).alias("run_status"),
+        F.col("started.event_ts").alias("started_at"), F.col("ended.event_ts").alias("ended_at"),
+    )
+
+
+run_state = Fold(("run_id",), _run_rows, _runs)
+
+FOLDS = {"documents": document_state, "sql_versions": sql_version_state, "extractions": extractions, "runs": run_state}
+
+
 def run_gate(events: DataFrame) -> DataFrame:
     """Each started run that names a rule version, once: was that version approved then?
 

@@ -15,6 +15,7 @@ from capledger.operators import audit, capital, compare, hunks, registry, rule_t
 from capledger.operators import transactions as tx
 from capledger.session import scratch_path, stage
 from capledger.sources import adapters, tables
+from capledger.sources.eventlog import EventLog
 from capledger.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,6 +284,39 @@ def run_state(spark, sf):
     )
 
 
+def _by_snapshot(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A state from a snapshot over the first half of the time and a tail that starts before its end."""
+    events = _events(spark, sf, staged=True)
+    span = events.agg(F.min("event_ts").alias("a"), F.max("event_ts").alias("b")).selectExpr(
+        "CAST(a AS TIMESTAMP) + (CAST(b AS TIMESTAMP) - CAST(a AS TIMESTAMP)) / 2 AS middle",
+        "CAST(a AS TIMESTAMP) + (CAST(b AS TIMESTAMP) - CAST(a AS TIMESTAMP)) / 3 AS third",
+    ).first()
+    log = EventLog(spark, scratch_path(spark, "event_log"))
+    if span.middle is not None:
+        cut = lambda value: F.lit(value).cast("timestamp_ntz")
+        log.append(events.where(F.col("event_ts") <= cut(span.middle)), "early")
+        log.snapshot("1")
+        log.append(events.where(F.col("event_ts") >= cut(span.third)), "late")
+    return log.state(name)
+
+
+@query
+def document_state_from_snapshot(spark, sf):
+    return _by_snapshot(spark, sf, "documents")
+
+
+@query
+def sql_version_state_from_snapshot(spark, sf):
+    return _by_snapshot(spark, sf, "sql_versions").select(
+        "sql_version_id", "policy_version_id", "validation_status", "approved_by", "approved_at"
+    )
+
+
+@query
+def run_state_from_snapshot(spark, sf):
+    return _by_snapshot(spark, sf, "runs")
+
+
 @query
 def latest_approved_sql(spark, sf):
     return audit.latest_approved_sql(_drafted_sql(spark, sf))

@@ -688,3 +688,6 @@ SELECT COUNT(*) AS total_count, {_dbl('SUM(amt)')} / COUNT(amt) AS avg_amount,
 
 ORACLE_SQL["scored_stream"] = f"""WITH RECURSIVE {FIT}
 SELECT transaction_id, predicted_label, CAST(fraud_score AS DOUBLE) AS fraud_score, alert FROM marked"""
+
+# A snapshot and its tail give what the full fold gives.
+ORACLE_SQL |= {f"{name}_from_snapshot": ORACLE_SQL[name] for name in ("document_state", "sql_version_state", "run_state")}

@@ -37,6 +37,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path, sorted; none where the path is missing."""
+    if not _exists(spark, path):
+        return []
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(found) if f.isDirectory())
+
+
 def publish_outputs(outputs: DataFrame, path: str) -> None:
     """Write report outputs by date. Writing the same run again replaces that run only: the dates it
     is in are written anew without its old rows. One writer at a time may write a date."""

@@ -17,6 +17,7 @@ from capledger.operators.rules import effective_rules, layered
 from capledger.schemas import TABLES
 from capledger.session import stage
 from capledger.sources import sinks
+from capledger.sources.eventlog import EventLog
 from capledger.sources.tables import scan_declared
 
 RULE_COLUMNS = [
@@ -29,34 +30,40 @@ class Registry:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.log = EventLog(spark, self.root)
 
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def initialise(self) -> None:
         """Empty tables with their schemas."""
-        for table in ("registry_events", "rwa_report_outputs"):
-            sinks.refresh(self.spark.createDataFrame([], TABLES[table]), self._path(table), table)
+        self.log.append(self.spark.createDataFrame([], TABLES["registry_events"]), "0")
+        sinks.refresh(self.spark.createDataFrame([], TABLES["rwa_report_outputs"]), self._path("rwa_report_outputs"), "rwa_report_outputs")
 
-    def _append(self, df: DataFrame, event_type: str, at: Column, payload: Column | None = None) -> None:
-        sinks.append(registry.new_events(df, event_type, at, payload), self._path("registry_events"), "registry_events")
+    def _append(self, df: DataFrame, event_type: str, at: datetime, payload: Column | None = None) -> None:
+        when = F.lit(at).cast("timestamp_ntz")
+        self.log.append(registry.new_events(df, event_type, when, payload), f"{at:%Y%m%dT%H%M%S}-{event_type}")
+
+    def snapshot(self, at: datetime) -> None:
+        """Persist the state, so that later steps read it and the events since."""
+        self.log.snapshot(f"{at:%Y%m%dT%H%M%S%f}")
 
     # --- state ---------------------------------------------------------------
 
     def events(self) -> DataFrame:
-        return scan_declared(self.spark, self._path("registry_events"), "registry_events")
+        return self.log.events()
 
     def documents(self) -> DataFrame:
-        return registry.document_state(self.events())
+        return self.log.state("documents")
 
     def sql_versions(self) -> DataFrame:
-        return registry.sql_version_state(self.events())
+        return self.log.state("sql_versions")
 
     def extractions(self) -> DataFrame:
-        return registry.extractions(self.events())
+        return self.log.state("extractions")
 
     def runs(self) -> DataFrame:
-        return registry.run_state(self.events())
+        return self.log.state("runs")
 
     def outputs(self) -> DataFrame:
         return scan_declared(self.spark, self._path("rwa_report_outputs"), "rwa_report_outputs")
@@ -97,7 +104,7 @@ class Registry:
         )
         rows = rows.withColumn("policy_version_id", version_id(F.col("policy_id"), F.col("filename"), stamp))
         rows = rows.withColumn("gcs_uri", object_path(F.col("policy_version_id"), F.col("filename")))
-        self._append(rows, "uploaded", when, F.to_json(F.struct("gcs_uri", "supersedes")))
+        self._append(rows, "uploaded", at, F.to_json(F.struct("gcs_uri", "supersedes")))
         return rows
 
     def draft(self, delta: DataFrame, texts: DataFrame, at: datetime) -> DataFrame:
@@ -133,7 +140,7 @@ class Registry:
                 F.lit("rules-v1").alias("model_version"),
             )
         )
-        self._append(rows, "generated", when, payload)
+        self._append(rows, "generated", at, payload)
         return rows.withColumn("progress", progress_text("Extraction complete: ", F.col("summary")))
 
     def _has_rules(self) -> bool:
@@ -153,14 +160,14 @@ class Registry:
             named = delta.join(ids, "sql_version_id").drop("sql_version_id")
             texts = _with_text(texts, self._store_rules(named, ids, stage(self.documents(), "documents"), when))
         payload = F.to_json(F.struct("generated_sql", "agent_trace", "schema_snapshot"))
-        self._append(texts, "regenerated", when, payload)
+        self._append(texts, "regenerated", at, payload)
 
     def approve(self, versions: DataFrame, at: datetime) -> None:
         """``(sql_version_id, actor)`` rows; the policy version is looked up. Versions never drafted raise."""
         if not audit.must_exist(versions, self.sql_versions(), "sql_version_id").isEmpty():
             raise ValueError("approval of a rule version that was not drafted")
         rows = versions.join(self.sql_versions().select("sql_version_id", "policy_version_id"), "sql_version_id")
-        self._append(stage(rows, "approvals"), "approved", F.lit(at).cast("timestamp_ntz"))
+        self._append(stage(rows, "approvals"), "approved", at)
 
     def execute(self, requests: DataFrame, exposures: DataFrame, at: datetime, mapping: DataFrame | None = None) -> DataFrame:
         """Run ``(policy_id, policy_version_id, sql_version_id)`` rows: the text of each rule version's approved draft
@@ -174,11 +181,11 @@ class Registry:
         runs = stage(
             requests.withColumn("run_id", mint_id("RUN-", F.col("sql_version_id"), when.cast("string"))), "requests"
         )
-        self._append(runs, "run_started", when)
+        self._append(runs, "run_started", at)
 
         def ended(df: DataFrame, status: str, reason: Column) -> None:
             ending = F.to_json(F.struct(F.lit(status).alias("run_status"), reason.alias("reason")))
-            self._append(df, "run_ended", when, ending)
+            self._append(df, "run_ended", at, ending)
 
         gate = registry.run_gate(self.events().join(runs.select("sql_version_id").distinct(), "sql_version_id", "left_semi"))
         approved = gate.where("approved_at_start").select("run_id")
