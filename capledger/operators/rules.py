@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capledger.session import stage
+
+# Blocks that the thresholds of a class are cut into.
+BLOCKS = 128
 
 # A mapping or an exclusion answers how a class is treated; exclusion wins a tie, then the larger weight.
 _TREATMENT = (
@@ -111,26 +115,59 @@ def rule_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def reached(cuts: Column, amount: Column) -> Column:
+    """How many of the sorted ``cuts`` an amount reaches, by binary search; 0 for a NULL amount."""
+    start = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
+
+    def halve(range_: Column, _: Column) -> Column:
+        low, high = range_["low"], range_["high"]
+        middle = F.shiftright(low + high, 1)
+        up = F.struct((middle + 1).alias("low"), high.alias("high"))
+        down = F.struct(low.alias("low"), middle.alias("high"))
+        return F.when(low >= high, range_).when(F.coalesce(F.get(cuts, middle) <= amount, F.lit(False)), up).otherwise(down)
+
+    return F.aggregate(steps, start, halve, lambda range_: range_["low"])
+
+
+def banded(exposures: DataFrame, rules: DataFrame) -> DataFrame:
+    """Exposures with ``band``: the highest threshold of their class that the amount reaches.
+
+    The thresholds of a class are cut into at most ``BLOCKS`` + 1 blocks at approximate quantiles. An exposure carries the
+    borders of its class, finds its block among them and the band among the block's thresholds, both by binary
+    search; so it never meets all thresholds of its class, however many there are and wherever they lie. A block that
+    holds none below the amount takes the highest one before it.
+    """
+    cuts = rules.where(F.col("min_amount").isNotNull() & F.col("asset_class").isNotNull()).select("asset_class", "min_amount").distinct()
+    quantiles = F.percentile_approx("min_amount", [i / BLOCKS for i in range(1, BLOCKS)], 100 * BLOCKS)
+    borders = cuts.groupBy("asset_class").agg(F.array_sort(F.array_distinct(quantiles)).alias("borders"))
+    borders = stage(borders, "threshold-borders")
+    placed = cuts.join(borders, "asset_class").withColumn("block", reached(F.col("borders"), F.col("min_amount")))
+    held = placed.groupBy("asset_class", "block").agg(F.array_sort(F.collect_list("min_amount")).alias("cuts"))
+    every = borders.select("asset_class", F.explode(F.sequence(F.lit(0), F.size("borders"))).alias("block"))
+    before = Window.partitionBy("asset_class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = every.join(held, ["asset_class", "block"], "left").withColumn("below", F.max(F.array_max("cuts")).over(before))
+    blocks = stage(blocks, "threshold-blocks")
+    amount = F.col("exposure_amount")
+    found = exposures.join(borders, "asset_class", "left").withColumn("block", F.when(F.col("borders").isNotNull(), reached(F.col("borders"), amount)))
+    found = found.drop("borders").join(blocks, ["asset_class", "block"], "left")
+    highest = F.get("cuts", reached(F.col("cuts"), amount) - 1)
+    return found.withColumn("band", F.when(amount.isNotNull(), F.coalesce(highest, "below"))).drop("block", "cuts", "below")
+
+
 def position_cube(exposures: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Exposures summed to (portfolio, asset_class, band).
 
     A weight is constant per class, so sum(amount * weight) = sum(amount) * weight
     exactly in decimals: the facts are read and reduced once, and any number of
     rule versions joins the small cube. Where ``rules`` have thresholds, ``band``
-    keeps amounts on both sides of every threshold of the class apart (it is the
-    highest threshold the amount reaches).
+    keeps amounts on both sides of every threshold of the class apart.
     """
     if rules is None:
-        banded = exposures.withColumn("band", F.lit(None).cast("decimal(18,2)"))
+        rows = exposures.withColumn("band", F.lit(None).cast("decimal(18,2)"))
     else:
-        cuts = (
-            rules.where(F.col("min_amount").isNotNull())
-            .groupBy("asset_class")
-            .agg(F.collect_set("min_amount").alias("cuts"))
-        )
-        reached = F.filter("cuts", lambda cut: cut <= F.col("exposure_amount"))
-        banded = exposures.join(cuts, "asset_class", "left").withColumn("band", F.array_max(reached))
-    return banded.groupBy("portfolio", "asset_class", "band").agg(F.sum("exposure_amount").alias("amount"))
+        rows = banded(exposures, rules)
+    return rows.groupBy("portfolio", "asset_class", "band").agg(F.sum("exposure_amount").alias("amount"))
 
 
 def weighted_cells(cube: DataFrame, rules: DataFrame) -> DataFrame:
@@ -163,6 +200,7 @@ def reconciliation(exposures: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy("asset_class", "band")
         .agg(F.sum("amount").alias("amount"), F.sum(F.when(F.col("portfolio").isNull(), F.col("amount"))).alias("lost"))
     )
+    by_class = stage(by_class, "class_amounts")  # read by the scalars as well
     all_amounts = by_class.agg(F.sum("amount").alias("total"), F.sum("lost").alias("lost"))
     reaches = F.col("min_amount").isNull() | F.coalesce(F.col("band") >= F.col("min_amount"), F.lit(False))
     status = F.when(F.col("excluded"), "excluded").when(reaches, "mapped").otherwise("below_threshold")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -224,3 +225,30 @@ def test_rule_kinds_on_amounts(spark):
     assert (recon.exposure_total, recon.unmapped, recon.without_portfolio) == (222.99, 6.0, 5.0)
     assert rules.reconciliation(exposures.limit(0), effective).first().exposure_total == 0.0
     assert rows(rules.unmapped_classes(exposures, effective)) == [("X",)]
+
+
+def test_bands_of_thousands_of_thresholds(spark):
+    """Clustered, equal and far-off thresholds; amounts on, between, below and above them; NULLs."""
+    from bisect import bisect_right
+
+    rng = random.Random(6)
+    cents = sorted({rng.randrange(10**4) for _ in range(1500)} | {rng.randrange(10**15) for _ in range(1500)} | {10**7 + i for i in range(900)})
+    cuts = {"A": cents, "B": [500], "C": []}
+    rule_rows = [(c, Decimal(x) / 100) for c, xs in cuts.items() for x in xs for _ in range(2)] + [("C", None), (None, Decimal(1))]
+    thresholds = spark.createDataFrame(rule_rows, "asset_class string, min_amount decimal(18,2)")
+    amounts = [x + d for x in rng.sample(cents, 300) for d in (-1, 0, 1)] + [0, -5, 10**16, 499, 500, 501]
+    facts = [(c, Decimal(x) / 100) for x in amounts for c in ("A", "B", "C", None)] + [("A", None)]
+    exposures = spark.createDataFrame([("P", c, x) for c, x in facts], "portfolio string, asset_class string, exposure_amount decimal(18,2)")
+    got = {(r.asset_class, r.exposure_amount): r.band for r in rules.banded(exposures, thresholds).collect()}
+    assert len(got) == len(set(facts)) and rules.banded(exposures, thresholds).count() == len(facts)
+    for (c, x), band in got.items():
+        at = bisect_right(cuts.get(c, []), x * 100) if x is not None else 0
+        assert band == (Decimal(cuts[c][at - 1]) / 100 if at else None), (c, x)
+    plan = rules.position_cube(exposures, thresholds)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "cuts" in plan
+
+
+def test_bands_without_thresholds(spark):
+    none = spark.createDataFrame([], "asset_class string, min_amount decimal(18,2)")
+    exposures = spark.createDataFrame([("P", "A", Decimal("1.00"))], "portfolio string, asset_class string, exposure_amount decimal(18,2)")
+    assert [r.band for r in rules.banded(exposures, none).collect()] == [None]
