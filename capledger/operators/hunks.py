@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from capledger.session import stage
 
 CONTEXT = 3
 
+# Its functions travel by value: workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def longest_chain(places: list[int]) -> list[int]:
     """Indices of a longest increasing subsequence: piles in order, each new one on the first pile whose top is not

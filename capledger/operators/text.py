@@ -64,38 +64,41 @@ def _paths(tables: Column, with_type: bool = False) -> Column:
     return F.flatten(F.transform(F.map_entries(tables), of_table))
 
 
-def schema_drift(sql_versions: DataFrame, live_columns: DataFrame, include_types: bool = False) -> DataFrame:
-    """Columns added to / removed from the live schema since each rule version.
+def schema_drift(sql_versions: DataFrame, live_columns: DataFrame) -> DataFrame:
+    """What the live schema has more, less or otherwise than each rule version's snapshot.
 
-    The live schema is one array (as wide as the schema), so both differences are
-    taken inside the row and nothing is shuffled. Versions without a drifted
+    ``live_columns`` (``table_name, column_name, data_type``) has a row per type that any file has a column in, and may say
+    whether a column is ``in_all_files``. Kinds: ``added`` and ``removed`` columns, ``retyped`` ones (some file has another
+    type than the snapshot), ``missing`` ones (some file lacks them). The live schema is one array (as wide as the
+    schema), so the differences are taken inside the row and nothing is shuffled. Versions without a drifted
     column keep one row; ``column_path`` and ``kind`` are then NULL.
     """
     name = F.concat_ws(".", "table_name", "column_name")
+    everywhere = F.col("in_all_files") if "in_all_files" in live_columns.columns else F.lit(True)
     live = live_columns.agg(F.collect_set(name)).scalar()
     live_typed = live_columns.agg(F.collect_set(F.concat_ws(":", name, F.col("data_type")))).scalar()
+    partial = live_columns.agg(F.collect_set(F.when(~everywhere, name))).scalar()
     tables = F.from_json("schema_snapshot", SNAPSHOT)["tables"]
     rows = sql_versions.select("sql_version_id", tables.alias("tables")).withColumns(
-        {"stored": _paths(F.col("tables")), "live": live, "live_typed": live_typed}
+        {"stored": _paths(F.col("tables")), "live": live, "live_typed": live_typed, "partial": partial}
     )
     tagged = lambda paths, kind: F.transform(
         F.array_sort(paths), lambda p: F.struct(p.alias("column_path"), F.lit(kind).alias("kind"))
     )
     added, removed = F.array_except("live", "stored"), F.array_except("stored", "live")
-    parts = [tagged(added, "added"), tagged(removed, "removed")]
-    if include_types:
-        strip = lambda paths: F.transform(paths, lambda p: F.substring_index(p, ":", 1))
-        retyped = F.array_intersect(
-            strip(F.array_except(_paths(F.col("tables"), True), "live_typed")), F.array_intersect("stored", "live")
-        )
-        parts.append(tagged(retyped, "retyped"))
+    # A type is what follows the last part of the name; names hold no colon.
+    strip = lambda paths: F.transform(paths, lambda p: F.substring_index(p, ":", 1))
+    retyped = F.array_intersect(strip(F.array_except("live_typed", _paths(F.col("tables"), True))), "stored")
+    missing = F.array_intersect("partial", "stored")
     verdict = (
         F.when(F.col("tables").isNull(), "no_snapshot")
         .when(F.size(removed) > 0, "removed_columns")
         .when(F.size(added) > 0, "new_columns")
+        .when(F.size(retyped) + F.size(missing) > 0, "unlike_files")
         .otherwise("compatible")
     )
-    drift = F.when(F.col("tables").isNotNull(), F.concat(*parts))
+    kinds = {"added": added, "removed": removed, "retyped": retyped, "missing": missing}
+    drift = F.when(F.col("tables").isNotNull(), F.concat(*[tagged(paths, kind) for kind, paths in kinds.items()]))
     return rows.select("sql_version_id", verdict.alias("verdict"), F.inline_outer(drift)).select(
         "sql_version_id", "column_path", "kind", "verdict"
     )
@@ -104,8 +107,7 @@ def schema_drift(sql_versions: DataFrame, live_columns: DataFrame, include_types
 def drift_counts(drift: DataFrame) -> DataFrame:
     return drift.groupBy("verdict").agg(
         F.countDistinct("sql_version_id").alias("versions"),
-        F.count_if(F.col("kind") == "added").alias("added"),
-        F.count_if(F.col("kind") == "removed").alias("removed"),
+        *[F.count_if(F.col("kind") == kind).alias(kind) for kind in ("added", "removed", "retyped", "missing")],
     )
 
 

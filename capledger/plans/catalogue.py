@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from capledger.operators import audit, capital, compare, hunks, registry, rule_text, rules, text
 from capledger.operators import transactions as tx
 from capledger.session import scratch_path, stage
-from capledger.sources import adapters, tables
+from capledger.sources import adapters, files, tables
 from capledger.sources.eventlog import EventLog
 from capledger.streaming import monitor
 
@@ -435,8 +435,8 @@ def _drafted_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _drift(spark: SparkSession, sf: str) -> DataFrame:
-    live = tables.frame_columns(spark, {t: tables.as_written(spark, sf, t) for t in ("events", "documents")})
-    return text.schema_drift(_drafted_sql(spark, sf), live)
+    found = files.file_columns(spark, {t: f"{sf}/{t}.parquet" for t in ("events", "documents")})
+    return text.schema_drift(_drafted_sql(spark, sf), stage(files.live_columns(found), "live_columns"))
 
 
 @query

@@ -522,7 +522,8 @@ ORACLE_SQL["schema_drift"] = f"WITH {DRIFT} SELECT sql_version_id, column_path,
 
 ORACLE_SQL["schema_drift_counts"] = f"""WITH {DRIFT}
 SELECT verdict, COUNT(DISTINCT sql_version_id) AS versions, COUNT(*) FILTER (WHERE kind = 'added') AS added,
-  COUNT(*) FILTER (WHERE kind = 'removed') AS removed
+  COUNT(*) FILTER (WHERE kind = 'removed') AS removed, COUNT(*) FILTER (WHERE kind = 'retyped') AS retyped,
+  COUNT(*) FILTER (WHERE kind = 'missing') AS missing
 FROM drift GROUP BY verdict"""
 
 ORACLE_SQL["sql_version_diff"] = r"""WITH raw AS (

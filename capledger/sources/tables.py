@@ -8,25 +8,11 @@ from pyspark.sql import types as T
 
 from capledger.schemas import COLUMN_ROWS, SOURCES, TABLES
 
-# Suffix to content type.
-CONTENT_TYPES = {
-    "pdf": "application/pdf",
-    "json": "application/json",
-    "csv": "text/csv",
-    "txt": "text/plain",
-    "sql": "application/sql",
-}
-
 
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(SOURCES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def as_written(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The table with the schema its files have now; for metadata, not for reading."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def scan_declared(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(path)
 
@@ -53,25 +39,6 @@ def browse(df: DataFrame, limit: int = 100) -> DataFrame:
     return df.orderBy(F.col(df.columns[0]).desc()).limit(limit)
 
 
-def object_listing(spark: SparkSession, path: str, with_hash: bool = True) -> DataFrame:
-    """File metadata below ``path``; without the hash no file body is opened. Spark's file
-    scan leaves out files of zero bytes."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    )
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    content_type = F.lit("application/octet-stream")
-    for known, mime in CONTENT_TYPES.items():
-        content_type = F.when(suffix == known, mime).otherwise(content_type)
-    return files.select(
-        F.col("path").alias("uri"),
-        content_type.alias("content_type"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("updated"),
-        (F.md5("content") if with_hash else F.lit(None).cast("string")).alias("md5_hash"),
-    )
-
-
 def frame_columns(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
     """Column rows (metadata only) of the given frames."""
     rows = [

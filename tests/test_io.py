@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 import os
 from decimal import Decimal
@@ -8,8 +9,9 @@ from row_lists import rows
 from pyspark.sql import functions as F
 
 from capledger import session
+from capledger.operators import text as text_ops
 from capledger.schemas import SOURCES, TABLES
-from capledger.sources import adapters, sinks, tables
+from capledger.sources import adapters, files, sinks, tables
 from capledger.workflow import Registry
 
 
@@ -61,14 +63,54 @@ def test_rerun_replaces_only_its_run(spark, folder):
 
 def test_object_listing(spark, folder):
     os.makedirs(f"{folder}/policies/v1")
-    for name, body in (("a.pdf", b"abc"), ("b.txt", b"x")):
-        with open(f"{folder}/policies/v1/{name}", "wb") as f:
+    big = 3 * files.BLOCK + 5
+    bodies = {"policies/v1/a.pdf": b"abc", "policies/v1/b.TXT": b"x", "policies/empty.csv": b"", "top": b"\x00" * big, "other/noext.": b"1"}
+    os.makedirs(f"{folder}/other/nothing")
+    for name, body in bodies.items():
+        with open(f"{folder}/{name}", "wb") as f:
             f.write(body)
-    got = {os.path.basename(r.uri): r for r in tables.object_listing(spark, folder).collect()}
-    assert got["a.pdf"].content_type == "application/pdf" and got["a.pdf"].size == 3
-    assert got["a.pdf"].md5_hash == "900150983cd24fb0d6963f7d28e17f72" and got["b.txt"].content_type == "text/plain"
-    plan = tables.object_listing(spark, folder, with_hash=False)._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[-1]
+    listing = files.object_listing(spark, folder)
+    got = {r.uri.removeprefix(f"file://{folder}/"): r for r in listing.collect()}
+    assert {k: (r.size, r.md5_hash) for k, r in got.items()} == {k: (len(b), hashlib.md5(b).hexdigest()) for k, b in bodies.items()}
+    types = {k: r.content_type for k, r in got.items()}
+    assert types["policies/v1/a.pdf"] == "application/pdf" and types["policies/v1/b.TXT"] == "text/plain" and types["top"] == files.UNKNOWN_TYPE
+    assert all(r.updated is not None for r in got.values())
+    assert listing.rdd.getNumPartitions() == 3  # the folder itself and each one below it
+    unhashed = files.object_listing(spark, f"{folder}/policies", with_hash=False).collect()
+    assert len(unhashed) == 3 and not any(r.md5_hash for r in unhashed)
+    assert files.object_listing(spark, f"{folder}/missing").count() == 0
+
+
+def test_no_body_is_read_without_the_hash(spark, folder):
+    with open(f"{folder}/x.txt", "wb") as f:
+        f.write(b"secret")
+    os.chmod(f"{folder}/x.txt", 0)
+    reader = files.ObjectReader(folder, False)
+    reader._md5 = None  # would fail when called
+    assert [r[2] for p in reader.partitions() for r in reader.read(p)] == [6]
+
+
+def test_schema_of_every_file(spark, folder):
+    spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1))], "a bigint, b string, c timestamp_ntz").write.parquet(f"{folder}/t")
+    spark.createDataFrame([(1, "a", [1.0])], "a int, b string, d array<float>").write.mode("append").parquet(f"{folder}/t")
+    spark.createDataFrame([], "e date, f decimal(18,2), g struct<x:int>").write.parquet(f"{folder}/u")
+    columns = files.file_columns(spark, {"t": f"{folder}/t", "u": f"{folder}/u"})
+    assert columns.select("file").distinct().count() == len(os.popen(f"ls {folder}/[tu]/*.parquet").read().split())
+    live = files.live_columns(columns)
+    assert rows(live.select("table_name", "column_name", "data_type", "in_all_files").where("table_name = 'u'")) == [
+        ("u", "e", "date", True), ("u", "f", "decimal(18,2)", True), ("u", "g", "struct<x:int>", True),
+    ]
+    every = {(r.column_name, r.data_type) for r in live.where("table_name = 't'").collect()}
+    assert every == {("a", "bigint"), ("a", "int"), ("b", "string"), ("c", "timestamp_ntz"), ("d", "array<float>")}
+    snapshot = {"tables": {"t": [{"column_name": n, "data_type": k} for n, k in (("a", "bigint"), ("b", "string"), ("c", "timestamp_ntz"), ("z", "int"))]}}
+    sqls = spark.createDataFrame([("S", json.dumps(snapshot))], "sql_version_id string, schema_snapshot string")
+    drift = rows(text_ops.schema_drift(sqls, live.where("table_name = 't'")).select("column_path", "kind", "verdict"))
+    assert drift == sorted([
+        ("t.d", "added", "removed_columns"), ("t.z", "removed", "removed_columns"), ("t.a", "retyped", "removed_columns"),
+        ("t.c", "missing", "removed_columns"),
+    ], key=repr)
+    merged = spark.createDataFrame([], files.FILE_COLUMNS)
+    assert files.live_columns(merged).count() == 0
 
 
 def test_catalog_columns(spark):

@@ -103,7 +103,7 @@ def test_schema_drift(spark):
         (None, None, snap(t=[("a", "int"), ("z", "int")])),
         (None, None, snap(t=[("a", "bigint"), ("b", "string")])),
     )
-    got = rows(text.schema_drift(sqls, live, include_types=True))
+    got = rows(text.schema_drift(sqls, live))
     assert got == sorted(
         [
             ("S0", None, None, "compatible"), ("S1", None, None, "no_snapshot"),
