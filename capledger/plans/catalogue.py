@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capledger.functions import scalars
 from capledger.operators import audit, capital, compare, hunks, registry, rule_text, rules, text
 from capledger.operators import transactions as tx
+from capledger.operators.ordered import union_all
 from capledger.session import scratch_path, stage
-from capledger.sources import adapters, files, tables
+from capledger.schemas import TRANSACTIONAL_TABLES
+from capledger.sources import adapters, files, sinks, tables
 from capledger.sources.eventlog import EventLog
 from capledger.streaming import monitor
 
@@ -558,3 +561,156 @@ def scored_stream(spark, sf):
     scored = monitor.score_stream(model, feed, rows, checkpoint, available_now=True)
     scored.awaitTermination()
     return spark.read.parquet(rows).select("transaction_id", "predicted_label", _coarse(), "alert")
+
+
+@query
+def fallback_feed(spark, sf):
+    """What the feed shows while there is no model."""
+    return _money(tx.feed_or_fallback(None, adapters.transactions(spark, sf)), *AMOUNTS)
+
+
+@query
+def raw_breaches(spark, sf):
+    """The newest rows of the breach sink, which have a time of their own."""
+    rows, checkpoint = _sink(spark, "raw_breaches")
+    feed = adapters.transactions_from(tables.stream(spark, sf, "events"))
+    monitor.breach_monitor(feed, rows, checkpoint, available_now=True, breached_at=F.col("transaction_time")).awaitTermination()
+    return _money(monitor.raw_fallback(spark, rows), *AMOUNTS)
+
+
+@query
+def breach_stamps(spark, sf):
+    """Every breach is stamped with the time at which it is found."""
+    stamped = tx.breaches(adapters.transactions(spark, sf), F.current_timestamp().cast("timestamp_ntz"))
+    now = F.current_timestamp().cast("timestamp_ntz")
+    return stamped.select("transaction_id", F.coalesce(F.col("breached_at") == now, F.lit(False)).alias("stamped_now"))
+
+
+# --- sources and sinks -------------------------------------------------------
+
+
+@query
+def document_intake(spark, sf):
+    """Documents as uploads: minted ids, object path, summary and progress text."""
+    docs = tables.scan(spark, sf, "documents")
+    policy = scalars.mint_id("POL-", F.col("source"), F.col("doc_id").cast("string"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))
+    rows = docs.select("doc_id", policy.alias("policy_id"), name.alias("filename"), "text")
+    rows = rows.withColumn("policy_version_id", scalars.version_id(F.col("policy_id"), F.col("filename")))
+    summary = scalars.summary_text(F.col("text"), F.concat(F.lit("Policy "), "policy_version_id", F.lit(" parsed.")))
+    return rows.select(
+        "doc_id", "policy_id", "policy_version_id", scalars.object_path(F.col("policy_version_id"), F.col("filename")).alias("gcs_uri"),
+        summary.alias("summary"), scalars.progress_text("Extraction complete: ", summary).alias("progress"),
+    )
+
+
+@query
+def unlabelled_documents(spark, sf):
+    """Documents that the label table does not know."""
+    return audit.must_exist(tables.scan(spark, sf, "documents"), tables.scan(spark, sf, "labels"), "doc_id")
+
+
+@query
+def live_schema_snapshot(spark, sf):
+    """The snapshot that a draft stores, of two tables as their files are now."""
+    found = files.file_columns(spark, {t: f"{sf}/{t}.parquet" for t in ("events", "documents")})
+    return tables.schema_snapshot(files.live_columns(found), "demo", "capital")
+
+
+@query
+def table_listing(spark, sf):
+    """The files of the given tables as an object listing: how many, and which have a body and a hash."""
+    listed = files.object_listing(spark, sf).where("uri LIKE '%/documents.parquet%' AND uri NOT LIKE '%/\\_%' AND uri NOT LIKE '%/.%'")
+    hashed = listed.where("size > 0 AND length(md5_hash) = 32 AND updated IS NOT NULL")
+    return hashed.agg((F.count("*") > 0).alias("listed"), F.max("content_type").alias("content_type"))
+
+
+@query
+def rewritten_breaches(spark, sf):
+    """A sink table refreshed, appended to and read back; a column it lacks stays NULL, one it does not know goes."""
+    path = scratch_path(spark, "rewritten")
+    found = tx.breaches(adapters.transactions(spark, sf), F.col("transaction_time"))
+    large = F.col("transaction_amount") > 2 * F.col("credit_limit")
+    sinks.refresh(found.limit(1), path, "breach_events")
+    sinks.refresh(found.where(large).withColumn("note", F.lit("dropped")), path, "breach_events")
+    sinks.append(found.where(~large).drop("cardholder_id"), path, "breach_events")
+    return _money(tables.scan_declared(spark, path, "breach_events"), *AMOUNTS)
+
+
+@query
+def reset_tables(spark, sf):
+    """Rows of the transactional tables before and after a reset."""
+    root = scratch_path(spark, "reset")
+    events = _events(spark, sf, drafts=True, staged=True)
+    runs = registry.run_state(events)
+    states = {
+        "policy_documents": registry.document_state(events), "policy_extractions": registry.extractions(events),
+        "policy_sql_versions": registry.sql_version_state(events), "report_runs": runs,
+        "rwa_report_outputs": _outputs(spark, sf, registry.allowed(runs, registry.run_gate(events))),
+    }
+    for name, state in states.items():
+        sinks.refresh(state, f"{root}/{name}", name)
+
+    def counted(column: str) -> DataFrame:
+        parts = [
+            tables.scan_declared(spark, f"{root}/{name}", name).agg(F.count("*").alias(column)).withColumn("table_name", F.lit(name))
+            for name in TRANSACTIONAL_TABLES
+        ]
+        return stage(union_all(parts), column)
+
+    before = counted("rows_before")
+    sinks.reset(spark, root)
+    return before.join(counted("rows_after"), "table_name").select("table_name", "rows_before", "rows_after")
+
+
+@query
+def derived_rwa_table(spark, sf):
+    """RWA by version as a table of the catalog."""
+    sinks.derive_table(QUERIES["rwa_by_policy_version"](spark, sf), "rwa_by_policy_version_derived")
+    return spark.table("rwa_by_policy_version_derived")
+
+
+@query
+def rerun_report_outputs(spark, sf):
+    """Outputs written twice, the first time with other amounts: the last attempt of each run counts."""
+    path = scratch_path(spark, "report_outputs")
+    outputs = stage(QUERIES["gated_report_outputs"](spark, sf), "outputs")
+    sinks.publish_outputs(outputs.withColumn("rwa_amount", F.col("rwa_amount") + 1), path)
+    sinks.publish_outputs(outputs, path)
+    return sinks.read_outputs(spark, path)
+
+
+def _exported(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """The folder of an audit export of all runs, and their lineage."""
+    root = scratch_path(spark, "audit_export")
+    events = _events(spark, sf, drafts=True, staged=True)
+    chain = stage(_chain(events), "lineage")
+    comparison = compare.rwa_comparison(_comparison(spark, sf)).withColumn("run_id", F.lit("V1-V2"))
+    sinks.export_audit(chain, registry.sql_version_state(events), comparison, root)
+    return root, chain
+
+
+@query
+def exported_lineage(spark, sf):
+    """The lineage of every run, read back from the JSON of the audit export."""
+    root, chain = _exported(spark, sf)
+    return spark.read.schema(chain.schema).json(f"{root}/lineage_metadata").select(*chain.columns)
+
+
+@query
+def exported_comparison(spark, sf):
+    """The comparison, read back from the CSV of the audit export."""
+    root, _ = _exported(spark, sf)
+    table = spark.read.option("header", True).csv(f"{root}/rwa_comparison")
+    amounts = [F.col(c).cast("double").alias(c) for c in ("rwa_baseline", "rwa_updated", "rwa_delta")]
+    return table.select("portfolio", "risk_bucket", *amounts)
+
+
+@query
+def exported_graph_lines(spark, sf):
+    """The lineage graph of the last run, written and read back as text."""
+    root, chain = _exported(spark, sf)
+    last = chain.agg(F.max("run_id")).first()[0]
+    events = _events(spark, sf, drafts=True, staged=True)
+    sinks.export_run(chain, registry.sql_version_state(events), last or "", f"{root}/one")
+    return spark.read.schema("value string").text(f"{root}/one/lineage_graph")

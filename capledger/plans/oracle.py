@@ -692,3 +692,71 @@ SELECT transaction_id, predicted_label, CAST(fraud_score AS DOUBLE) AS fraud_sco
 
 # A snapshot and its tail give what the full fold gives.
 ORACLE_SQL |= {f"{name}_from_snapshot": ORACLE_SQL[name] for name in ("document_state", "sql_version_state", "run_state")}
+
+# --- sources and sinks -------------------------------------------------------
+
+NEWEST = f"""WITH {TX}
+SELECT transaction_id, cardholder_id, {MONEY}, ts AS {{time}} FROM tx {{where}} ORDER BY ts DESC, transaction_id DESC LIMIT 10"""
+ORACLE_SQL["fallback_feed"] = NEWEST.format(time="transaction_time", where="")
+ORACLE_SQL["raw_breaches"] = NEWEST.format(time="breached_at", where="WHERE amt > lim")
+ORACLE_SQL["breach_stamps"] = f"WITH {TX} SELECT transaction_id, TRUE AS stamped_now FROM tx WHERE amt > lim"
+
+
+def _minted(prefix: str, key: str, length: int) -> str:
+    return f"'{prefix}' || upper(left(sha256({key}), {length}))"
+
+
+ORACLE_SQL["document_intake"] = f"""WITH named AS (
+  SELECT doc_id, text, doc_id || '.pdf' AS filename,
+    {_minted('POL-', "concat_ws(chr(0), source, CAST(doc_id AS VARCHAR))", 24)} AS policy_id
+  FROM documents),
+versioned AS (SELECT *, policy_id || {_minted('-V', "concat_ws(chr(0), policy_id, filename)", 16)} AS policy_version_id FROM named),
+told AS (SELECT *, coalesce(trim(text, ' '), 'Policy ' || policy_version_id || ' parsed.') AS summary FROM versioned)
+SELECT doc_id, policy_id, policy_version_id, 'policies/' || policy_version_id || '/' || filename AS gcs_uri, summary,
+  'Extraction complete: ' || left(summary, 120) AS progress
+FROM told"""
+
+ORACLE_SQL["unlabelled_documents"] = "SELECT DISTINCT doc_id FROM documents ANTI JOIN labels USING (doc_id)"
+
+
+def _column_json(columns: str) -> str:
+    rows = [c.split() for c in columns.split(", ")]
+    return "[" + ",".join(f'{{"column_name":"{c}","data_type":"{t}"}}' for c, t in rows) + "]"
+
+
+_LIVE = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+ORACLE_SQL["live_schema_snapshot"] = (
+    """SELECT '{"project":"demo","dataset":"capital","tables":{"""
+    + ",".join(f'"{t}":{_column_json(c)}' for t, c in _LIVE.items())
+    + """}}' AS schema_snapshot, CAST(count(*) AS INTEGER) AS table_count
+FROM (SELECT DISTINCT table_name FROM duckdb_columns() WHERE table_name IN ('events', 'documents'))"""
+)
+ORACLE_SQL["table_listing"] = "SELECT count(*) > 0 AS listed, 'application/octet-stream' AS content_type FROM documents"
+
+ORACLE_SQL["rewritten_breaches"] = f"""WITH {TX}
+SELECT transaction_id, CASE WHEN amt > 2 * lim THEN cardholder_id END AS cardholder_id, {MONEY}, ts AS breached_at FROM tx WHERE amt > lim"""
+
+ORACLE_SQL["reset_tables"] = f"""WITH {OUTPUTS}
+SELECT table_name, n AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM (
+  SELECT 'policy_documents' AS table_name, count(*) AS n FROM docs
+  UNION ALL SELECT 'policy_extractions', count(*) FROM ext
+  UNION ALL SELECT 'policy_sql_versions', count(*) FROM sqls
+  UNION ALL SELECT 'report_runs', count(*) FROM runs
+  UNION ALL SELECT 'rwa_report_outputs', count(*) FROM outputs WHERE run_id IN (SELECT run_id FROM gate WHERE approved))"""
+
+ORACLE_SQL["derived_rwa_table"] = ORACLE_SQL["rwa_by_policy_version"]
+ORACLE_SQL["rerun_report_outputs"] = ORACLE_SQL["gated_report_outputs"]
+ORACLE_SQL["exported_lineage"] = ORACLE_SQL["lineage_chain"]
+ORACLE_SQL["exported_comparison"] = f"""WITH {CMP}
+SELECT coalesce(portfolio, 'None') AS portfolio, coalesce(risk_bucket, 'None') AS risk_bucket, {CMP_COLUMNS} FROM cmp"""
+
+ORACLE_SQL["exported_graph_lines"] = f"""WITH {CHAIN},
+one AS (SELECT * FROM chain ORDER BY run_id DESC LIMIT 1)
+SELECT unnest(['graph LR', '    PDF[Policy PDF ' || policy_id || '] --> VER[Version ' || policy_version_id || ']',
+  '    VER --> EXT[Extraction model: ' || coalesce(model_version, 'N/A') || ']', '    EXT --> SQL[SQL ' || sql_version_id || ']',
+  '    SQL --> APPROVE[Approved by ' || coalesce(approved_by, 'N/A') || ']', '    APPROVE --> RUN[Run ' || run_id || ']',
+  '    RUN --> OUT[RWA Outputs]']) AS value
+FROM one"""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capledger.schemas import TABLES, TRANSACTIONAL_TABLES
-from capledger.session import stage
 from capledger.sources.tables import reconcile
 
 PARTITIONED = {"rwa_report_outputs": "as_of_date"}
@@ -46,24 +49,32 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files.listStatus(found) if f.isDirectory())
 
 
-def publish_outputs(outputs: DataFrame, path: str) -> None:
-    """Write report outputs by date. Writing the same run again replaces that run only: the dates it
-    is in are written anew without its old rows. One writer at a time may write a date."""
-    spark, table = outputs.sparkSession, "rwa_report_outputs"
-    new = stage(reconcile(outputs, TABLES[table]), table)
-    if not _exists(spark, path):
-        refresh(new.limit(0), path, table)
-    old = spark.read.schema(TABLES[table]).parquet(path)
-    old = old.join(new.select("as_of_date").distinct(), "as_of_date", "left_semi")
-    kept = old.join(new.select("run_id").distinct(), "run_id", "left_anti").select(*new.columns)
-    (
-        stage(kept.unionByName(new), table)
-        .repartition("as_of_date", F.pmod(F.xxhash64("run_id"), F.lit(SPREAD)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PARTITIONED[table])
-        .parquet(path)
-    )
+def publish_outputs(outputs: DataFrame, path: str, runs: DataFrame | None = None) -> None:
+    """Append report outputs as one more attempt of their runs (``run_id`` rows; those of ``outputs`` if not given).
+
+    Nothing is read or rewritten, so a rerun costs what the run costs, and writers at the same time do not disturb one
+    another, on one date neither. An attempt counts from when its runs are listed, which is written last; a write that
+    broke off leaves nothing to see. ``read_outputs`` takes the last attempt of each run.
+    """
+    attempt = f"attempt={time.time_ns():020d}-{uuid.uuid4().hex}"
+    new = reconcile(outputs, TABLES["rwa_report_outputs"])
+    day = PARTITIONED["rwa_report_outputs"]
+    spread = new.repartition(day, F.pmod(F.xxhash64("run_id"), F.lit(SPREAD)))
+    spread.write.partitionBy(day).parquet(f"{path}/rows/{attempt}")
+    if runs is None:
+        runs = outputs.sparkSession.read.schema("run_id string").parquet(f"{path}/rows/{attempt}")
+    runs.select("run_id").distinct().write.parquet(f"{path}/attempts/{attempt}")
+
+
+def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """Report outputs: the rows of each run's last attempt. Filters on date and run reach the scan of the rows."""
+    schema = TABLES["rwa_report_outputs"]
+    if not folders(spark, f"{path}/attempts"):
+        return spark.createDataFrame([], schema)
+    attempts = spark.read.schema("run_id string, attempt string").parquet(f"{path}/attempts")
+    last = attempts.groupBy("run_id").agg(F.max("attempt").alias("attempt"))
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("attempt", T.StringType())])).parquet(f"{path}/rows")
+    return rows.join(last, ["run_id", "attempt"], "left_semi").select(*schema.names)
 
 
 def derive_table(df: DataFrame, table: str) -> None:

@@ -18,7 +18,6 @@ from capledger.schemas import TABLES
 from capledger.session import stage
 from capledger.sources import sinks
 from capledger.sources.eventlog import EventLog
-from capledger.sources.tables import scan_declared
 
 RULE_COLUMNS = [
     "sql_version_id", "policy_version", "kind", "asset_class", "risk_bucket", "risk_weight", "min_amount",
@@ -36,9 +35,8 @@ class Registry:
         return f"{self.root}/{table}"
 
     def initialise(self) -> None:
-        """Empty tables with their schemas."""
+        """An event table without events."""
         self.log.append(self.spark.createDataFrame([], TABLES["registry_events"]), "0")
-        sinks.refresh(self.spark.createDataFrame([], TABLES["rwa_report_outputs"]), self._path("rwa_report_outputs"), "rwa_report_outputs")
 
     def _append(self, df: DataFrame, event_type: str, at: datetime, payload: Column | None = None) -> None:
         when = F.lit(at).cast("timestamp_ntz")
@@ -66,7 +64,7 @@ class Registry:
         return self.log.state("runs")
 
     def outputs(self) -> DataFrame:
-        return scan_declared(self.spark, self._path("rwa_report_outputs"), "rwa_report_outputs")
+        return sinks.read_outputs(self.spark, self._path("rwa_report_outputs"))
 
     def rule_rows(self) -> DataFrame:
         return self.spark.read.parquet(self._path("rule_rows"))
@@ -199,7 +197,7 @@ class Registry:
             cells, failures = rule_text.run_texts(stage(versions.join(drafts, "sql_version_id", "left"), "approved_texts"), relations)
             done = allowed.join(failures.select("sql_version_id"), "sql_version_id", "left_anti")
             outputs = registry.stamp_outputs(done, cells, F.col("sql_version_id"), when).drop("rwa_exact")
-            sinks.publish_outputs(outputs, self._path("rwa_report_outputs"))
+            sinks.publish_outputs(outputs, self._path("rwa_report_outputs"), done)
         except Exception:
             ended(runs, "failed", F.lit(None).cast("string"))
             raise

@@ -51,14 +51,34 @@ def test_rerun_replaces_only_its_run(spark, folder):
         )
 
     sinks.publish_outputs(outputs("r1", 1.0).unionByName(outputs("r2", 2.0)), path)
+    before = set(os.listdir(f"{path}/rows"))
     sinks.publish_outputs(outputs("r1", 5.0), path)
     sinks.publish_outputs(outputs("r1", 5.0), path)
-    got = tables.scan_declared(spark, path, "rwa_report_outputs")
+    assert before < set(os.listdir(f"{path}/rows"))  # nothing is rewritten
+    got = sinks.read_outputs(spark, path)
     assert rows(got.select("run_id", "rwa_amount")) == [("r1", 5.0), ("r2", 2.0)]
     plan = got.where("run_id = 'r1'")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(run_id), EqualTo(run_id,r1)]" in plan
     dated = got.where("as_of_date = DATE'2024-01-01'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(as_of_date" in dated
+    # A rerun without rows takes the old ones away; another date does not keep them; an unlisted attempt is not seen.
+    sinks.publish_outputs(outputs("r1", 9.0).limit(0), path, spark.createDataFrame([("r1",)], "run_id string"))
+    assert rows(sinks.read_outputs(spark, path).select("run_id")) == [("r2",)]
+    sinks.publish_outputs(outputs("r2", 7.0).withColumn("as_of_date", F.lit(dt.date(2024, 2, 2))), path)
+    outputs("r3", 1.0).write.partitionBy("as_of_date").parquet(f"{path}/rows/attempt=99999999999999999999-x")
+    assert rows(sinks.read_outputs(spark, path).select("run_id", "rwa_amount", "as_of_date")) == [("r2", 7.0, dt.date(2024, 2, 2))]
+
+
+def test_writers_of_one_date_lose_nothing(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def publish(i):
+        frame = spark.createDataFrame([("P", "Low", float(i), dt.date(2024, 1, 1), f"r{i}", "p", "p-V1", "s")], TABLES["rwa_report_outputs"])
+        sinks.publish_outputs(frame, f"{folder}/o")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(publish, range(8)))
+    assert rows(sinks.read_outputs(spark, f"{folder}/o").select("run_id")) == [(f"r{i}",) for i in range(8)]
 
 
 def test_object_listing(spark, folder):
