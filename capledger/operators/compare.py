@@ -212,6 +212,14 @@ def delta_drivers(cells: DataFrame) -> DataFrame:
     )
 
 
+def top_drivers(cells: DataFrame, most: int = 3) -> DataFrame:
+    """The ``most`` cells of each pair that change most, ties by portfolio and bucket; each task hands on no more than
+    so many of a pair."""
+    order = Window.partitionBy(*PAIR).orderBy(F.desc(F.abs("delta")), *CELL)
+    ranked = cells.select(*PAIR, *CELL, "delta", F.row_number().over(order).alias("nth")).where(F.col("nth") <= most)
+    return ranked.select(*PAIR, *CELL, dbl("delta").alias("rwa_delta"), "nth")
+
+
 def bucket_sensitivity(cells: DataFrame) -> DataFrame:
     by_bucket = cells.groupBy(*PAIR, "risk_bucket").agg(
         *[F.sum(c).cast(EXACT).alias(c) for c in ("baseline", "updated", "delta")]

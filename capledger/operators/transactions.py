@@ -92,6 +92,15 @@ def score(model: PipelineModel, transactions: DataFrame) -> DataFrame:
     )
 
 
+def class_probabilities(model: PipelineModel, transactions: DataFrame) -> DataFrame:
+    """``transaction_id, ordinary, fraud``: the probability of either class; NULL without amount or limit."""
+    known = F.col(FEATURES[0]).isNotNull() & F.col(FEATURES[1]).isNotNull()
+    both = vector_to_array("probability")
+    return model.transform(transactions).select(
+        "transaction_id", F.when(known, both[0]).alias("ordinary"), F.when(known, both[1]).alias("fraud")
+    )
+
+
 def scored_feed(model: PipelineModel, transactions: DataFrame, limit: int = 30) -> DataFrame:
     """Latest transactions with their score; only those are scored."""
     newest = transactions.orderBy(F.desc("transaction_time"), F.desc("transaction_id")).limit(limit)

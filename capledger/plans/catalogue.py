@@ -189,6 +189,11 @@ def run_pair_drivers(spark, sf):
     return _by_run(spark, sf, compare.delta_drivers)
 
 
+@query
+def run_pair_top_drivers(spark, sf):
+    return _by_run(spark, sf, compare.top_drivers)
+
+
 @query
 def run_pair_sensitivity(spark, sf):
     return _by_run(spark, sf, compare.bucket_sensitivity)
@@ -464,7 +469,7 @@ def sql_version_hunks(spark, sf):
 
 @query
 def clause_table(spark, sf):
-    return text.clause_table(_drafted_sql(spark, sf)).select("sql_version_id", "clause_id", "clause_type", "origin")
+    return text.clause_table(_drafted_sql(spark, sf))
 
 
 @query
@@ -537,6 +542,13 @@ def fraud_scores(spark, sf):
     return _money(scored, *AMOUNTS).select("transaction_id", *AMOUNTS, "predicted_label", _coarse(), "alert")
 
 
+@query
+def class_probabilities(spark, sf):
+    swipes = adapters.transactions(spark, sf)
+    both = tx.class_probabilities(tx.train(swipes), swipes)
+    return both.select("transaction_id", F.round("ordinary", 2).alias("ordinary"), F.round("fraud", 2).alias("fraud"))
+
+
 @query
 def scored_feed(spark, sf):
     swipes = adapters.transactions(spark, sf)

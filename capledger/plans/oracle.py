@@ -365,6 +365,11 @@ SELECT p.policy_id, p.run_a, p.run_b, p.portfolio, p.risk_bucket, {_dbl('p.delta
   RANK() OVER (PARTITION BY p.run_a, p.run_b ORDER BY ABS(p.delta) DESC) AS rnk
 FROM paired p JOIN pair_total t ON t.run_a = p.run_a AND t.run_b = p.run_b"""
 
+ORACLE_SQL["run_pair_top_drivers"] = f"""WITH {BY_PAIR}
+SELECT policy_id, run_a, run_b, portfolio, risk_bucket, {_dbl('delta')} AS rwa_delta,
+  CAST(row_number() OVER (PARTITION BY run_a, run_b ORDER BY abs(delta) DESC, portfolio, risk_bucket) AS INTEGER) AS nth
+FROM paired QUALIFY nth <= 3"""
+
 ORACLE_SQL["run_pair_sensitivity"] = f"""WITH {BY_PAIR},
 bucket AS (
   SELECT policy_id, run_a, run_b, risk_bucket, SUM(base) AS base, SUM(upd) AS upd, SUM(delta) AS delta FROM paired GROUP BY ALL)
@@ -592,20 +597,21 @@ c AS (
     CASE WHEN k % 11 <> 0 THEN 'V2-C' || (k % 13) END AS id2
   FROM sqls),
 cited AS (
-  SELECT sql_version_id, id1 AS cid, CASE WHEN k % 7 <> 0 THEN k % 5 ELSE 4 END AS t FROM c WHERE k % 25 <> 24
-  UNION ALL SELECT sql_version_id, id2, (k + 1) % 5 FROM c WHERE k % 25 <> 24 AND k % 2 = 0),
+  SELECT sql_version_id, k, id1 AS cid, CASE WHEN k % 7 <> 0 THEN k % 5 ELSE 4 END AS t FROM c WHERE k % 25 <> 24
+  UNION ALL SELECT sql_version_id, k, id2, (k + 1) % 5 FROM c WHERE k % 25 <> 24 AND k % 2 = 0),
 clauses AS (
   SELECT sql_version_id, COALESCE(cid, '?') AS clause_id,
     CASE t WHEN 0 THEN 'Threshold' WHEN 1 THEN 'Mapping' WHEN 2 THEN 'Calculation' WHEN 3 THEN 'Exclusion'
       ELSE 'Definition' END AS clause_type,
-    CASE WHEN cid LIKE 'V1-%' THEN 'Initial' WHEN cid LIKE 'V2-%' THEN 'Update' ELSE 'Unversioned' END AS origin
+    CASE WHEN cid LIKE 'V1-%' THEN 'Initial' WHEN cid LIKE 'V2-%' THEN 'Update' ELSE 'Unversioned' END AS origin,
+    'weight rule ' || k AS clause_text, 'weights' AS sql_section
   FROM cited),
 commented AS (
   SELECT sql_version_id, id1 AS cid FROM c WHERE k % 4 <> 1
   UNION ALL SELECT sql_version_id, 'C77' FROM c WHERE k % 6 = 0
   UNION ALL SELECT sql_version_id, id2 FROM c WHERE k % 2 = 0 AND k % 11 <> 0)"""
 
-ORACLE_SQL["clause_table"] = f"WITH {CLAUSES} SELECT sql_version_id, clause_id, clause_type, origin FROM clauses"
+ORACLE_SQL["clause_table"] = f"WITH {CLAUSES} SELECT * FROM clauses"
 
 ORACLE_SQL["clause_type_counts"] = f"""WITH {CLAUSES}
 SELECT clause_type, origin, COUNT(*) AS n FROM clauses GROUP BY clause_type, origin"""
@@ -678,6 +684,9 @@ marked AS (
 ORACLE_SQL["fraud_scores"] = f"""WITH RECURSIVE {FIT}
 SELECT transaction_id, {MONEY}, predicted_label, CAST(fraud_score AS DOUBLE) AS fraud_score, alert FROM marked"""
 
+ORACLE_SQL["class_probabilities"] = f"""WITH RECURSIVE {FIT}
+SELECT transaction_id, round(1 - p, 2) AS ordinary, round(p, 2) AS fraud FROM scored"""
+
 ORACLE_SQL["scored_feed"] = f"""WITH RECURSIVE {FIT}
 SELECT transaction_id, cardholder_id, {MONEY}, ts AS transaction_time, predicted_label,
   CAST(fraud_score AS DOUBLE) AS fraud_score, alert

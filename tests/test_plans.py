@@ -72,3 +72,9 @@ def test_drift_and_traceability_shuffle_only_for_the_fold(spark, sf, monkeypatch
 def test_rule_texts_are_not_built_when_not_asked_for(spark, sf):
     assert "clause_citations" not in plan(catalogue._events(spark, sf))
     assert "clause_citations" in plan(catalogue._events(spark, sf, drafts=True))
+
+
+def test_top_drivers_are_limited_before_the_shuffle(spark):
+    cells = spark.createDataFrame([], "policy_id string, run_a string, run_b string, portfolio string, risk_bucket string, delta decimal(34,8)")
+    text = plan(compare.top_drivers(cells.repartition(4)))
+    assert text.index("WindowGroupLimit") != text.rindex("WindowGroupLimit") and "Partial" in text
