@@ -177,17 +177,14 @@ def may_link(stars: DataFrame, texts: DataFrame, threshold: float, size: int) ->
     rows = rows.select("_hub", "_node", "_own", "_hub_text", "_text")
     schema = "_hub binary, _node binary, _own binary, _whole long, _lost long, _new long, _marks array<long>"
     found = stage(rows.mapInArrow(_differ(size), schema), "differences")
-    deficit = t * (F.col("_whole") + F.col("_new")) - F.col("_whole") + F.col("_lost")
     shared = found.select("_hub", F.explode("_marks").alias("_mark")).groupBy(F.col("_hub").alias("_h"), F.col("_mark").alias("_m")).agg(F.count("*").alias("_n"))
-    numbers = found.withColumns({"_deficit": deficit, "_all": F.size("_marks")}).drop("_marks")
-    marks = found.select("_hub", "_node", F.explode("_marks").alias("_mark"))
-    marks = marks.join(shared.where("_n > 1"), (F.col("_hub") == F.col("_h")) & (F.col("_mark") == F.col("_m"))).select("_hub", "_node", "_mark", "_n")
-    behind = F.row_number().over(Window.partitionBy("_hub", "_node").orderBy(F.desc("_n"), F.desc("_mark")))
+    marks = found.select("_hub", "_node", "_own", "_whole", "_lost", "_new", F.explode("_marks").alias("_mark"))
+    marks = marks.join(shared.where("_n > 1"), (F.col("_hub") == F.col("_h")) & (F.col("_mark") == F.col("_m"))).drop("_h", "_m")
     # How many differences follow in the order, this one included.
-    placed = marks.withColumn("_behind", behind).drop("_n").withColumnsRenamed({"_hub": "_h", "_node": "_w"})
-    placed = numbers.join(placed, (F.col("_hub") == F.col("_h")) & (F.col("_node") == F.col("_w")))
-    least = F.greatest((t * F.col("_new") + F.col("_lost")) / (1 + t), F.col("_deficit"))
-    placed = stage(placed.select("_hub", "_mark", "_node", "_own", "_whole", "_lost", "_new", "_deficit", "_behind", least.alias("_least")), "marks")
+    behind = F.row_number().over(Window.partitionBy("_hub", "_node").orderBy(F.desc("_n"), F.desc("_mark")))
+    deficit = t * (F.col("_whole") + F.col("_new")) - F.col("_whole") + F.col("_lost")
+    least = F.greatest((t * F.col("_new") + F.col("_lost")) / (1 + t), deficit)
+    placed = stage(marks.withColumns({"_behind": behind, "_deficit": deficit, "_least": least}).drop("_n", "_whole"), "marks")
     slack = F.lit(1e-9)
     far = placed.where((F.col("_deficit") > slack) & (F.col("_behind") >= F.col("_deficit") - slack))
     near = placed.where(F.col("_behind") >= F.col("_least") - slack).select(
@@ -230,10 +227,10 @@ def _stars(members: DataFrame) -> DataFrame:
 def near_links(signed: DataFrame, docs: DataFrame, text: str, threshold: float, size: int) -> DataFrame:
     """Components of the texts that a band brings together and whose overlap reaches the threshold: ``_node, _own``.
 
-    Every text of a bucket is compared with one of them, drawn anew for each bucket. A bucket whose texts are in
-    one component by then is done, for a pair inside a component needs no link of its own. In the others,
-    texts are compared with the one that has the most links so far. In buckets that still hold several components, the pairs
-    that may link them come from ``may_link``.
+    Every text of a bucket is compared with one of them, drawn anew for each bucket. A bucket whose texts all link with it
+    is done, for a pair inside a component needs no link of its own. In the others, texts are compared with the one
+    that has the most links so far. In buckets that then hold several components, the pairs that may link them come from
+    ``may_link``.
     """
     once = stage(signed.groupBy("_node").agg(F.first("_bands").alias("_bands")), "signed-texts")
     placed = once.select("_node", F.explode("_bands").alias("_key"))
@@ -248,11 +245,12 @@ def near_links(signed: DataFrame, docs: DataFrame, text: str, threshold: float,
         "candidate-texts",
     )
     measured = verify(_stars(shared), texts, size)
-    found = _joined(measured, threshold)
 
-    linked = measured.where(_linked(threshold))
+    linked = measured.where(_linked(threshold)).select("a", "b")
+    apart = shared.where("_node <> _hub").withColumns({"a": F.least("_hub", "_node"), "b": F.greatest("_hub", "_node")}).join(linked, ["a", "b"], "left_anti")
+    open_ = apart.select(F.col("_key").alias("_k")).distinct()
     ends = linked.select(F.explode(F.array("a", "b")).alias("_node")).groupBy("_node").agg(F.count("*").alias("_links"))
-    left = stage(_still_open(shared, found).select("_key", "_node"), "open-buckets")
+    left = stage(shared.join(open_, F.col("_key") == F.col("_k"), "left_semi").select("_key", "_node"), "open-buckets")
     most = F.max_by("_node", F.struct(F.coalesce("_links", F.lit(0)), "_node"))
     hubs = left.join(ends, "_node", "left").groupBy(F.col("_key").alias("_k")).agg(most.alias("_hub"))
     left = stage(left.join(hubs, F.col("_key") == F.col("_k")).select("_key", "_node", "_hub"), "open-buckets")
@@ -264,8 +262,14 @@ def near_links(signed: DataFrame, docs: DataFrame, text: str, threshold: float,
     last = verify(rest, texts, size).where(_linked(threshold))
     if last.isEmpty():
         return found
-    chains = found.select(F.col("_node").alias("u"), F.col("_own").alias("v"))
-    return components(chains.unionByName(last.select(F.col("a").alias("u"), F.col("b").alias("v")))).toDF("_node", "_own")
+    # Components of components: what a link joins are the classes of its ends.
+    owner = lambda side: found.select(F.col("_node").alias(side), F.col("_own").alias(f"_{side}"))
+    classes = last.select("a", "b").join(owner("a"), "a", "left").join(owner("b"), "b", "left")
+    joined = components(classes.select(F.coalesce("_a", "a").alias("u"), F.coalesce("_b", "b").alias("v"))).toDF("_was", "_own")
+    joined = stage(joined, "joined-classes")
+    moved = found.withColumnRenamed("_own", "_was").join(joined, "_was", "left").select("_node", F.coalesce("_own", "_was").alias("_own"))
+    alone = joined.withColumnRenamed("_was", "_node").join(found, "_node", "left_anti")
+    return moved.unionByName(alone.select("_node", "_own"))
 
 
 def _still_open(buckets: DataFrame, found: DataFrame) -> DataFrame:
