@@ -15,8 +15,9 @@ from capledger.session import scratch_path, stage
 
 # A rule list of at most this many bytes of strings is shipped whole to every executor.
 LIST_BYTES = 64 << 20
-# Beyond it, the list is cut into digest ranges of about this many rules.
-SHARD_RULES = 1 << 20
+# Beyond it, list and candidates are cut into digest ranges of about this many rules or distinct candidates, whichever
+# are more.
+SHARD_ROWS = 1 << 20
 
 
 def rule_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -146,7 +147,8 @@ def _probe_shard(key: tuple, rules: pa.Table, keys: pa.Table) -> pa.Table:
 
 
 def judge_urls(
-    pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", list_bytes: int = LIST_BYTES
+    pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", list_bytes: int = LIST_BYTES,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """Per input row: ``key, host, path, rule, verdict``.
 
@@ -175,8 +177,8 @@ def judge_urls(
             _probe_mapped(name), schema
         )
     else:
-        shards = -(-size[1] // SHARD_RULES)
-        distinct = rows.select(F.explode("_keys").alias("_key")).distinct().withColumn("_digest", F.xxhash64("_key"))
+        distinct = stage(rows.select(F.explode("_keys").alias("_key")).distinct().withColumn("_digest", F.xxhash64("_key")), "candidates")
+        shards = -(-max(size[1], distinct.count()) // shard_rows)
         hits = (
             listed.groupBy(F.pmod("digest", F.lit(shards)).alias("_range"))
             .cogroup(distinct.groupBy(F.pmod("_digest", F.lit(shards)).alias("_range")))
