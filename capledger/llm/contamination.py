@@ -145,12 +145,23 @@ def proximity_matches(
     docs: DataFrame, benchmark: DataFrame, slop: int, key: str = "doc_id", text: str = "text", item: str = "item_id",
     item_text: str = "text", window: int = WINDOW,
 ) -> DataFrame:
-    """``key, item, phrase, start`` wherever the two rarest terms of a phrase stand within ``slop`` words of their
-    distance in the phrase; exact occurrences are among them."""
+    """``key, item, phrase, start`` wherever every word of a phrase stands within ``slop`` words of its place behind ``start``;
+    exact occurrences are among them. Candidates come from the lists of the two rarest terms; the words of the
+    document decide."""
     phrases = stage(windows(benchmark, item, item_text, window), "phrases")
     anchors = stage(rarest_terms(docs, phrases, key, text), "anchors")
-    near = intersect(postings(docs, anchors, key, text), anchors, slop)
-    return near.join(phrases.select("phrase", F.explode("items").alias("item")), "phrase").select(
+    near = stage(intersect(postings(docs, anchors, key, text), anchors, slop), "near-candidates")
+    near = near.withColumnsRenamed({"_doc": "_d", "_body": "_b"})
+    same = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_body") == F.col("_b"))
+    rows = _corpus(docs, key, text).distinct().join(small(near), same)
+
+    def stands(term: Column, at: Column) -> Column:
+        first, end = F.greatest(F.col("start") + at - slop, F.lit(0)), F.col("start") + at + slop + 1
+        return F.array_contains(F.slice("_words", first + 1, F.greatest(end - first, F.lit(0))), term)
+
+    places = F.transform(F.split("phrase", " "), lambda term, at: stands(term, at))
+    found = rows.where(F.forall(places, lambda x: x)).select("_doc", "phrase", "start").distinct()
+    return found.join(phrases.select("phrase", F.explode("items").alias("item")), "phrase").select(
         F.col("_doc").alias(key), "item", "phrase", "start"
     )
 
