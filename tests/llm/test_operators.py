@@ -127,7 +127,14 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c x d e"), (2, "a b c d e"), (3, "e d c b a z z z")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "b c d")], "item_id long, text string")
     exact_, near_ = (listed(contamination.proximity_matches(docs, items, s).select("doc_id", "item")) for s in (0, 1))
-    assert (2, "9") in exact_ and (1, "9") in near_ and (2, "9") in near_
+    assert exact_ == [(2, "9")] and {r for r in near_} == {(1, "9"), (2, "9")}
+
+
+def test_proximity_needs_every_word(spark):
+    docs = spark.createDataFrame([(1, "alpha zzz zzz zzz beta zzz"), (2, "q alpha b x c d beta f"), (3, "alpha c b d beta f"), (None, "alpha b c d beta f")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "alpha b c d beta f")], "item_id long, text string")
+    got = {s: sorted({r.doc_id for r in contamination.proximity_matches(docs, items, s).collect()}, key=repr) for s in (0, 1, 2)}
+    assert got == {0: [None], 1: [2, 3, None], 2: [2, 3, None]}
 
 
 # lines
@@ -447,7 +454,7 @@ HARD = [
 def test_urls(spark, list_bytes):
     rows = [(i, u, "x") for i, u in enumerate(HARD)] + [(None, HARD[5], "x")] * 2
     pages = spark.createDataFrame(rows, "page_id long, url string, verdict string")
-    got = listed(urls.judge_urls(pages, urls.rule_frame(spark, URL_RULES), list_bytes=list_bytes))
+    got = listed(urls.judge_urls(pages, urls.rule_frame(spark, URL_RULES), list_bytes=list_bytes, shard_rows=3))
     assert got == sorted(((i, *brute.judge(u)) for i, u, _ in rows), key=repr)
     assert urls.judge_urls(pages.limit(0), urls.rule_frame(spark, URL_RULES), list_bytes=list_bytes).count() == 0
 
@@ -478,3 +485,38 @@ def test_empty_tables(spark, empty, model):
     ):
         assert df.count() == 0
     assert toxicity.language_model(toxicity.letter_counts(empty)).shape == (27**3, 27)
+
+
+def test_texts_below_the_threshold_make_few_pairs(spark):
+    """Many texts around one base: those that link with no hub are compared by what they share beyond it, not with all."""
+    rng = random.Random(13)
+    words = sentence(rng, 160).split()
+
+    def edited(n):
+        w = list(words)
+        for at in rng.sample(range(len(w)), n):
+            w[at] = f"edit{rng.randrange(10**9)}"
+        return " ".join(w)
+
+    rows = [(i, edited(rng.randint(0, 3) if i % 2 else rng.randint(4, 6))) for i in range(700)]
+    # Two that link with each other through edits they share, though not with the hub.
+    own = list(words)
+    for at in range(3, 150, 12):
+        own[at] = f"own{at}"
+    rows += [(1000, " ".join(own)), (1001, " ".join(own[:-3] + ["x", "y", "z"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bodies = df.selectExpr("unhex(md5(text)) AS _node", "text AS _text").distinct()
+    hub = df.where("doc_id = 1").selectExpr("unhex(md5(text)) AS _node").first()._node
+    stars = bodies.where(F.col("_node") != F.lit(bytes(hub))).withColumn("_hub", F.lit(bytes(hub))).withColumn("_own", F.col("_node")).select("_hub", "_node", "_own")
+    pairs = near.may_link(stars, bodies, 0.8, 5)
+    bags = {bytes(r._node): brute.bag(r._text) for r in bodies.collect()}
+    base, found = bags[bytes(hub)], {(bytes(r.a), bytes(r.b)) for r in pairs.collect()}
+
+    def similar(x, y):
+        return brute.similarity(x, y) >= 0.8 - 1e-12
+
+    nodes = sorted(n for n in bags if n != bytes(hub))
+    apart = {n for n in nodes if not similar(bags[n], base)}
+    linked = {(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if (a in apart or b in apart) and similar(bags[a], bags[b])}
+    assert len(apart) > 200 and len(linked) >= 1
+    assert linked <= found and len(found) * 8 < len(nodes) * (len(nodes) - 1) / 2
