@@ -78,9 +78,11 @@ def postings(docs: DataFrame, anchors: DataFrame, key: str = "doc_id", text: str
 
 def intersect(index: DataFrame, anchors: DataFrame, slop: int = 0) -> DataFrame:
     """Documents and starts where the two rarest terms of a phrase stand at their offsets: ``phrase, n, _doc,
-    _body, start``; with ``slop``, where their distance is off by at most so many words."""
+    _body, start``; with ``slop``, all starts from which both are at most so many words off their places."""
+    exact = F.col("pos") - F.col("off1")
     first = index.join(small(anchors), F.col("term") == F.col("term1")).select(
-        "phrase", "n", "_doc", "_body", "term2", "off2", (F.col("pos") - F.col("off1")).alias("start")
+        "phrase", "n", "_doc", "_body", "term2", "off2",
+        (F.explode(F.sequence(exact - slop, exact + slop)) if slop else exact).alias("start"),
     )
     single = first.where(F.col("term2").isNull() & (F.col("start") >= 0))
     pairs = first.where(F.col("term2").isNotNull() & (F.col("start") >= F.lit(-slop)))
