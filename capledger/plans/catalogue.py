@@ -678,7 +678,7 @@ def reset_tables(spark, sf):
 @query
 def derived_rwa_table(spark, sf):
     """RWA by version as a table of the catalog."""
-    sinks.derive_table(QUERIES["rwa_by_policy_version"](spark, sf), "rwa_by_policy_version_derived")
+    sinks.derive_table(QUERIES["rwa_by_policy_version"](spark, sf), "rwa_by_policy_version_derived", scratch_path(spark, "derived"))
     return spark.table("rwa_by_policy_version_derived")
 
 

@@ -77,8 +77,10 @@ def read_outputs(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(last, ["run_id", "attempt"], "left_semi").select(*schema.names)
 
 
-def derive_table(df: DataFrame, table: str) -> None:
-    df.write.mode("overwrite").saveAsTable(table)
+def derive_table(df: DataFrame, table: str, path: str | None = None) -> None:
+    """A catalog table from a frame; at ``path``, or in the warehouse if not given."""
+    writer = df.write.mode("overwrite")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
 # Fields of the run summary.
