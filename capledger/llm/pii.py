@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capledger.llm.boosting import Trees, fit
+from capledger.llm.boosting import TREES, Trees, fit, matrix, placed, quantile_cuts
 from capledger.llm.shingles import slices
+from capledger.operators.ordered import running
 from capledger.session import stage
 
 # Kinds in the order of listing, and the shapes of the base spans.
@@ -34,11 +35,7 @@ WIDE = (
     (3, DIGIT, re.compile(r"(?<![0-9])(?:\+|00)?[(]?[0-9]{1,4}[)]?(?:[ ./-]{1,2}[(]?[0-9]{2,4}[)]?){1,4}(?![0-9])")),
 )
 
-# The sample that the trees learn from: about so many documents, chosen by a hash of the text.
-SAMPLE_DOCUMENTS = 20_000
-# Their candidates that come to the driver, at most.
-EXAMPLES = 100_000
-# A kind's threshold is the least one with this precision on the part of the sample that was held out.
+# A kind's threshold is the least one with this precision on the texts that were held out.
 PRECISION = 0.98
 
 Span = tuple[int, int, int]
@@ -182,38 +179,51 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         rows.append(describe(text, span))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([p[0] for p in place], pa.int64()), pa.array([p[1] for p in place], pa.int32()), pa.array(label, pa.int32()),
+                pa.array([p[0] for p in place], pa.binary()), pa.array([p[1] for p in place], pa.int32()), pa.array(label, pa.int32()),
                 pa.array(rows, pa.list_(pa.float64())),
             ],
             names=["_order", "nth", "label", "x"],
         )
 
 
-def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCUMENTS, most: int = EXAMPLES) -> Selector:
-    """Fit trees and thresholds on candidates of ``sample`` distinct texts, the ones of least hash, ``most`` candidates at most.
+def _probability(trees: Trees, width: int):
+    def probability(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = trees.probability(matrix(batch.column("x"), width))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("label"), batch.column("n"), pa.array(p)], names=["kind", "label", "n", "p"])
+
+    return probability
+
+
+def _thresholds(held: DataFrame, trees: Trees, width: int) -> tuple[float, ...]:
+    """Per kind the least probability, 0.5 at least, from which on upwards so many held-out candidates are good as ``PRECISION`` asks."""
+    scored = held.select("kind", "label", "n", "x").mapInArrow(_probability(trees, width), "kind int, label int, n long, p double")
+    levels = scored.groupBy("kind", (-F.col("p")).alias("down")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("good"))
+    above = running(levels, ["kind"], ["down"], {"all_above": ("sum", F.col("n")), "good_above": ("sum", F.col("good"))})
+    enough = above.where(F.col("good_above") / F.col("all_above") >= PRECISION)
+    least = {r["kind"]: -r["down"] for r in enough.groupBy("kind").agg(F.max("down").alias("down")).collect()}
+    return tuple(max(least[k], 0.5) if k in least else float("inf") for k in range(len(KINDS)))
+
+
+def learn(docs: DataFrame, text: str = "text", trees: int = TREES) -> Selector:
+    """Fit trees and thresholds on the candidates of all distinct texts.
 
     Base spans are the positive examples, candidates that fail their kind's check the negative ones;
-    candidates of other forms have no known answer and are what the trees decide. A fifth of the texts
-    is held out to set each kind's threshold; a kind without positive examples there adds nothing.
+    candidates of other forms have no known answer and are what the trees decide. A fifth of the texts, by their
+    digest, is held out to set each kind's threshold; a kind without positive examples there adds nothing. Examples stay
+    tables: equal ones are counted, and what comes to the driver are cuts, sums by node, feature and bin, and thresholds.
     """
-    rows = docs.select(F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_order")).where("_text IS NOT NULL")
-    least = stage(rows.select("_order").distinct().orderBy("_order").limit(sample), "pii-sample")
-    chosen = rows.join(F.broadcast(least), "_order", "left_semi").groupBy("_order").agg(F.first("_text").alias("_text"))
-    made = chosen.mapInArrow(_examples, "_order long, nth int, label int, x array<double>")
-    found = stage(made.orderBy("_order", "nth").limit(most).withColumn("fold", F.pmod("_order", F.lit(5))), "pii-examples").toPandas()
+    rows = docs.select(F.col(text).alias("_text"), F.unhex(F.md5(F.col(text))).alias("_order")).where("_text IS NOT NULL")
+    made = rows.mapInArrow(_examples, "_order binary, nth int, label int, x array<double>")
+    once = made.groupBy("_order", "nth").agg(F.first("label").alias("label"), F.first("x").alias("x"))
+    held = (F.pmod(F.xxhash64("_order"), F.lit(5)) == 0).alias("held")
+    counted = once.select("x", "label", held).groupBy("x", "label", "held").agg(F.count("*").alias("n"))
+    examples = stage(counted.withColumn("kind", F.col("x")[0].cast("int")), "pii-examples")
     width = len(describe("", (0, 0, 0)))
-    x = np.array(found["x"].tolist(), dtype=np.float64).reshape(-1, width)
-    y, fold = found["label"].to_numpy(dtype=np.float64), found["fold"].to_numpy()
-    trees = fit(x[fold != 0], y[fold != 0])
-    thresholds = []
-    for kind in range(len(KINDS)):
-        at = (fold == 0) & (x[:, 0] == kind)
-        p, good = trees.probability(x[at]), y[at]
-        order_ = np.argsort(-p, kind="stable")
-        precision = np.cumsum(good[order_]) / np.arange(1, len(order_) + 1)
-        enough = np.flatnonzero(precision >= PRECISION)
-        thresholds.append(float(max(p[order_][enough[-1]], 0.5)) if len(enough) and good.any() else float("inf"))
-    return Selector(trees, tuple(thresholds))
+    cuts = quantile_cuts(examples.where("NOT held"), width)
+    vectors = stage(placed(examples, cuts), "pii-vectors")
+    real, binned = fit(vectors.where("NOT held"), cuts, trees)
+    return Selector(real, _thresholds(vectors.where("held"), binned, width))
 
 
 def listed(spans: list[Span]) -> str:

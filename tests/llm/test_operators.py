@@ -11,8 +11,9 @@ import pytest
 from messy_docs import sentence
 from pyspark.sql import functions as F
 
-from capledger.llm import contamination, exact, graph, language, lines, near, packing, pii, sharding, toxicity, urls
+from capledger.llm import boosting, contamination, exact, graph, language, lines, near, packing, pii, sharding, toxicity, urls
 from capledger.llm.queries import URL_RULES
+from capledger.session import stage
 
 
 def listed(df):
@@ -340,6 +341,52 @@ def test_pii_adds_spans_and_keeps_base(spark, sf, messy, pairs):
     assert pii.redact("mail a@b.org now", "email:5:12") == "mail [email] now"
 
 
+def test_pii_learns_from_every_text(spark):
+    """Mail addresses in texts of the larger hashes only, behind more texts than any sample held."""
+    clean = spark.range(50_000).select(F.concat(F.lit("note "), F.conv(F.col("id"), 10, 26)).alias("text")).where(F.xxhash64("text") < 0)
+    mails = spark.range(400).select(F.concat(F.lit("write to a"), "id", F.lit("@b.org now")).alias("text")).where(F.xxhash64("text") >= 0)
+    assert clean.count() > 20_000 and mails.count() > 100
+    selector = pii.learn(clean.unionByName(mails), trees=3)
+    assert [t < float("inf") for t in selector.thresholds] == [True, False, False, False]
+
+
+def test_pii_counts_a_text_once(spark):
+    rows = [(f"host 10.1.{i % 200}.{i} and 300.1.{i % 200}.{i} or a{i}@b.org",) for i in range(120)]
+    once = spark.createDataFrame(rows, "text string")
+    often = spark.createDataFrame(rows + rows[:7] * 60, "text string").repartition(5)
+    one, many = pii.learn(once, trees=3), pii.learn(often, trees=3)
+    assert one.thresholds == many.thresholds and min(one.thresholds[:2]) < 1
+    assert all(np.array_equal(getattr(one.trees, c), getattr(many.trees, c)) for c in ("feature", "cut", "value"))
+
+
+def test_boosting_uses_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 40, (3000, 3)).astype(float)
+    y = ((x[:, 0] > 19) ^ (x[:, 1] > 9)).astype(int)
+    rows = spark.createDataFrame([(a.tolist(), int(b), 2) for a, b in zip(x, y)], "x array<double>, label int, n long").repartition(4)
+    cuts = boosting.quantile_cuts(rows, 3)
+    for f, c in enumerate(cuts):
+        twice = np.sort(np.repeat(x[:, f], 2))
+        assert c.tolist() == sorted({twice[i * (len(twice) - 1) // boosting.CUTS] for i in range(boosting.CUTS)})
+    table = stage(boosting.placed(rows, cuts), "placed")
+    assert table.agg(F.sum("n")).first()[0] == 6000
+    trees, binned = boosting.fit(table, cuts, 6)
+    assert len(trees.value) == 6 and np.mean((trees.probability(x) > 0.5) == y) > 0.9
+    bins = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
+    assert np.array_equal(trees.probability(x), binned.probability(bins))
+    # The leaves of the first tree hold the sums of all rows.
+    node = np.zeros(len(x), dtype=int)
+    for _ in range(boosting.DEPTH):
+        node = 2 * node + 1 + (x[np.arange(len(x)), trees.feature[0][node]] > trees.cut[0][node])
+    p = np.full(len(x), 1 / (1 + np.exp(-trees.base)))
+    for leaf, value in enumerate(trees.value[0]):
+        at = node == leaf + 2**boosting.DEPTH - 1
+        g, h = 2 * (p - y)[at].sum(), 2 * (p * (1 - p))[at].sum()
+        assert value == pytest.approx(-boosting.RATE * g / (h + boosting.SHRINK), abs=1e-4)
+    none, _ = boosting.fit(stage(table.where("label = 1"), "placed"), cuts)
+    assert len(none.value) == 0 and none.probability(x[:1])[0] > 0.99
+
+
 # toxicity
 
 
