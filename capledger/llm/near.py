@@ -97,7 +97,7 @@ class Bags(dict):
 
     def __init__(self, size: int):
         super().__init__()
-        self.size, self.room = size, CHUNK
+        self.size, self.room = size, 2 * CHUNK
 
     def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -105,7 +105,7 @@ class Bags(dict):
         self.room -= len(raw)
         if self.room < 0:
             self.clear()
-            self.room = CHUNK
+            self.room = 2 * CHUNK
         self[text] = (shingle, count, int(count.sum()))
         return self[text]
 

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-# Bytes of text handled at once (at least one text).
-CHUNK = 2 << 20
+# Bytes of text handled at once (at least one text); arrays of 8 bytes for each of them are held meanwhile.
+CHUNK = 1 << 20
 
 _BYTES = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -17,6 +17,9 @@ WORD = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 97) & (_BYTES <= 122)) |
 # An odd number, so that it has an inverse modulo 2^64, and distinct odd weights for the words of a shingle.
 BASE = 0x9E3779B97F4A7C15
 STEPS = np.array([pow(BASE, 2 * i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
+_INVERSE, _STRIDE = pow(BASE, -1, 1 << 64), 1 << 10
+# Powers 1 to _STRIDE of the inverse.
+_INVERSES = np.cumprod(np.full(_STRIDE, _INVERSE, dtype=np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,6 +69,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) ->
             first = last
 
 
+def _inverse_powers(places: np.ndarray) -> np.ndarray:
+    """The inverse of the base to the power of each place plus one, from two short tables."""
+    rough = np.full(int(places.max(initial=0)) // _STRIDE + 1, _INVERSES[-1], dtype=np.uint64)
+    rough[0] = 1
+    return np.cumprod(rough)[places // _STRIDE] * _INVERSES[places % _STRIDE]
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of every word: maximal runs of digits, letters a-z and non-ASCII bytes, A-Z lower-cased."""
     n = len(raw)
@@ -78,10 +88,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     before = np.concatenate(([False], inside[:-1])) & ~border[:-1]
     after = np.concatenate((inside[1:], [False])) & ~border[1:]
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    powers = np.cumprod(np.full(n, BASE, dtype=np.uint64))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers)))
-    inverse = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64))
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    # One array of so many numbers: powers, then terms, then their sums up to each place.
+    sums = np.full(n + 1, BASE, dtype=np.uint64)
+    sums[0] = 0
+    np.cumprod(sums[1:], out=sums[1:])
+    sums[1:] *= low + np.uint16(1)
+    np.cumsum(sums, out=sums)
+    hashes = mix((sums[ends] - sums[starts]) * _inverse_powers(starts) + (ends - starts).astype(np.uint64))
     return hashes, np.searchsorted(offsets, starts, "right") - 1
 
 
