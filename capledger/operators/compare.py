@@ -16,6 +16,8 @@ LINEAGE_KEYS = (
 # Sums are held here so that one more subtraction or product stays exact in decimal(38).
 EXACT = "decimal(34,8)"
 PAIR = ["run_a", "run_b"]
+# Rows that a task makes of its run pairs, about.
+ROWS_A_TASK = 500_000
 CELL = ["portfolio", "risk_bucket"]
 
 
@@ -82,11 +84,17 @@ def compare_versions(cells: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def for_runs(results: DataFrame, pairs: DataFrame) -> DataFrame:
     """Results of version pairs for every run pair that ran those versions. ``results`` should be a
-    written table: it is small, and its exact size lets Catalyst broadcast it."""
+    written table: it is small, and its exact size lets Catalyst broadcast it.
+
+    A few version pairs have many results each, so the few MB of ``pairs``, a written table too, are dealt out by the
+    rows that come of them, to ``spark.sql.shuffle.partitions`` tasks at most."""
     named = results.withColumnsRenamed({"run_a": "_version_a", "run_b": "_version_b"})
     same = F.col("carry_a").eqNullSafe(F.col("_version_a")) & F.col("carry_b").eqNullSafe(F.col("_version_b"))
     rest = [c for c in results.columns if c not in PAIR]
-    return pairs.join(named, same).select("policy_id", *PAIR, *rest)
+    most = results.groupBy(*PAIR).count().agg(F.max("count")).first()[0] or 0
+    tasks = min(pairs.count() * most // ROWS_A_TASK + 1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pairs.repartition(tasks, *PAIR) if tasks > 1 else pairs
+    return dealt.join(named, same).select("policy_id", *PAIR, *rest)
 
 
 def pair_members(pairs: DataFrame) -> DataFrame:
