@@ -7,6 +7,9 @@ import pytest
 from check_oracle import TABLES, compare, duck
 
 from __spark_entry__ import oracle_sql, queries
+from pyspark.sql import functions as F
+
+from capledger.operators import compare as run_compare, hunks
 
 @pytest.fixture(scope="module")
 def skewed():
@@ -38,3 +41,17 @@ NAMES = [
 @pytest.mark.parametrize("name", NAMES)
 def test_hot_keys(spark, skewed, name):
     assert compare(duck(skewed), spark, skewed, name, queries()[name], oracle_sql()[name]) is None
+
+
+def test_run_pairs_are_dealt_out_by_their_results(spark, monkeypatch):
+    monkeypatch.setattr(run_compare, "ROWS_A_TASK", 100)
+    results = spark.range(50).selectExpr("'V1' AS run_a", "'V2' AS run_b", "id AS cell")
+    pairs = spark.range(0, 40, 1, 1).selectExpr("'p' AS policy_id", "concat('a', id) AS run_a", "concat('b', id) AS run_b", "'V1' AS carry_a", "'V2' AS carry_b")
+    found = run_compare.for_runs(results, pairs)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert found.distinct().count() == 2000
+
+
+def test_hunks_align_digests_only(spark):
+    texts = spark.createDataFrame([("p", 1, "a\nb"), ("p", 2, "a\nc")], "policy_id string, version_no long, text string")
+    assert "line" not in hunks._sided_lines(texts, hunks.version_pairs(texts)).columns
